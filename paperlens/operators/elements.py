@@ -1,5 +1,8 @@
 """Method-fact extraction, anchors and paper type, all inside the document row."""
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens import packs
@@ -10,8 +13,27 @@ ELEMENT = "array<struct<type:string,value:string,para_idx:int,sent_idx:int,confi
 
 
 def tag(text: Column, patterns=packs.ELEMENT_PATTERNS) -> Column:
-    """Types whose pattern set hits the text; each type at most once, in pack order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(ci(any_of(ps))), F.lit(t)) for t, ps in patterns.items()]))
+    """Types whose pattern set hits the text; each type at most once, in pack order.
+
+    The text is lower-cased once instead of once per pattern, and patterns made of Han words
+    alone are only tried on text that has a Han character: same hits, a fraction of the work.
+    """
+
+    def hit(low, han, ps):
+        only_han = [p for p in ps if re.search("[一-鿿]", p) and not re.search("[A-Za-z]{3}", p)]
+        rest = [p for p in ps if p not in only_han]
+        tests = []
+        if rest:
+            tests.append(low.rlike(cs(any_of(rest).lower())))
+        if only_han:
+            tests.append(han & low.rlike(cs(any_of(only_han).lower())))
+        return reduce(lambda x, y: x | y, tests)
+
+    seen = F.transform(
+        F.array(F.struct(F.lower(text).alias("low"), text.rlike("[一-鿿]").alias("han"))),
+        lambda t: F.array_compact(F.array(*[F.when(hit(t["low"], t["han"], ps), F.lit(k)) for k, ps in patterns.items()])),
+    )
+    return F.get(seen, F.lit(0))
 
 
 def _tagged(unit: Column, in_table: bool, patterns) -> Column:
