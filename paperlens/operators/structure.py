@@ -206,7 +206,7 @@ def frame(blocks: DataFrame) -> DataFrame:
     """doc_id, source, paras, tables, images, refs (all entries, last wins), cites, table_rows."""
     kinds = blocks.withColumn(
         "blocks",
-        F.transform("blocks", lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), b["style"].alias("style"), block_kind(b["text"]).alias("kind"))),
+        F.transform("blocks", lambda b: F.struct(b["idx"].alias("idx"), b["text"].alias("text"), b["style"].alias("style"), F.when((b["style"] == "Title") | b["style"].startswith("Heading"), F.when(is_blank(b["text"]), "blank").otherwise("para")).otherwise(block_kind(b["text"])).alias("kind"))),
     )
     b, p = F.col("blocks"), F.col("paras")
     out = kinds.withColumn("paras", _paragraphs(b))
