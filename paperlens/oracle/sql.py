@@ -262,7 +262,7 @@ CTE["intervals"] = f"""
  SELECT doc_id, pos, para_idx, arg_min(txt, k) AS txt FROM (SELECT *, CAST(pt AS VARCHAR) || '|' || CAST(lo AS VARCHAR) || '|' || CAST(hi AS VARCHAR) AS txt FROM (
   SELECT doc_id, pos, para_idx, k, CAST(g1 AS DOUBLE) AS pt, least(CAST(g3 AS DOUBLE), CAST(g5 AS DOUBLE)) AS lo, greatest(CAST(g3 AS DOUBLE), CAST(g5 AS DOUBLE)) AS hi, g2, g4, g6 FROM (
    SELECT doc_id, pos, para_idx, unnest(range(len(regexp_extract_all(text, {q(_CI)}, 1)))) AS k, {', '.join(f"unnest(regexp_extract_all(text, {q(_CI)}, {g})) AS g{g}" for g in range(1, 7))} FROM units WHERE contains(text, '95')))
-  WHERE g2 = g4 AND g4 = g6 AND NOT (pt BETWEEN lo AND hi)) GROUP BY doc_id, pos, para_idx"""
+  WHERE coalesce(g2, '') = coalesce(g4, '') AND coalesce(g4, '') = coalesce(g6, '') AND NOT (pt BETWEEN lo AND hi)) GROUP BY doc_id, pos, para_idx"""
 CTE["numeric"] = """
  SELECT doc_id, pos, 0 AS c, 'R-DATA-01' AS item_id, 'RATIO_BAD' AS code, para_idx, CAST(total AS VARCHAR) AS arg0 FROM ratios
  UNION ALL SELECT doc_id, pos, 1, 'R-DATA-02', 'PERCENT_BAD', para_idx, CAST(round(total, 4) AS VARCHAR) FROM percents
@@ -292,7 +292,7 @@ CTE["caps"] = "SELECT doc_id, kind, number, min(para_idx) AS para_idx, arg_min(t
 _MENT = rf"(?i)([{P.NOT_FIGURE_PREFIX}]?图|[{P.NOT_TABLE_PREFIX}]?表|附图|附表|Supplementary\s+(?:Fig(?:ure)?|Table)|Figure|Fig\.?|Table)\s*([0-9]+|[{P.ZH_NUMERALS}]+)(\s*(?:{P.QUANTITY_UNITS}))?"
 _PRE = P.NOT_FIGURE_PREFIX + P.NOT_TABLE_PREFIX
 CTE["ments0"] = f"""SELECT doc_id, para_idx, text, k, g1, g2, g3 FROM (SELECT doc_id, para_idx, text, unnest(range(len(regexp_extract_all(text, {q(_MENT)}, 1)))) AS k, {', '.join(f"unnest(regexp_extract_all(text, {q(_MENT)}, {g})) AS g{g}" for g in (1, 2, 3))} FROM paras)
- WHERE g3 = '' AND NOT (length(g1) = 2 AND left(g1, 1) <> '附' AND regexp_matches(g1, '^[{_PRE}]'))"""
+ WHERE coalesce(g3, '') = '' AND NOT (length(g1) = 2 AND left(g1, 1) <> '附' AND regexp_matches(g1, '^[{_PRE}]'))"""
 CTE["ments"] = f"SELECT m.doc_id, m.para_idx, m.text, m.k, {kindof('m.g1')} AS kind, {zh('m.g2')} AS number FROM ments0 m ANTI JOIN caps c ON c.doc_id = m.doc_id AND c.para_idx = m.para_idx"
 CTE["figcount"] = "SELECT doc_id, count(*) AS figure_mentions FROM ments0 WHERE (regexp_matches(g2, '^[0-9]+$') OR contains(g1, '图')) GROUP BY doc_id"
 CTE["nobj"] = "SELECT d.doc_id, coalesce(i.n, 0) AS n_img, coalesce(t.n, 0) AS n_tbl FROM docs d LEFT JOIN (SELECT doc_id, count(*) AS n FROM img GROUP BY 1) i USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM tbl GROUP BY 1) t USING (doc_id)"
@@ -331,3 +331,74 @@ def sql(final: str, order=None) -> str:
     if not names:
         return final
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n]})" for n in names) + "\n" + final
+
+
+# --- model verdicts, draft findings, gates -------------------------------------------
+CTE["vraw"] = f"""
+ SELECT d.doc_id, i.k, row_number() OVER (PARTITION BY d.doc_id ORDER BY i.k) - 1 AS mseq,
+  CASE WHEN (d.doc_id + i.k) % 11 = 0 THEN 'R-99' WHEN (d.doc_id + i.k) % 7 = 0 THEN i.title ELSE i.item_id END AS raw_id,
+  ['pass','problem','uncertain','maybe','problem'][(d.doc_id*3 + i.k) % 5 + 1] AS verdict, coalesce(['high','mid','low',NULL][(d.doc_id + i.k*2) % 4 + 1], 'mid') AS severity,
+  'H' || i.k AS headline, 'D' || d.doc_id || '-' || i.k AS description, 'S' || i.k AS suggestion
+ FROM docs d, items i WHERE (d.doc_id + i.k) % 3 <> 0"""
+CTE["verd"] = """
+ SELECT v.*, coalesce(a.item_id, b.item_id, 'unknown') AS item_id FROM vraw v LEFT JOIN items a ON a.item_id = v.raw_id AND a.judge <> 'rule' LEFT JOIN items b ON b.title = v.raw_id AND b.judge <> 'rule' WHERE v.verdict <> 'maybe'"""
+CTE["second"] = "SELECT *, ['problem','pass','problem'][(doc_id + k) % 3 + 1] AS verdict2 FROM verd"
+CTE["dual"] = """
+ SELECT v.* EXCLUDE (verdict), CASE WHEN s.verdict2 IS NOT NULL AND s.verdict2 <> v.verdict THEN 'uncertain' ELSE v.verdict END AS verdict,
+  CASE WHEN s.verdict2 <> v.verdict THEN 'disagree' END AS dual_check, CASE WHEN s.verdict2 <> v.verdict THEN s.verdict2 END AS dual_verdict
+ FROM verd v LEFT JOIN (SELECT doc_id, item_id, arg_max(verdict2, mseq) AS verdict2 FROM second GROUP BY ALL) s USING (doc_id, item_id)"""
+CTE["noverd"] = "SELECT *, CAST(NULL AS VARCHAR) AS dual_check, CAST(NULL AS VARCHAR) AS dual_verdict FROM verd WHERE false"
+CTE["verd1"] = "SELECT *, CAST(NULL AS VARCHAR) AS dual_check, CAST(NULL AS VARCHAR) AS dual_verdict FROM verd"
+CTE["ef"] = "SELECT * FROM (SELECT doc_id, type, arg_min(para_idx, elem_seq) AS para_idx, arg_min(confidence, elem_seq) AS conf FROM elements GROUP BY doc_id, type)"
+CTE["ev"] = "SELECT e.doc_id, r.item_id, list(e.para_idx ORDER BY r.rpos) AS eparas, list(e.type ORDER BY r.rpos) AS etypes, min(e.conf) >= 1.0 AS solid FROM requires r JOIN ef e USING (type) GROUP BY e.doc_id, r.item_id"
+CTE["tabtypes"] = "SELECT DISTINCT doc_id, type FROM elements WHERE in_table"
+CTE["demo"] = f"SELECT * FROM {values([(i, t) for i, ts in P.DEMOTE_EVIDENCE.items() for t in ts])} t(item_id, type)"
+CTE["intab"] = "SELECT DISTINCT t.doc_id, d.item_id FROM tabtypes t JOIN demo d USING (type)"
+_FMT = lambda c: f"replace(replace(m.{c}, '{{0}}', coalesce(r.arg0, '')), '{{1}}', coalesce(r.arg1, ''))"
+
+
+def findings(n, verdicts, demote=True):
+    """CTEs n0 (draft) .. n (scored) over one verdict relation."""
+    CTE[n + "fold"] = f"SELECT doc_id, item_id, arg_max(verdict, mseq) AS llm_verdict, arg_min(description, mseq) AS d2, arg_min(suggestion, mseq) AS s2 FROM {verdicts} GROUP BY doc_id, item_id"
+    CTE[n + "ext"] = f"SELECT v.* EXCLUDE (item_id), coalesce(a.item_id, 'unknown') AS item_id FROM {verdicts} v LEFT JOIN applic a ON a.doc_id = v.doc_id AND a.item_id = v.item_id"
+    CTE[n + "0"] = f"""
+ SELECT r.doc_id, 0 AS phase, r.seq, 'rule' AS engine, r.item_id, r.code, r.verdict, CASE WHEN r.verdict = 'problem' THEN r.severity_default ELSE r.severity END AS severity, r.certainty, [r.para_idx] AS anchors,
+   {_FMT('headline')} AS headline, coalesce(nullif({_FMT('description')}, ''), f.d2, '') AS description, coalesce(nullif({_FMT('suggestion')}, ''), f.s2, '') AS suggestion,
+   f.llm_verdict, coalesce(f.llm_verdict <> r.verdict, false) AS conflict, coalesce(r.verdict = 'pass' AND f.llm_verdict = 'problem', false) AS vetoed_llm, CAST(NULL AS VARCHAR) AS dual_check
+  FROM (SELECT rulef.*, a.severity_default, row_number() OVER (PARTITION BY rulef.doc_id, rulef.item_id ORDER BY rulef.seq) AS nth FROM rulef JOIN applic a ON a.doc_id = rulef.doc_id AND a.item_id = rulef.item_id) r
+  JOIN msgs m ON m.code = r.code LEFT JOIN {n}fold f ON f.doc_id = r.doc_id AND f.item_id = r.item_id AND r.nth = 1
+ UNION ALL
+ SELECT v.doc_id, 1, 1000000 + v.mseq, 'llm', v.item_id, NULL, v.verdict, v.severity, 'suspected', [], v.headline, v.description, v.suggestion, NULL, false, false, v.dual_check
+  FROM {n}ext v WHERE v.item_id = 'unknown' OR NOT EXISTS (SELECT 1 FROM rulef r WHERE r.doc_id = v.doc_id AND r.item_id = v.item_id)
+ UNION ALL
+ SELECT u.doc_id, 2, 2000000 + row_number() OVER (PARTITION BY u.doc_id ORDER BY u.item_no) - 1, 'rule', u.item_id, 'UNASSESSED', 'not_applicable', 'low', 'undetermined', [], m.headline, replace(m.description, '{{0}}', u.title), '', NULL, false, false, NULL
+  FROM (SELECT a.* FROM applic a ANTI JOIN rulef r ON r.doc_id = a.doc_id AND r.item_id = a.item_id) u JOIN msgs m ON m.code = 'UNASSESSED' WHERE NOT EXISTS (SELECT 1 FROM {n}fold f WHERE f.doc_id = u.doc_id AND f.item_id = u.item_id)
+ UNION ALL
+ SELECT x.doc_id, 3, 3000000 + row_number() OVER (PARTITION BY x.doc_id ORDER BY pos, c) - 1, 'rule', item_id, code, 'problem', 'low', 'deterministic', [para_idx], NULL, arg0, '', NULL, false, false, NULL FROM numeric x JOIN ptype p ON p.doc_id = x.doc_id AND p.paper_type <> 'review'
+ UNION ALL
+ SELECT doc_id, 4, 4000000 + row_number() OVER (PARTITION BY doc_id ORDER BY c, o1, o2, o3, o4) - 1, 'rule', 'R-FIG-01', code, 'problem', 'low', 'suspected', [para_idx], NULL, concat_ws(' ', arg0, arg1), '', NULL, false, false, NULL FROM figure"""
+    CTE[n + "1"] = f"""
+ SELECT f.* EXCLUDE (certainty, anchors, verdict, description), CASE WHEN core AND engine = 'rule' AND e.solid THEN 'deterministic' ELSE certainty END AS certainty,
+  CASE WHEN len(anchors) > 0 OR NOT core THEN anchors ELSE coalesce(e.eparas[1:3], []) END AS anchors, CASE WHEN core THEN coalesce(e.etypes, []) ELSE [] END AS evidence,
+  CASE WHEN lost THEN 'uncertain' ELSE verdict END AS verdict, CASE WHEN lost THEN {q(P.PREFIX_NO_EVIDENCE)} || description ELSE description END AS description, CASE WHEN lost THEN 'no_evidence' END AS gate1
+ FROM (SELECT g.*, phase <= 1 AS core, (phase <= 1 AND engine = 'llm' AND g.verdict = 'problem' AND len(anchors) = 0 AND x.item_id IS NULL) AS lost FROM {n}0 g LEFT JOIN ev x ON x.doc_id = g.doc_id AND x.item_id = g.item_id) f LEFT JOIN ev e ON e.doc_id = f.doc_id AND e.item_id = f.item_id"""
+    CTE[n + "2"] = f"""
+ SELECT f.* EXCLUDE (verdict, description), CASE WHEN soft THEN 'uncertain' ELSE f.verdict END AS verdict, CASE WHEN soft THEN {q(P.PREFIX_ADVISORY)} || f.description ELSE f.description END AS description, soft AS advisory
+ FROM (SELECT g.*, (engine = 'llm' AND verdict = 'problem' AND coalesce(i.judge, 'llm') = 'advisory') AS soft FROM {n}1 g LEFT JOIN items i ON i.item_id = g.item_id) f"""
+    CTE[n + "3"] = f"""
+ SELECT f.* EXCLUDE (verdict, description, gate1), CASE WHEN hit THEN 'uncertain' ELSE verdict END AS verdict, CASE WHEN hit THEN {q(P.PREFIX_FIGURES)} || description ELSE description END AS description, CASE WHEN hit THEN 'figures_unparsed' ELSE gate1 END AS evidence_gate
+ FROM (SELECT g.*, ({'true' if demote else 'false'} AND fc.figure_mentions > 0 AND engine = 'rule' AND verdict = 'problem' AND g.item_id IN {inlist(P.DEMOTE_EVIDENCE)} AND t.item_id IS NULL) AS hit
+   FROM {n}2 g LEFT JOIN figcount fc ON fc.doc_id = g.doc_id LEFT JOIN intab t ON t.doc_id = g.doc_id AND t.item_id = g.item_id) f"""
+    fac = " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.GATE_FACTOR.items())
+    CTE[n] = f"""
+ SELECT f.*, CASE WHEN certainty = 'undetermined' THEN 'D' WHEN confidence >= {P.GRADE_A} THEN 'A' WHEN confidence >= {P.GRADE_B} THEN 'B' WHEN confidence >= {P.GRADE_C} THEN 'C' ELSE 'D' END AS grade FROM (
+  SELECT f.*, p.paper_type, CASE WHEN certainty = 'undetermined' THEN 'not_evaluated' WHEN evidence_gate = 'no_evidence' THEN 'no_evidence' WHEN vetoed_llm THEN 'vetoed_llm' WHEN evidence_gate = 'rule_anchor_reuse' THEN 'rule_anchor_reuse' WHEN advisory THEN 'advisory' WHEN evidence_gate IS NOT NULL THEN evidence_gate ELSE 'direct' END AS gate_reason,
+   CASE WHEN certainty = 'undetermined' THEN 0.0::DOUBLE ELSE round((CASE WHEN certainty = 'deterministic' THEN 1.0 WHEN engine = 'rule' THEN 0.8 ELSE 0.6 END)::DOUBLE * (CASE WHEN len(anchors) > 0 OR len(evidence) > 0 THEN 1.0 ELSE 0.5 END)::DOUBLE
+     * (CASE WHEN dual_check = 'disagree' THEN 0.6 WHEN conflict AND verdict = 'problem' THEN 0.7 ELSE 1.0 END)::DOUBLE
+     * least(CASE WHEN advisory THEN 0.6 ELSE 1.0 END, CASE WHEN vetoed_llm THEN 0.4 ELSE 1.0 END, coalesce(CASE evidence_gate {fac} END, 1.0))::DOUBLE, 4) END AS confidence
+  FROM {n}3 f JOIN ptype p USING (doc_id)) f"""
+
+
+findings("fr", "noverd")
+findings("fm", "verd1")
+findings("fd", "dual")

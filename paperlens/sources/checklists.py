@@ -76,10 +76,21 @@ def for_template(items: DataFrame, template: str) -> DataFrame:
     return items.filter((F.size("templates") == 0) | F.array_contains("templates", template))
 
 
-def read_truth(spark, path: str) -> DataFrame:
-    """Ground-truth files exploded to (sample_id, grp, item_id, severity, para_idx); files without items are skipped."""
-    t = spark.read.option("multiLine", True).schema(TRUTH_SCHEMA).json(path).filter(F.col("items").isNotNull())
-    groups = ["fixture", "real", "review", "empirical", "planted"]
-    return t.select("sample_id", F.when(F.col("type").isin(groups), F.col("type")).otherwise("fixture").alias("grp"), F.inline("items")).select(
+GROUPS = ["fixture", "real", "review", "empirical", "planted"]
+
+
+def _explode_truth(t: DataFrame) -> DataFrame:
+    t = t.filter(F.col("items").isNotNull())
+    return t.select("sample_id", F.when(F.col("type").isin(GROUPS), F.col("type")).otherwise("fixture").alias("grp"), F.inline("items")).select(
         "sample_id", "grp", F.col("checklist_item_id").alias("item_id"), F.col("severity_expected").alias("severity"), F.col("anchor.paragraph_index").alias("para_idx")
     )
+
+
+def read_truth(spark, path: str) -> DataFrame:
+    """Ground-truth files exploded to (sample_id, grp, item_id, severity, para_idx); files without items are skipped."""
+    return _explode_truth(spark.read.option("multiLine", True).schema(TRUTH_SCHEMA).json(path))
+
+
+def truth_rows(df: DataFrame, column: str) -> DataFrame:
+    """The same from a column of JSON texts."""
+    return _explode_truth(df.select(F.from_json(column, TRUTH_SCHEMA).alias("t")).select("t.*"))
