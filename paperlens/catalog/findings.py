@@ -48,7 +48,7 @@ IMG = """SELECT i.doc_id, i.img_idx, (i.doc_id * 37 + i.img_idx * 11) % 5 AS nv,
     "src_image_readings",
     sql(f"""SELECT doc_id, img_idx, 'R-FIG-02' AS item_id, 'uncertain' AS verdict, '图内数值识读线索：第 ' || (img_idx + 1) || ' 张插图' AS headline,
       '模型识读图内数值：' || CASE WHEN nv > 0 THEN array_to_string(list_transform(range(nv), lambda j: '0.' || j), '、') ELSE '未识别到明确数值' END || '。' || CASE WHEN cz = 0 THEN ' 疑点：坐标轴缺单位' ELSE '' END || ' 该结论来自图像识读，需人工复核。' AS description, anchor, nv AS n_values
-      FROM ({IMG}) WHERE img_idx < 4 AND byte_size <= 4194304 AND (nv > 0 OR cz = 0)"""),
+      FROM ({IMG}) WHERE img_idx IN (0, 1, 2, 3) AND byte_size <= 4194304 AND (nv > 0 OR cz = 0)"""),
 )
 def src_image_readings(spark, d):
     """Readings written by formula for every image of the overlay, then ingested."""
@@ -295,9 +295,9 @@ def cmp_detail(spark, d):
 
 @query(
     "cmp_delta",
-    sql(f"""SELECT b.doc_id, coalesce(bt, 0) AS before_total, coalesce(bh, 0) AS before_high, coalesce(at, 0) AS after_total, coalesce(ah, 0) AS after_high, coalesce(r, 0) AS resolved, coalesce(n, 0) AS added, coalesce(k, 0) AS kept
+    sql(f"""SELECT b.doc_id, coalesce(bt, 0) AS before_total, coalesce(bh, 0) AS before_high, coalesce(atot, 0) AS after_total, coalesce(ah, 0) AS after_high, coalesce(r, 0) AS resolved, coalesce(n, 0) AS added, coalesce(k, 0) AS kept
       FROM (SELECT doc_id, count(*) FILTER (WHERE verdict = 'problem') AS bt, count(*) FILTER (WHERE verdict = 'problem' AND severity = 'high') AS bh FROM fr GROUP BY 1) b
-      FULL JOIN (SELECT doc_id, count(*) FILTER (WHERE verdict = 'problem') AS at, count(*) FILTER (WHERE verdict = 'problem' AND severity = 'high') AS ah FROM fm GROUP BY 1) a ON a.doc_id = b.doc_id
+      FULL JOIN (SELECT doc_id, count(*) FILTER (WHERE verdict = 'problem') AS atot, count(*) FILTER (WHERE verdict = 'problem' AND severity = 'high') AS ah FROM fm GROUP BY 1) a ON a.doc_id = b.doc_id
       LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE change = 'resolved') AS r, count(*) FILTER (WHERE change = 'new') AS n, count(*) FILTER (WHERE change = 'kept') AS k FROM ({DIFF}) GROUP BY 1) c ON c.doc_id = b.doc_id"""),
 )
 def cmp_delta(spark, d):

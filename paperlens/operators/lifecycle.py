@@ -52,7 +52,7 @@ def quota(requests: DataFrame, key: str, ts: str, tie: str, limit: int, window_s
     stream through in time order with a queue of ``limit`` times, never a whole group in memory.
     """
     d = previous_time(requests, key, ts, tie)
-    starts = F.col("prev_ts").isNull() | (F.unix_micros(ts) - F.unix_micros("prev_ts") > window_seconds * 1_000_000)
+    starts = F.col("prev_ts").isNull() | (F.col(ts) > F.col("prev_ts") + F.make_dt_interval(secs=F.lit(window_seconds)))
     # every row takes the latest pause at or before it: again in blocks, so no key is ordered whole
     d = latest_mark(d.withColumn("_mark", F.when(starts, F.col(ts))), key, ts, tie, "_mark", "burst")
     cols = [c for c in requests.columns]
