@@ -12,6 +12,6 @@ def query(name, oracle=None):
 
 
 def load():
-    from paperlens.catalog import context, findings, records, structure  # noqa: F401
+    from paperlens.catalog import context, findings, records, streams, structure  # noqa: F401
 
     return QUERIES

@@ -1,14 +1,29 @@
 """Frames shared by the registered queries."""
 
 from paperlens.operators import elements, rules, structure
-from paperlens.plans.flagship import overlay_frame  # noqa: F401
-from paperlens.plans.review import review
+from paperlens.plans import flagship
+from paperlens.plans import review as review_plan
 from paperlens.sources.intake import read, spread, text_blocks
 from paperlens.sources.sinks import staged
 
 _STAGED = {}
 
 
+_PLANS = {}
+
+
+def planned(spark, d, name, build):
+    """The plan (not the data) of a frame, built once: composing the review takes seconds of driver time."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
+def overlay_frame(spark, d):
+    return planned(spark, d, "overlay", lambda: flagship.overlay_frame(spark, d))
+
+
 def docs(spark, d):
     return spread(read(spark, d, "documents"))
 
@@ -18,11 +33,15 @@ def raw_frame(spark, d):
 
 
 def tagged(spark, d):
-    return elements.with_elements(overlay_frame(spark, d))
+    return planned(spark, d, "tagged", lambda: elements.with_elements(overlay_frame(spark, d)))
 
 
 def ruled(spark, d):
-    return rules.with_findings(elements.with_features(tagged(spark, d)))
+    return planned(spark, d, "ruled", lambda: rules.with_findings(elements.with_features(tagged(spark, d))))
+
+
+def facts(spark, d):
+    return planned(spark, d, "facts", lambda: review_plan.document_facts(overlay_frame(spark, d)))
 
 
 def once(spark, d, name, build):
@@ -39,4 +58,4 @@ def rule_rows(spark, d):
 
 def scored(spark, d):
     """Scored rules-only findings with figure demotion on."""
-    return once(spark, d, "scored", lambda: review(overlay_frame(spark, d), demote=True))
+    return once(spark, d, "scored", lambda: review_plan.review(facts=facts(spark, d), demote=True))

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from paperlens import packs as P
 from paperlens.catalog import query
-from paperlens.catalog.common import docs, once, overlay_frame, rule_rows, scored, tagged
+from paperlens.catalog.common import docs, facts, once, overlay_frame, rule_rows, scored, tagged
 from paperlens.operators import elements, evaluate, gates, reconcile, reports, structure
 from paperlens.oracle.sql import inlist, q, sql
 from paperlens.plans.compare import review_and_compare
-from paperlens.plans.review import draft, facts, review
+from paperlens.plans.review import draft, review
 from paperlens.sources import verdicts as V
 from paperlens.sources.intake import read, unnest
 from paperlens.sources.sinks import staged
@@ -30,7 +30,7 @@ def second(spark, d):
 
 
 def with_model(spark, d):
-    return once(spark, d, "with_model", lambda: review(overlay_frame(spark, d), verdicts(spark, d), demote=True))
+    return once(spark, d, "with_model", lambda: review(facts=facts(spark, d), verdicts=verdicts(spark, d), demote=True))
 
 
 # --- verdict ingest and reconciliation ---------------------------------------------------
@@ -79,7 +79,7 @@ MERGE = ["doc_id", "seq", "engine", "item_id", "verdict", "severity", "descripti
 
 @query("mod_merge", sql("SELECT " + ", ".join(MERGE) + " FROM fm0 WHERE phase <= 1"))
 def mod_merge(spark, d):
-    return draft(facts(overlay_frame(spark, d)), verdicts(spark, d)).filter("phase <= 1").select(*MERGE)
+    return draft(facts(spark, d), verdicts(spark, d)).filter("phase <= 1").select(*MERGE)
 
 
 @query("mod_dual_check", sql("SELECT doc_id, mseq, item_id, verdict, dual_check, dual_verdict FROM dual"))
@@ -89,7 +89,7 @@ def mod_dual_check(spark, d):
 
 @query("mod_dual_review", sql("SELECT doc_id, seq, item_id, verdict, confidence, grade, gate_reason FROM fd"))
 def mod_dual_review(spark, d):
-    r = review(overlay_frame(spark, d), verdicts(spark, d), second(spark, d), demote=True)
+    r = review(facts=facts(spark, d), verdicts=verdicts(spark, d), second=second(spark, d), demote=True)
     return r.select("doc_id", "seq", "item_id", "verdict", "confidence", "grade", "gate_reason")
 
 
@@ -111,13 +111,13 @@ def quotes(spark, d, pending=None):
 
 @query("mod_quote_verification", sql(VERIFIED))
 def mod_quote_verification(spark, d):
-    f = draft(facts(overlay_frame(spark, d)), verdicts(spark, d))
+    f = draft(facts(spark, d), verdicts(spark, d))
     return reconcile.verify_quotes(reconcile.pending_quotes(f), quotes(spark, d), structure.units(overlay_frame(spark, d)))
 
 
 @query("mod_quoted_review", sql(f"SELECT count(*) AS n, count(*) FILTER (WHERE v.seq IS NOT NULL) AS n_verified FROM fm0 f LEFT JOIN ({VERIFIED}) v ON v.doc_id = f.doc_id AND v.seq = f.seq"))
 def mod_quoted_review(spark, d):
-    r = review(overlay_frame(spark, d), verdicts(spark, d), quotes=quotes(spark, d))
+    r = review(overlay_frame(spark, d), verdicts(spark, d), quotes=quotes(spark, d), facts=facts(spark, d))
     return r.agg(F.count("*").alias("n"), F.count_if(F.col("evidence_gate") == "quote_verified").alias("n_verified"))
 
 
@@ -144,13 +144,13 @@ ANCH = "array_to_string(anchors, ',')"
 
 @query("gat_evidence", sql(f"SELECT doc_id, seq, item_id, verdict, certainty, {ANCH} AS anchors, array_to_string(evidence, ',') AS evidence, gate1 AS evidence_gate FROM fm1 WHERE phase <= 1"))
 def gat_evidence(spark, d):
-    f = gates.attach_evidence(draft(facts(overlay_frame(spark, d)), verdicts(spark, d))).filter("phase <= 1")
+    f = gates.attach_evidence(draft(facts(spark, d), verdicts(spark, d))).filter("phase <= 1")
     return f.select("doc_id", "seq", "item_id", "verdict", "certainty", F.array_join(F.col("anchors").cast("array<string>"), ",").alias("anchors"), F.array_join("evidence", ",").alias("evidence"), "evidence_gate")
 
 
 @query("gat_judge_tiers", sql("SELECT doc_id, seq, item_id, verdict, description, advisory FROM fm2 WHERE engine = 'llm'"))
 def gat_judge_tiers(spark, d):
-    f = gates.judge_tiers(gates.attach_evidence(draft(facts(overlay_frame(spark, d)), verdicts(spark, d))))
+    f = gates.judge_tiers(gates.attach_evidence(draft(facts(spark, d), verdicts(spark, d))))
     return f.filter("engine = 'llm'").select("doc_id", "seq", "item_id", "verdict", "description", "advisory")
 
 
@@ -220,13 +220,13 @@ FULL = ["doc_id", "seq", "engine", "item_id", "code", "verdict", "severity", "ce
 @query("gat_review_rules", sql("SELECT " + ", ".join(FULL) + f", {ANCH} AS anchors FROM fr"))
 def gat_review_rules(spark, d):
     """The whole rules-only review pipeline, one row per finding."""
-    return review(overlay_frame(spark, d), demote=True).select(*FULL, F.array_join(F.col("anchors").cast("array<string>"), ",").alias("anchors"))
+    return review(facts=facts(spark, d), demote=True).select(*FULL, F.array_join(F.col("anchors").cast("array<string>"), ",").alias("anchors"))
 
 
 @query("gat_review_model", sql(count_sql("fm")))
 def gat_review_model(spark, d):
     """The whole pipeline with model verdicts, one report row per document."""
-    return gates.counts(review(overlay_frame(spark, d), verdicts(spark, d), demote=True))
+    return gates.counts(review(facts=facts(spark, d), verdicts=verdicts(spark, d), demote=True))
 
 
 # --- report consumption ----------------------------------------------------------------------

@@ -4,6 +4,8 @@ Java's ``\\s``/``\\w``/``\\b`` are ASCII unless UNICODE_CHARACTER_CLASS is on, s
 pattern gets ``(?U)`` and, where the pack says so, ``(?i)``.
 """
 
+import re
+
 from pyspark.sql import functions as F
 
 from paperlens import packs
@@ -21,9 +23,91 @@ def any_of(patterns):
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+HAN = "[一-鿿]"
+
+
+def alternatives(pattern):
+    """Top-level alternatives of a pattern; a group around the whole pattern is opened first."""
+
+    def split(p):
+        out, depth, in_class, i, last = [], 0, False, 0, 0
+        while i < len(p):
+            c = p[i]
+            if c == "\\":
+                i += 1
+            elif in_class:
+                in_class = c != "]"
+            elif c == "[":
+                in_class = True
+            elif c == "(":
+                depth += 1
+            elif c == ")":
+                depth -= 1
+                if depth == 0 and i < len(p) - 1 and not out and last == 0:
+                    split.whole = False
+            elif c == "|" and depth == 0:
+                out.append(p[last:i])
+                last = i + 1
+            i += 1
+        return [*out, p[last:]]
+
+    parts = []
+    for part in split(pattern):
+        split.whole = part.startswith("(") and part.endswith(")")
+        split(part)
+        inner = re.sub(r"^\((\?:)?", "", part)[:-1] if split.whole else None
+        parts.extend(alternatives(inner) if inner is not None and not inner.startswith("?") else [part])
+    return parts
+
+
+def first_class(alternative):
+    """Regex class of the characters a match can start with, or None when that is not plain to see."""
+    p = alternative.removeprefix(r"\b")
+    m = re.match(r"(\\d|\[[^\]\\^-]+\]|[^\\\[\](){}.*+?|^$])(.?)", p)
+    if not m or m.group(2) in ("?", "*", "{"):
+        return None
+    return m.group(1)
+
+
+def any_of_by_first(patterns):
+    """The union of the patterns, alternatives grouped under a look-ahead on their first character.
+
+    Same language as ``any_of``; where a text matches nothing, most positions fail on the
+    look-aheads instead of on every alternative.
+    """
+    groups = {}
+    for p in patterns:
+        for alt in alternatives(p):
+            groups.setdefault(first_class(alt), []).append(alt)
+    loose = groups.pop(None, [])
+    parts = [f"(?={c})(?:{'|'.join(alts)})" for c, alts in groups.items()] + loose
+    return "|".join(f"(?:{x})" for x in parts)
+
+
+def needs_han(pattern):
+    """Must every match hold a Han character?  Inner groups are folded to a Han mark or to nothing."""
+    flat = re.sub(r"\[[^\]]*\]", "", pattern)
+    group = re.compile(r"\((?:\?:)?([^()]*)\)([?*]?)")
+
+    def plain(p):
+        return all(re.search(HAN, re.sub(r"[^\\][?*]", "", alt)) for alt in p.split("|"))
+
+    while group.search(flat):
+        flat = group.sub(lambda m: "一" if not m.group(2) and plain(m.group(1)) else "", flat, count=1)
+    return plain(flat)
+
+
 def signal(col, name):
+    """Does a signal pattern hit; patterns that need a Han character are tried only where there is one."""
     pattern, ignore_case = packs.SIGNALS[name]
-    return col.rlike(ci(pattern) if ignore_case else cs(pattern))
+    hit = col.rlike(ci(pattern) if ignore_case else cs(pattern))
+    return col.rlike(HAN) & hit if needs_han(pattern) else hit
+
+
+def literal_map(table):
+    """Constant map column written as one SQL literal."""
+    lit = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else (f"array({', '.join(map(lit, v))})" if isinstance(v, list) else repr(v))
+    return F.expr("map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in table.items()) + ")")
 
 
 def strip(col):

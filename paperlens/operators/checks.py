@@ -168,7 +168,8 @@ def with_captions(fr: DataFrame) -> DataFrame:
         F.filter("_caps", lambda c, i: ~F.exists(F.slice("_caps", F.lit(1), i), lambda o: (o["kind"] == c["kind"]) & (o["number"] == c["number"]))),
     )
     g = lambda t, i: F.regexp_extract_all(t, F.lit(ci(REFERENCE)), F.lit(i))
-    body = F.filter("paras", lambda p: p["text"].rlike(ci(REFERENCE)) & ~F.exists("captions", lambda c: c["para_idx"] == p["para_idx"]))
+    numbered = lambda t: t.rlike(rf"(?U)[\d{_ZH}]|(?i)supplementary")
+    body = F.filter("paras", lambda p: numbered(p["text"]) & p["text"].rlike(ci(REFERENCE)) & ~F.exists("captions", lambda c: c["para_idx"] == p["para_idx"]))
     found = F.flatten(
         F.transform(
             body,
@@ -181,7 +182,7 @@ def with_captions(fr: DataFrame) -> DataFrame:
     return out.withColumns(
         {
             "mentions": F.filter(found, lambda m: m["number"].isNotNull()),
-            "figure_mentions": F.aggregate("paras", F.lit(0), lambda a, p: a + F.regexp_count(p["text"], F.lit(ci(FIGURE_MENTION)))),
+            "figure_mentions": F.aggregate("paras", F.lit(0), lambda a, p: a + F.when(numbered(p["text"]), F.regexp_count(p["text"], F.lit(ci(FIGURE_MENTION)))).otherwise(0)),
         }
     ).drop("_caps")
 

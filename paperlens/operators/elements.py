@@ -1,13 +1,12 @@
 """Method-fact extraction, anchors and paper type, all inside the document row."""
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens import packs
 from paperlens.sources.intake import unnest
-from paperlens.functions.text import any_of, ci, cs, sentences, signal, strip
+from paperlens.functions.text import HAN, any_of, any_of_by_first, ci, cs, needs_han, sentences, signal, strip
 
 ELEMENT = "array<struct<type:string,value:string,para_idx:int,sent_idx:int,confidence:double,in_table:boolean>>"
 
@@ -15,25 +14,26 @@ ELEMENT = "array<struct<type:string,value:string,para_idx:int,sent_idx:int,confi
 def tag(text: Column, patterns=packs.ELEMENT_PATTERNS) -> Column:
     """Types whose pattern set hits the text; each type at most once, in pack order.
 
-    The text is lower-cased once instead of once per pattern, and patterns made of Han words
-    alone are only tried on text that has a Han character: same hits, a fraction of the work.
+    The text is lower-cased once instead of once per pattern.  One union pattern rejects text with
+    no vocabulary at all, and patterns that need a Han character are tried only on text with one:
+    the same hits for a fraction of the work.
     """
+    han_only = {k: [p.lower() for p in ps if needs_han(p)] for k, ps in patterns.items()}
+    rest = {k: [p.lower() for p in ps if not needs_han(p)] for k, ps in patterns.items()}
 
-    def hit(low, han, ps):
-        only_han = [p for p in ps if re.search("[一-鿿]", p) and not re.search("[A-Za-z]{3}", p)]
-        rest = [p for p in ps if p not in only_han]
-        tests = []
-        if rest:
-            tests.append(low.rlike(cs(any_of(rest).lower())))
-        if only_han:
-            tests.append(han & low.rlike(cs(any_of(only_han).lower())))
+    def either(low, han, plain, hans):
+        tests = [low.rlike(cs(plain))] if plain else []
+        if hans:
+            tests.append(han & low.rlike(cs(hans)))
         return reduce(lambda x, y: x | y, tests)
 
-    seen = F.transform(
-        F.array(F.struct(F.lower(text).alias("low"), text.rlike("[一-鿿]").alias("han"))),
-        lambda t: F.array_compact(F.array(*[F.when(hit(t["low"], t["han"], ps), F.lit(k)) for k, ps in patterns.items()])),
-    )
-    return F.get(seen, F.lit(0))
+    def kinds(t):
+        hits = [F.when(either(t["low"], t["han"], any_of(rest[k]), any_of(han_only[k])), F.lit(k)) for k in patterns]
+        worth = either(t["low"], t["han"], any_of_by_first(sum(rest.values(), [])), any_of_by_first(sum(han_only.values(), [])))
+        return F.when(worth, F.array_compact(F.array(*hits))).otherwise(F.array().cast("array<string>"))
+
+    one = F.array(F.struct(F.lower(text).alias("low"), text.rlike(HAN).alias("han")))
+    return F.get(F.transform(one, kinds), F.lit(0))
 
 
 def _tagged(unit: Column, in_table: bool, patterns) -> Column:

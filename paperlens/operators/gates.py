@@ -8,15 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens import packs
+from paperlens.functions.text import literal_map
 
 
 def requires_of(item_id: Column, items=packs.CHECKLIST) -> Column:
-    pairs = [x for r in items for x in (F.lit(r[0]), F.array(*[F.lit(t) for t in r[1]]))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), item_id), F.array().cast("array<string>"))
+    return F.coalesce(F.try_element_at(literal_map({r[0]: r[1] for r in items}), item_id), F.array().cast("array<string>"))
 
 
 def lookup(items, pos: int, item_id: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for r in items for x in (r[0], r[pos])]), item_id)
+    return F.try_element_at(literal_map({r[0]: r[pos] for r in items}), item_id)
 
 
 def attach_evidence(findings: DataFrame, items=packs.CHECKLIST) -> DataFrame:
@@ -85,7 +85,7 @@ def score(findings: DataFrame) -> DataFrame:
     flags = F.array_distinct(
         F.array_compact(F.array(F.col("evidence_gate"), F.when(F.col("advisory"), "advisory"), F.when(F.col("vetoed_llm"), "vetoed_llm")))
     )
-    factor = F.create_map(*[F.lit(x) for kv in packs.GATE_FACTOR.items() for x in kv])
+    factor = literal_map(packs.GATE_FACTOR)
     f = findings.withColumn("_flags", flags)
     open_ = F.col("certainty") == "undetermined"
     base = F.when(F.col("certainty") == "deterministic", 1.0).when(F.col("engine") == "rule", packs.BASE_CONFIDENCE["rule"]).otherwise(packs.BASE_CONFIDENCE["llm"])

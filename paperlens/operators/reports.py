@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from paperlens import packs
-from paperlens.functions.text import cs, squeeze, strip
+from paperlens.functions.text import cs, literal_map, squeeze, strip
 
 
 def facets(findings: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def facets(findings: DataFrame) -> DataFrame:
 
 def top_risk(findings: DataFrame) -> DataFrame:
     """First problem by severity, stable in report order: one min_by per document, combined map-side."""
-    rank = F.create_map(*[F.lit(x) for kv in packs.SEVERITY_RANK.items() for x in kv])
+    rank = literal_map(packs.SEVERITY_RANK)
     p = findings.filter(F.col("verdict") == "problem").withColumn("_k", F.struct(F.element_at(rank, F.col("severity")).alias("r"), "seq"))
     return p.groupBy("doc_id").agg(F.min_by(F.struct("item_id", "severity", "seq"), "_k").alias("t")).select("doc_id", "t.*")
 
@@ -95,7 +95,7 @@ def revision_plan(findings: DataFrame, fr: DataFrame, offered: DataFrame | None
     manual = external | F.col("item_id").isin(packs.MANUAL_ITEMS + packs.STRUCTURAL_ITEMS)
     st = section_targets(fr).select("doc_id", "section_target")
     preferred = F.coalesce(*[F.when(F.col("item_id") == i, F.col("section_target")[i]) for i in packs.SECTION_PREFERENCE])
-    texts = F.create_map(*[F.lit(x) for kv in packs.REVISION_TEXT.items() for x in kv])
+    texts = literal_map(packs.REVISION_TEXT)
     out = p.join(st, "doc_id").withColumns(
         {
             "target": F.when(~manual, F.coalesce(preferred, F.col("anchor"))),
@@ -150,7 +150,7 @@ def revised_frame(fr: DataFrame, plan: DataFrame) -> DataFrame:
 def markdown(findings: DataFrame) -> DataFrame:
     """One Markdown report per document, lines in report order."""
     def label(table, col):
-        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(col)), F.col(col))
+        return F.coalesce(F.try_element_at(literal_map(table), F.col(col)), F.col(col))
 
     shown = F.col("certainty") != "undetermined"
     at = F.get("anchors", F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens import packs
 from paperlens.sources.intake import unnest
-from paperlens.functions.text import cs, signal, strip
+from paperlens.functions.text import cs, literal_map, signal, strip
 from paperlens.operators.elements import anchor_for, first_body_anchor, last_body_anchor, last_para, section_anchor
 
 OUTCOME_OF = {  # code -> (item, verdict, severity)
@@ -182,8 +182,7 @@ RULES = [
 
 
 def _lookup(code: Column, pos: int) -> Column:
-    pairs = [F.lit(x) for c, o in OUTCOME_OF.items() for x in (c, o[pos])]
-    return F.element_at(F.create_map(*pairs), code)
+    return F.element_at(literal_map({c: o[pos] for c, o in OUTCOME_OF.items()}), code)
 
 
 def with_findings(features: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ unassessed, then the extra checks, then demotion, then scoring.
 from pyspark.sql import DataFrame, functions as F
 
 from paperlens import packs
+from paperlens.functions.text import literal_map
 from paperlens.operators import checks, elements, gates, reconcile, rules, structure
 from paperlens.sources.intake import unnest
 
@@ -15,7 +16,7 @@ FACT = "array<struct<type:string,para_idx:int,confidence:double>>"
 STRUCTURAL = ("citation", "reference_list")
 
 
-def facts(fr: DataFrame, use_elements=True) -> DataFrame:
+def document_facts(fr: DataFrame, use_elements=True) -> DataFrame:
     """One compact row per document: paper type, rule findings, checks, first facts, table facts."""
     tagged = elements.with_elements(fr) if use_elements else fr.withColumn("elements", F.array().cast(elements.ELEMENT))
     f = rules.with_findings(elements.with_features(tagged))
@@ -40,7 +41,7 @@ def facts(fr: DataFrame, use_elements=True) -> DataFrame:
 
 
 def _message(code, pos, arg0, arg1):
-    table = F.create_map(*[F.lit(x) for k, v in packs.OUTCOMES.items() for x in (k, v[pos])])
+    table = literal_map({k: v[pos] for k, v in packs.OUTCOMES.items()})
     text = F.coalesce(F.try_element_at(table, code), F.lit(""))
     return F.replace(F.replace(text, F.lit("{0}"), F.coalesce(arg0, F.lit(""))), F.lit("{1}"), F.coalesce(arg1, F.lit("")))
 
@@ -119,7 +120,7 @@ def draft(fc: DataFrame, verdicts: DataFrame | None = None, items=packs.CHECKLIS
             _message(F.lit("UNASSESSED"), 0, blank, blank), _message(F.lit("UNASSESSED"), 1, gates.lookup(items, 4, i), blank), blank,
         ),
     )
-    titles = F.create_map(*[F.lit(x) for kv in CHECK_TEXT.items() for x in kv])
+    titles = literal_map(CHECK_TEXT)
 
     def extra_check(phase, certainty):
         return lambda c, i: _finding(
@@ -145,7 +146,7 @@ def draft(fc: DataFrame, verdicts: DataFrame | None = None, items=packs.CHECKLIS
 
 
 def review(
-    fr: DataFrame,
+    fr: DataFrame | None = None,
     verdicts: DataFrame | None = None,
     second: DataFrame | None = None,
     quotes: DataFrame | None = None,
@@ -154,11 +155,13 @@ def review(
     force_advisory=False,
     use_elements=True,
     use_gates=True,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Scored findings, one row each.  ``verdicts`` and ``second`` come from reconcile.normalize_ids."""
+    """Scored findings, one row each; ``facts`` may be given in place of the frame.  ``verdicts`` and ``second`` come from reconcile.normalize_ids."""
     if verdicts is not None and second is not None:
         verdicts = reconcile.dual_check(verdicts, second)
-    f = draft(facts(fr, use_elements), verdicts, items, mark_unassessed=use_gates)
+    fc = document_facts(fr, use_elements) if facts is None else facts
+    f = draft(fc, verdicts, items, mark_unassessed=use_gates)
     if quotes is not None:
         pending = reconcile.pending_quotes(f)
         f = reconcile.apply_quotes(f, reconcile.verify_quotes(pending, quotes, structure.units(fr)))

@@ -33,6 +33,11 @@ def read_checklists(spark, path: str) -> DataFrame:
     return nested.unionByName(bare).withColumnRenamed("id", "item_id")
 
 
+def read_items(spark, folder: str) -> DataFrame:
+    """Checklists stored as one folder of JSON lines per checklist (checklist=<name>)."""
+    return spark.read.schema(ITEM_SCHEMA + ", checklist string").json(folder).withColumnRenamed("id", "item_id")
+
+
 def _fields(ddl):
     return [f.strip() for f in ddl.split(", ")]
 

@@ -1,6 +1,7 @@
 """Sinks: findings and reports to Parquet, Markdown to text, and staged intermediate tables."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,10 +24,19 @@ def report_listing(reports: DataFrame, json_column: str, order: str) -> DataFram
     return r.drop(json_column).orderBy(F.desc(order))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder; a folder of our own only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The cluster's checkpoint folder; a folder of our own only where none is set (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperlens-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperlens-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
