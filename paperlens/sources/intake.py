@@ -17,7 +17,7 @@ def read(spark, sf_dir, table) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input with fewer splits than cores; a large scan is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores * 3) if df.rdd.getNumPartitions() < cores else df
 
 
 def unnest(df: DataFrame, array, *keep, pos=None) -> DataFrame:
