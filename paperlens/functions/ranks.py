@@ -29,7 +29,7 @@ def nearest_rank(df: DataFrame, group: str, value: str, percents) -> DataFrame:
     return near.withColumn("from", lower).filter((F.col("idx") >= F.col("from")) & (F.col("idx") < F.col("from") + F.col("n"))).select(group, "pct", value)
 
 
-def previous_time(df: DataFrame, key: str, ts: str, tie: str, block="1 day") -> DataFrame:
+def previous_time(df: DataFrame, key: str, ts: str, tie: str, block="1 hour") -> DataFrame:
     """Adds ``prev_ts`` per key without ordering a whole key in one task.
 
     ``lag`` runs inside (key, time block); the first row of a block takes the latest time of the

@@ -81,7 +81,7 @@ def quota(requests: DataFrame, key: str, ts: str, tie: str, limit: int, window_s
     return ordered.mapInPandas(walk, schema)
 
 
-def latest_mark(df: DataFrame, key, ts, tie, mark, name, block="1 day") -> DataFrame:
+def latest_mark(df: DataFrame, key, ts, tie, mark, name, block="1 hour") -> DataFrame:
     """Last non-null ``mark`` at or before each row, per key, computed in (key, block) pieces."""
     from pyspark.sql import Window
 

@@ -28,18 +28,18 @@ def dual_check(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
-def tagged_verdicts(verdicts: DataFrame) -> DataFrame:
-    """Every verdict row, plus one ``fold`` row per document with the per-item summary.
+def tagged_verdicts(verdicts: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """Every verdict row (``extra``), plus one carrier row per document with the per-item summary (``folds``).
 
-    The summary is aggregated map-side to at most one entry per known item, so a document with
-    a flood of verdict rows never has them gathered in one group.
+    The summary is aggregated map-side to at most one entry per known item, so a document with a
+    flood of verdict rows never has them gathered in one group.  Since every document has a carrier,
+    the plan can use an inner join on doc_id, which adaptive execution may split on either side.
     """
     none = F.lit(None)
     cols = ["item_id", "mseq", "verdict", "severity", "headline", "description", "suggestion", "dual_check", "dual_verdict"]
     for c in ("dual_check", "dual_verdict"):
         if c not in verdicts.columns:
             verdicts = verdicts.withColumn(c, none.cast("string"))
-    row = F.struct(*cols)
     folds = (
         verdicts.groupBy("doc_id", "item_id")
         .agg(
@@ -50,7 +50,8 @@ def tagged_verdicts(verdicts: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("item_id", "llm_verdict", "description", "suggestion")).alias("folds"))
     )
-    return verdicts.select("doc_id", row.alias("extra")).unionByName(folds, allowMissingColumns=True)
+    carriers = doc_ids.join(folds, "doc_id", "left")
+    return verdicts.select("doc_id", F.struct(*cols).alias("extra")).unionByName(carriers, allowMissingColumns=True)
 
 
 def pending_quotes(findings: DataFrame, max_items=packs.VERIFY_MAX_ITEMS) -> DataFrame:

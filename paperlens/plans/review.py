@@ -85,7 +85,7 @@ def draft(fc: DataFrame, verdicts: DataFrame | None = None, items=packs.CHECKLIS
     if verdicts is None:
         j = fc.withColumns({"folds": F.array().cast(fold_type), "extra": F.lit(None)})
     else:
-        j = fc.join(reconcile.tagged_verdicts(verdicts), "doc_id", "left").withColumn("folds", F.coalesce("folds", F.array().cast(fold_type)))
+        j = fc.join(reconcile.tagged_verdicts(verdicts, fc.select("doc_id")), "doc_id").withColumn("folds", F.coalesce("folds", F.array().cast(fold_type)))
     ruled = F.filter("findings", lambda f: elements.applicable(f["item_id"], kind))
 
     def merged(f, i):
