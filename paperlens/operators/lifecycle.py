@@ -33,10 +33,9 @@ def residue(tables: dict, purged: dict) -> DataFrame:
     parts = []
     for name, (df, key) in tables.items():
         left = df.join(purged[key], key, "left_anti")
-        parts.append(
-            df.agg(F.count("*").alias("before")).select(F.lit(name).alias("table_name"), "before").join(left.agg(F.count("*").alias("after")).select(F.lit(name).alias("table_name"), "after"), "table_name")
-        )
-    return reduce(DataFrame.unionByName, parts)
+        parts += [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), F.lit(side).alias("side"), "n") for side, d in (("before", df), ("after", left))]
+    n = lambda side: F.max(F.when(F.col("side") == side, F.col("n"))).alias(side)
+    return reduce(DataFrame.unionByName, parts).groupBy("table_name").agg(n("before"), n("after"))
 
 
 def latest_job_state(log: DataFrame) -> DataFrame:
