@@ -8,7 +8,7 @@ from paperlens.catalog.common import docs, facts, once, overlay_frame, rule_rows
 from paperlens.operators import elements, evaluate, gates, reconcile, reports, structure
 from paperlens.oracle.sql import inlist, q, sql
 from paperlens.plans.compare import review_and_compare
-from paperlens.plans.review import draft, review
+from paperlens.plans.review import document_facts, draft, review
 from paperlens.sources import verdicts as V
 from paperlens.sources.intake import read, unnest
 from paperlens.sources.sinks import staged
@@ -401,11 +401,11 @@ def eva_anchor_misses(spark, d):
 @query("eva_ablation")
 def eva_ablation(spark, d):
     """Elements x gates x model switches over one truth table."""
-    fr = overlay_frame(spark, d)
+    bare = staged(document_facts(overlay_frame(spark, d), use_elements=False))
     runs = {
-        "E": review(fr, use_elements=False, use_gates=False),
-        "A": review(fr, use_gates=False),
-        "B": review(fr, use_elements=False),
+        "E": staged(review(facts=bare, use_gates=False)),
+        "A": staged(review(facts=facts(spark, d), use_gates=False)),
+        "B": staged(review(facts=bare)),
         "C": scored(spark, d),
         "D": with_model(spark, d),
     }
