@@ -29,11 +29,11 @@ def residue(key: str, modulus: int) -> Column:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Integers below 2^32 as compressed byte planes: small where values are small or repeat."""
-    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    """Whole numbers from 0 as compressed byte planes: small where values are small or repeat."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()

@@ -194,3 +194,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     out = found.select(F.col("key").alias(keep), F.col("n_words").cast("bigint").alias("n_words"), "spans")
     out = out.withColumns({"n_hit": covered(F.col("spans")), "items": F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"])))})
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs` without a benchmark window; all columns pass through.
+
+    Only the keys of contaminated rows move to the documents.  Rows that share a contaminated doc_id are looked at by
+    their texts' hash too, so that a clean row does not go for another's sake.
+    """
+    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h")).cast("struct<doc_id:string,h:bigint>").cast("string"))
+    found = decontaminate(keyed, benchmark, window, keep="_key").filter("contaminated").select("_key").distinct()
+    return keyed.join(found, "_key", "left_anti").drop("_key")

@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from paperlens.llm.common import stored
 from paperlens.llm.components import components
@@ -181,3 +181,16 @@ def near_duplicates(docs: DataFrame, slack: int = 2, text: str = "text", keep: s
     moved = joined.join(first, "root").select(F.col("fp").alias("_fp"), "first")
     least = least.join(moved, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("first", "least").alias("component_id"))
     return fps.join(least, F.col("fp") == F.col("_fp")).select(keep, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, slack: int = 2) -> DataFrame:
+    """The rows that stay when every group of near-duplicates keeps one: its smallest doc_id, and of rows that repeat
+    this doc_id the one whose text is smallest.  Columns pass through; the texts move once, by doc_id.
+
+    Groups whose rows have no doc_id keep one row in all.
+    """
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = near_duplicates(docs, slack).select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_id")).distinct()
+    rows = docs.withColumn("_id", id_text).join(kept, "_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("text"))
+    return rows.withColumn("_row", first).filter("_row = 1").select(*docs.columns)

@@ -79,3 +79,40 @@ g AS (SELECT r, sum(size) OVER (ORDER BY finish, k, doc_id NULLS FIRST, size ROW
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(x.taken, 0)::BIGINT AS taken
 FROM q LEFT JOIN (SELECT r, sum(size) AS taken FROM g WHERE took GROUP BY r) x USING (r)
 """
+
+LINE_DEDUP = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (
+  SELECT r, doc_id, i - 1 AS pos, ls[i] AS s, length(ls[i]) AS n
+  FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) WHERE regexp_matches(ls[i], '[^\\x20\\x09-\\x0D]')),
+u AS (SELECT s, n, min({'k': doc_id IS NULL, 'd': doc_id, 'a': pos}) AS p FROM l GROUP BY s, n),
+k AS (
+  SELECT s, n, p, m, side, CASE side WHEN 1 THEN left(s, m // 2) ELSE right(s, m - m // 2) END AS half
+  FROM (SELECT s, n, p, unnest([n, n - 1]) AS m FROM u WHERE n >= 20), (VALUES (1), (2)) v(side)),
+c AS (
+  SELECT DISTINCT a.s AS s, b.s AS t FROM k a JOIN k b USING (m, side, half)
+  WHERE a.p > b.p AND a.s <> b.s AND abs(a.n - b.n) <= 1),
+e AS (
+  SELECT DISTINCT s FROM (
+    SELECT s, greatest(length(s), length(t)) AS n,
+      list_max(list_filter(range(0, least(length(s), length(t)) + 1), lambda i: left(s, i) = left(t, i))) AS pre,
+      list_max(list_filter(range(0, least(length(s), length(t)) + 1), lambda i: right(s, i) = right(t, i))) AS post FROM c)
+  WHERE pre + post >= n - 1),
+keep AS (SELECT l.r, l.pos FROM l JOIN u USING (s) WHERE l.doc_id IS NOT DISTINCT FROM u.p.d AND l.pos = u.p.a AND l.s NOT IN (SELECT s FROM e)),
+n AS (SELECT r, count(*) AS n_lines FROM l GROUP BY r),
+kn AS (SELECT r, count(*) AS n_kept, list(pos) AS ats FROM keep GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept,
+  md5(CASE WHEN coalesce(n_kept, 0) = coalesce(n_lines, 0) THEN text WHEN coalesce(n_kept, 0) = 0 THEN ''
+    ELSE array_to_string(list_filter(ls, lambda x, i: NOT regexp_matches(x, '[^\\x20\\x09-\\x0D]') OR list_contains(ats, i - 1)), chr(10)) END) AS text_md5
+FROM d LEFT JOIN n USING (r) LEFT JOIN kn USING (r)
+"""
+
+ARCHIVES = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+q AS (SELECT page_id, h, n, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN n >= 1000 AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM q
+"""
