@@ -28,8 +28,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens.llm.common import pack, stored, unpack
@@ -45,14 +45,14 @@ ROUNDS = 100
 
 
 def blocks(docs: DataFrame, part: Column, text: str = "text", keep: str = "doc_id", size: int = BLOCK) -> DataFrame:
-    """block, keys, parts and n_tokens of its documents, words, ids (packed)."""
+    """block, keys, parts and n_tokens of its documents, words (compressed), ids (packed)."""
 
     def run(batches):
         kind, keys, parts, sizes, ids, held = None, [], [], [], [], {END: 0, START: 1}
 
         def flush():
-            row = [uuid.uuid4().hex], [keys], [parts], [sizes], [list(held)], [pack(np.array(ids, np.int64))]
-            kinds = pa.string(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()
+            row = [uuid.uuid4().hex], [keys], [parts], [sizes], [squeeze(list(held))], [pack(np.array(ids, np.int64))]
+            kinds = pa.string(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["block", "keys", "parts", "n_tokens", "words", "ids"])
 
         for batch in batches:
@@ -70,7 +70,7 @@ def blocks(docs: DataFrame, part: Column, text: str = "text", keep: str = "doc_i
         if keys:
             yield flush()
 
-    schema = f"block string, keys array<{dict(docs.dtypes)[keep]}>, parts array<int>, n_tokens array<bigint>, words array<binary>, ids binary"
+    schema = f"block string, keys array<{dict(docs.dtypes)[keep]}>, parts array<int>, n_tokens array<bigint>, words binary, ids binary"
     return docs.select(keep, F.col(text).cast("string"), part.alias("part")).mapInArrow(run, schema)
 
 
@@ -78,7 +78,7 @@ class Block:
     """Arrays of one block: tokens and contexts (word numbers), and the distinct words and pairs in the order of their hashes."""
 
     def __init__(self, row: dict):
-        self.words, self.sizes = row["words"], np.array(row["n_tokens"], np.int64)
+        self.words, self.sizes = spread(row["words"]), np.array(row["n_tokens"], np.int64)
         self.tokens = unpack(row["ids"])
         self.part = np.repeat(np.array(row["parts"], np.int64), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -99,31 +99,46 @@ class Block:
         return words[self.word_order], np.bincount(self.pair_of[mine], minlength=len(self.pair_hashes))
 
 
-def cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the buckets (equal ranges of hashes) begin in a sorted list, and its end."""
-    edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(hashes, edges), len(hashes))
+def edges(buckets: int) -> np.ndarray:
+    """First hash of every bucket; buckets are equal ranges of hashes."""
+    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
 
 
 def requests(held: DataFrame, buckets: int) -> DataFrame:
-    names = ["kind", "bucket", "block", "words", "pairs", "kept", "held"]
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
+    """One row per block, kind (words or pairs) and bucket: what is counted, in hash order, and the block's own counts.
+
+    Words travel as one compressed text, pairs as differences of neighbouring hashes, which are short.
+    """
+    names = ["kind", "bucket", "block", "entries", "kept", "held"]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+    first = edges(buckets)
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
                 b, out = Block(row), []
                 counts = [b.counts(KEPT), b.counts(HELD)]
                 for kind, hashes in enumerate((b.word_hashes, b.pair_hashes)):
-                    at = cuts(hashes, buckets)
+                    at = np.append(np.searchsorted(hashes, first), len(hashes))
                     for k in range(buckets):
                         i, j = at[k], at[k + 1]
                         if i < j:
-                            words = [b.words[w] for w in b.word_order[i:j]] if kind == 0 else None
-                            out.append((kind, k, row["block"], words, hashes[i:j].tobytes() if kind else None, pack(counts[0][kind][i:j]), pack(counts[1][kind][i:j])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], t) for n, t in enumerate(kinds)], names=names)
+                            steps = np.diff(hashes[i:j], prepend=first[k : k + 1])
+                            entries = pack(steps) if kind else squeeze([b.words[w] for w in b.word_order[i:j]])
+                            out.append((kind, k, row["block"], entries, pack(counts[0][kind][i:j]), pack(counts[1][kind][i:j])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=names)
+
+    return held.mapInArrow(run, "kind int, bucket int, block string, entries binary, kept binary, held binary")
+
+
+def squeeze(words: list[bytes]) -> bytes:
+    """Words hold no line break."""
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
 
-    return held.mapInArrow(run, "kind int, bucket int, block string, words array<binary>, pairs binary, kept binary, held binary")
+def spread(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
 
 
 def add_up(table: pa.Table) -> pa.Table:
@@ -131,12 +146,13 @@ def add_up(table: pa.Table) -> pa.Table:
     kind = table.column("kind")[0].as_py()
     kept, held = ([unpack(x) for x in table.column(n).to_pylist()] for n in ("kept", "held"))
     ends = np.cumsum([len(x) for x in kept])
+    entries = table.column("entries").to_pylist()
     if kind == 0:
-        flat = pc.list_flatten(table.column("words").combine_chunks()).cast(pa.large_binary()).dictionary_encode()
-        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-        which, distinct = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+        coded = pa.array([w for x in entries for w in spread(x)], pa.large_binary()).dictionary_encode()
+        which, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
     else:
-        distinct, which = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("pairs").to_pylist()]), return_inverse=True)
+        # counted from the bucket's first hash, which all of them share
+        distinct, which = np.unique(np.concatenate([np.cumsum(unpack(x)) for x in entries]), return_inverse=True)
     totals = [np.bincount(which, np.concatenate(x), len(distinct)).astype(np.int64) for x in (kept, held)]
     learned = np.ones(len(distinct), bool) if kind else np.array([w != START for w in distinct])
     tokens, types = int((sum(totals) * learned).sum()), int(((sum(totals) > 0) & learned).sum())
@@ -168,7 +184,8 @@ def context_bucket(counts: np.ndarray) -> np.ndarray:
 
 
 def steps(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, np.round(np.log2(np.where(p > 0, p, 1)) * STEPS), 1).astype(np.int64)
+    """0 for a probability of 0, else 1 and up for quarter powers of two below 1."""
+    return np.where(p > 0, 1 - np.round(np.log2(np.where(p > 0, p, 1)) * STEPS), 0).astype(np.int64)
 
 
 def em(rows: list, types: int) -> dict[int, np.ndarray]:
@@ -213,16 +230,14 @@ def score(docs: DataFrame, part: Column, text: str = "text", keep: str = "doc_id
         seen = kept[0][b.contexts[mine]]
         pair = kept[1][b.pair_of[mine]] / np.maximum(seen, 1)
         word = kept[0][b.tokens[mine]] / max(kept_total, 1)
-        keys = np.stack([context_bucket(seen), steps(pair), steps(word)], axis=1)
-        distinct, which = np.unique(keys, axis=0, return_inverse=True)
-        sums = [np.bincount(which.ravel(), x, len(distinct)) for x in (None, pair, word)]
-        names = ["bucket", "pair", "word", "n", "pairs", "words"]
-        return pa.table(dict(zip(names, [*map(pa.array, distinct.T), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float))])))
-
-    rows = met.applyInArrow(statistics, "bucket bigint, pair bigint, word bigint, n bigint, pairs double, words double")
-    rows = rows.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"), F.sum("words").alias("words"))
-    rows = rows.orderBy("bucket", "pair", "word").collect()  # bounded by the steps, not by the corpus
-    mixture = by_bucket(em([(r["bucket"], r["n"], r["pairs"] / r["n"], r["words"] / r["n"]) for r in rows], types))
+        cells, which = np.unique(context_bucket(seen) << 24 | steps(pair) << 12 | steps(word), return_inverse=True)
+        n, pairs, words = (np.bincount(which, x, len(cells)) for x in (None, pair, word))
+        return pa.table({"cell": cells, "n": n.astype(np.int64), "pairs": pairs.astype(float), "words": words.astype(float)})
+
+    rows = met.applyInArrow(statistics, "cell bigint, n bigint, pairs double, words double")
+    rows = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"), F.sum("words").alias("words"))
+    rows = rows.orderBy("cell").collect()  # bounded by the steps, not by the corpus
+    mixture = by_bucket(em([(r["cell"] >> 24, r["n"], r["pairs"] / r["n"], r["words"] / r["n"]) for r in rows], types))
 
     def scores(block: pa.Table, found: pa.Table) -> pa.Table:
         b, kept, out = together(block, found)
