@@ -17,6 +17,7 @@ in a url are percent-encoded; an empty table gives no archive.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import uuid
@@ -39,15 +40,34 @@ LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 
 
+def squeezed(pages: DataFrame) -> DataFrame:
+    """page_id, url, same (SHA-256 of the payload), digest (its SHA-1) and the payload, compressed for its way to a writer."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            payloads = batch.column(2).to_pylist()
+            columns = [[hashlib.sha256(p).digest() for p in payloads], [hashlib.sha1(p).hexdigest() for p in payloads], [packer.compress(p) for p in payloads]]
+            kinds = pa.binary(), pa.string(), pa.binary()
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["page_id", "url", "same", "digest", "packed"])
+
+    rows = pages.select("page_id", F.col("url").cast("string"), payload().alias("payload"))
+    return rows.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, same binary, digest string, packed binary")
+
+
+def payload():
+    return F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
+
+
 def classified(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest (SHA-1), refers_to (null for responses)."""
-    p = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    p = p.withColumn("same", F.sha2("payload", 256))
-    n = F.octet_length("payload")
-    first = p.filter(n >= REVISIT).groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    p = p.join(first, "same", "left").withColumn("digest", F.sha1("payload"))
-    earlier = ~F.col("first").eqNullSafe(F.col("page_id"))
-    return p.select("page_id", "url", "payload", "digest", F.when(F.col("first").isNotNull() & earlier, F.col("first")).alias("refers_to"))
+    """The squeezed pages with refers_to (null for responses)."""
+    large = pages.select("page_id", payload().alias("payload")).filter(F.octet_length("payload") >= REVISIT)
+    first = large.groupBy(F.unhex(F.sha2("payload", 256)).alias("same")).agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    # always a merge join: the payloads are dealt to the writers here, and a large digest can be split
+    p = squeezed(pages).join(first.filter("n > 1").drop("n").hint("merge"), "same", "left")
+    earlier = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    return p.select("page_id", "url", "packed", "digest", F.when(earlier, F.col("first")).alias("refers_to"))
 
 
 def name(page) -> str:
@@ -101,7 +121,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         fs, base = opened(folder)
-        rows, records, held, attempt = [], [], 0, uuid.uuid4().hex
+        rows, records, held, attempt, unpacker = [], [], 0, uuid.uuid4().hex, zstandard.ZstdDecompressor()
 
         def flush(number):
             data, spans = archive(records)
@@ -115,9 +135,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             fs.create_dir(base, recursive=True)
             page_type = batch.column(0).type
-            for page, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, packed, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 rows.append(page)
-                records.append(record(page, url, payload, digest, refers_to))
+                records.append(record(page, url, unpacker.decompress(packed), digest, refers_to))
                 held += len(records[-1])
                 if held >= ROLL:
                     yield flush(number)
@@ -147,7 +167,7 @@ def parse(data: bytes):
         yield headers, block
 
 
-def read(spark, folder: str, index: DataFrame, kind: str = "bigint") -> DataFrame:
+def read(folder: str, index: DataFrame, kind: str = "bigint") -> DataFrame:
     """Records of the archives that the index names: page_id, url, payload (null for revisits), payload_bytes, digest, type, refers_to."""
 
     def page(value):
@@ -155,10 +175,11 @@ def read(spark, folder: str, index: DataFrame, kind: str = "bigint") -> DataFram
         return None if text == "None" else text
 
     def run(batches):
-        import hashlib
-
+        fs, base = opened(folder)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            for file in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{base}/{file}", compression=None) as stream:
+                    data = stream.read()
                 out = []
                 for h, block in parse(data):
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -173,12 +194,8 @@ def read(spark, folder: str, index: DataFrame, kind: str = "bigint") -> DataFram
                 names = ["page", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
-    names = index.select("archive").distinct()
-    if not names.take(1):
-        files = spark.createDataFrame([], "content binary")
-    else:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-        files = files.withColumn("archive", F.element_at(F.split("path", "/"), -1)).join(names, "archive", "left_semi").select("content")
+    files = index.select("archive").distinct()
+    files = files.repartition(max(1, files.count()), "archive")  # names move, archives do not
     schema = "page string, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers string"
     rows = files.mapInArrow(run, schema)
     return rows.select(F.col("page").cast(kind).alias("page_id"), "url", "payload", "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to"))
@@ -186,6 +203,5 @@ def read(spark, folder: str, index: DataFrame, kind: str = "bigint") -> DataFram
 
 def archived(pages: DataFrame) -> DataFrame:
     """All pages written to a new folder of archives and read back."""
-    spark = pages.sparkSession
-    folder = new_folder(spark, "archives")
-    return read(spark, folder, write(pages, folder), dict(pages.dtypes)["page_id"])
+    folder = new_folder(pages.sparkSession, "archives")
+    return read(folder, write(pages, folder), dict(pages.dtypes)["page_id"])
