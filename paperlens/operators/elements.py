@@ -1,5 +1,6 @@
 """Method-fact extraction, anchors and paper type, all inside the document row."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +12,11 @@ from paperlens.functions.text import HAN, any_of, any_of_by_first, ci, cs, needs
 ELEMENT = "array<struct<type:string,value:string,para_idx:int,sent_idx:int,confidence:double,in_table:boolean>>"
 
 
+def folded(pattern: str) -> str:
+    """The pattern in lower case, but for escapes: \\D, \\S, \\W, \\B and \\p{Lu} keep their meaning."""
+    return re.sub(r"(\\(?:[pP]\{[^}]*\}|.))|([^\\]+)", lambda m: m[1] or m[2].lower(), pattern, flags=re.DOTALL)
+
+
 def tag(text: Column, patterns=packs.ELEMENT_PATTERNS) -> Column:
     """Types whose pattern set hits the text; each type at most once, in pack order.
 
@@ -18,8 +24,8 @@ def tag(text: Column, patterns=packs.ELEMENT_PATTERNS) -> Column:
     no vocabulary at all, and patterns that need a Han character are tried only on text with one:
     the same hits for a fraction of the work.
     """
-    han_only = {k: [p.lower() for p in ps if needs_han(p)] for k, ps in patterns.items()}
-    rest = {k: [p.lower() for p in ps if not needs_han(p)] for k, ps in patterns.items()}
+    han_only = {k: [folded(p) for p in ps if needs_han(p)] for k, ps in patterns.items()}
+    rest = {k: [folded(p) for p in ps if not needs_han(p)] for k, ps in patterns.items()}
 
     def either(low, han, plain, hans):
         tests = [low.rlike(cs(plain))] if plain else []

@@ -177,3 +177,25 @@ def test_thresholds_and_consistency(spark):
     runs = spark.createDataFrame([(1, 0, "a", "problem"), (1, 1, "a", "problem"), (1, 0, "b", "pass"), (1, 1, "b", "problem"), (1, 0, "c", "pass")], "doc_id int, run int, item_id string, verdict string")
     r = evaluate.run_consistency(runs, 2).first()
     assert (r["common_items"], r["stable_items"], r["problem_inter"], r["problem_union"]) == (2, 1, 1, 2)
+
+
+def test_folded_patterns_keep_their_classes(spark):
+    from pyspark.sql import functions as F
+
+    from paperlens.operators.elements import folded, tag
+
+    assert folded(r"AB\D\S\p{Lu}[A-Z]") == r"ab\D\S\p{Lu}[a-z]"
+    df = spark.createDataFrame([("ab12",), ("ABxx",)], "t string")
+    assert [r[0] for r in df.select(tag(F.col("t"), {"k": [r"Ab\D"]})).collect()] == [[], ["k"]]
+
+
+def test_false_positives_of_clean_documents_count(spark):
+    from paperlens.operators.evaluate import detection, group_report
+    from paperlens.packs import ITEM_IDS
+
+    item = ITEM_IDS[0]
+    found = spark.createDataFrame([(1, 0, item, "problem", "major", "c", [3]), (2, 0, item, "problem", "major", "c", [5])], "doc_id bigint, seq int, item_id string, verdict string, severity string, code string, anchors array<int>")
+    truth = spark.createDataFrame([(1, "flawed", item, 3)], "doc_id bigint, grp string, item_id string, para_idx int")
+    samples = spark.createDataFrame([(1, "flawed"), (2, "clean")], "doc_id bigint, grp string")
+    overall = group_report(detection(found, truth, samples=samples)).filter("grp is null").first()
+    assert (overall["hit"], overall["fp"], overall["precision"]) == (1, 1, 0.5)
