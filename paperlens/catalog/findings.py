@@ -84,7 +84,7 @@ def mod_merge(spark, d):
 
 @query("mod_dual_check", sql("SELECT doc_id, mseq, item_id, verdict, dual_check, dual_verdict FROM dual"))
 def mod_dual_check(spark, d):
-    return reconcile.dual_check(verdicts(spark, d), second(spark, d)).select("doc_id", "mseq", "item_id", "verdict", "dual_check", "dual_verdict")
+    return reconcile.dual_check(*[reconcile.restrict(v, facts(spark, d)) for v in (verdicts(spark, d), second(spark, d))]).select("doc_id", "mseq", "item_id", "verdict", "dual_check", "dual_verdict")
 
 
 @query("mod_dual_review", sql("SELECT doc_id, seq, item_id, verdict, confidence, grade, gate_reason FROM fd"))
@@ -356,7 +356,16 @@ TRUTH = f"""SELECT doc_id, {GROUPS} AS grp, item_id, CASE WHEN (doc_id + item_no
   SELECT d.doc_id, i.item_id, i.item_no, p.para_idx, p.doc_id IS NOT NULL AS found FROM docs d CROSS JOIN items i LEFT JOIN ({PROB.format('fr')}) p ON p.doc_id = d.doc_id AND p.item_id = i.item_id)
   WHERE found <> ((doc_id * 17 + item_no) % 11 = 0)"""
 DET = f"SELECT coalesce(g.doc_id, w.doc_id) AS doc_id, coalesce(g.item_id, w.item_id) AS item_id, g.para_idx AS got_para, w.para_idx AS want_para, g.doc_id IS NOT NULL AS detected, w.doc_id IS NOT NULL AS expected FROM (SELECT * FROM ({PROB.format('fr')}) WHERE item_id IN (SELECT item_id FROM items)) g FULL JOIN ({TRUTH}) w ON w.doc_id = g.doc_id AND w.item_id = g.item_id"
-DETG = f"SELECT x.*, t.grp FROM ({DET}) x JOIN (SELECT DISTINCT doc_id, grp FROM ({TRUTH})) t ON t.doc_id = x.doc_id"
+DETG = f"SELECT x.*, t.grp FROM ({DET}) x JOIN (SELECT doc_id, {GROUPS} AS grp FROM docs) t ON t.doc_id = x.doc_id"
+
+
+def group():
+    return F.get(F.array(F.lit("fixture"), F.lit("real"), F.lit("planted")), F.pmod("doc_id", F.lit(3)).cast("int")).alias("grp")
+
+
+def samples(spark, d):
+    """Every document with its group, those without expected items included."""
+    return docs(spark, d).select("doc_id", group())
 
 
 def truth(spark, d):
@@ -367,14 +376,13 @@ def truth(spark, d):
     j = grid.join(found, ["doc_id", "item_id"], "left")
     flip = F.pmod(F.col("doc_id") * 17 + F.col("item_no"), F.lit(11)) == 0
     j = j.filter(F.coalesce("found", F.lit(False)) != flip)
-    grp = F.get(F.array(F.lit("fixture"), F.lit("real"), F.lit("planted")), F.pmod("doc_id", F.lit(3)).cast("int"))
     moved = F.when((F.col("doc_id") + F.col("item_no")) % 5 == 0, F.col("para_idx") + 2).otherwise(F.col("para_idx"))
-    return j.select("doc_id", grp.alias("grp"), "item_id", moved.alias("para_idx"))
+    return j.select("doc_id", group(), "item_id", moved.alias("para_idx"))
 
 
 @query("eva_detection", sql(DETG))
 def eva_detection(spark, d):
-    return evaluate.detection(scored(spark, d), truth(spark, d))
+    return evaluate.detection(scored(spark, d), truth(spark, d), samples=samples(spark, d))
 
 
 RATIO = "round(coalesce({a} / nullif({b}, 0), 0), 6)"
@@ -385,17 +393,17 @@ EVAL = f"""SELECT grp, expected, hit, fp, anchor_checked, anchor_ok, {RATIO.form
 
 @query("eva_groups", sql(EVAL))
 def eva_groups(spark, d):
-    return evaluate.group_report(evaluate.detection(scored(spark, d), truth(spark, d)))
+    return evaluate.group_report(evaluate.detection(scored(spark, d), truth(spark, d), samples=samples(spark, d)))
 
 
 @query("eva_anchor_accuracy", sql(f"SELECT anchor_checked, anchor_ok, anchor_rate FROM ({EVAL}) WHERE grp IS NULL"))
 def eva_anchor_accuracy(spark, d):
-    return evaluate.group_report(evaluate.detection(scored(spark, d), truth(spark, d))).filter("grp IS NULL").select("anchor_checked", "anchor_ok", "anchor_rate")
+    return evaluate.group_report(evaluate.detection(scored(spark, d), truth(spark, d), samples=samples(spark, d))).filter("grp IS NULL").select("anchor_checked", "anchor_ok", "anchor_rate")
 
 
 @query("eva_anchor_misses", sql(f"SELECT doc_id, item_id, want_para, got_para FROM ({DETG}) WHERE expected AND detected AND abs(got_para - want_para) > 1"))
 def eva_anchor_misses(spark, d):
-    return evaluate.anchor_misses(evaluate.detection(scored(spark, d), truth(spark, d)))
+    return evaluate.anchor_misses(evaluate.detection(scored(spark, d), truth(spark, d), samples=samples(spark, d)))
 
 
 @query("eva_ablation")
@@ -409,20 +417,20 @@ def eva_ablation(spark, d):
         "C": scored(spark, d),
         "D": with_model(spark, d),
     }
-    return evaluate.ablation(runs, staged(truth(spark, d)))
+    return evaluate.ablation(runs, staged(truth(spark, d)), samples=samples(spark, d))
 
 
-GOLD = "SELECT doc_id, type FROM (SELECT d.doc_id, t.type, t.tno, e.type IS NOT NULL AS found FROM docs d CROSS JOIN types t LEFT JOIN (SELECT DISTINCT doc_id, type FROM elements) e ON e.doc_id = d.doc_id AND e.type = t.type) WHERE found <> ((doc_id * 7 + tno) % 13 = 0)"
+GOLD = f"SELECT doc_id, type FROM (SELECT d.doc_id, t.type, t.tno, e.type IS NOT NULL AS found FROM docs d CROSS JOIN (SELECT type, tno FROM types UNION ALL VALUES ('citation', {len(P.ELEMENT_TYPES)}), ('reference_list', {len(P.ELEMENT_TYPES) + 1})) t LEFT JOIN (SELECT DISTINCT doc_id, type FROM elements) e ON e.doc_id = d.doc_id AND e.type = t.type) WHERE found <> ((doc_id * 7 + tno) % 13 = 0)"
 
 
 @query(
     "eva_elements",
     sql(f"""SELECT tp, predicted, annotated, precision, recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM (SELECT tp, predicted, annotated, {RATIO.format(a='tp', b='predicted')} AS precision, {RATIO.format(a='tp', b='annotated')} AS recall FROM (
-      SELECT count(*) FILTER (WHERE p.type IS NOT NULL AND g.type IS NOT NULL) AS tp, count(p.type) AS predicted, count(g.type) AS annotated FROM (SELECT DISTINCT doc_id, type FROM elements WHERE type NOT IN ('citation', 'reference_list')) p FULL JOIN ({GOLD}) g ON g.doc_id = p.doc_id AND g.type = p.type))"""),
+      SELECT count(*) FILTER (WHERE p.type IS NOT NULL AND g.type IS NOT NULL) AS tp, count(p.type) AS predicted, count(g.type) AS annotated FROM (SELECT DISTINCT doc_id, type FROM elements) p FULL JOIN ({GOLD}) g ON g.doc_id = p.doc_id AND g.type = p.type))"""),
 )
 def eva_elements(spark, d):
-    rows = once(spark, d, "element_types", lambda: elements.element_rows(tagged(spark, d)).select("doc_id", "type").distinct()).filter(~F.col("type").isin("citation", "reference_list"))
-    kinds = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(i).alias("tno")) for i, t in enumerate(P.ELEMENT_TYPES)])
+    rows = once(spark, d, "element_types", lambda: elements.element_rows(tagged(spark, d)).select("doc_id", "type").distinct())
+    kinds = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(i).alias("tno")) for i, t in enumerate([*P.ELEMENT_TYPES, "citation", "reference_list"])])
     j = unnest(docs(spark, d), kinds, "doc_id").join(rows.withColumn("found", F.lit(True)), ["doc_id", "type"], "left")
     gold = j.filter(F.coalesce("found", F.lit(False)) != (F.pmod(F.col("doc_id") * 7 + F.col("tno"), F.lit(13)) == 0)).select("doc_id", "type")
     return evaluate.element_metrics(rows, gold)
@@ -430,7 +438,7 @@ def eva_elements(spark, d):
 
 @query("eva_thresholds", sql(f"SELECT name, value, floor FROM (SELECT 'detection' AS name, (SELECT recall FROM ({EVAL}) WHERE grp IS NULL) AS value, 0.95::DOUBLE AS floor UNION ALL SELECT 'precision', (SELECT precision FROM ({EVAL}) WHERE grp IS NULL), 0.95 UNION ALL SELECT 'element_f1', 0.0, 0.85) WHERE value < floor"))
 def eva_thresholds(spark, d):
-    g = evaluate.group_report(evaluate.detection(scored(spark, d), truth(spark, d))).filter("grp IS NULL")
+    g = evaluate.group_report(evaluate.detection(scored(spark, d), truth(spark, d), samples=samples(spark, d))).filter("grp IS NULL")
     m = g.select(F.explode(F.array(F.struct(F.lit("detection").alias("name"), F.col("recall").alias("value")), F.struct(F.lit("precision").alias("name"), F.col("precision").alias("value")))).alias("m")).select("m.*")
     return evaluate.below_floor(m)
 
@@ -461,11 +469,11 @@ def eva_latency(spark, d):
     return evaluate.latency_summary(read(spark, d, "events"))
 
 
-@query("eva_truth_upsert", "SELECT doc_id, quality FROM labels UNION ALL SELECT d.doc_id, 0 FROM (SELECT DISTINCT doc_id FROM documents WHERE length(text) < 200) d ANTI JOIN labels l ON l.doc_id = d.doc_id")
+@query("eva_truth_upsert", "SELECT doc_id, quality FROM labels UNION ALL SELECT d.doc_id, 0 FROM (SELECT DISTINCT doc_id FROM documents) d ANTI JOIN labels l ON l.doc_id = d.doc_id")
 def eva_truth_upsert(spark, d):
-    """Labels plus a default label for short documents that have none."""
+    """Labels plus a default label for the documents that have none."""
     old = read(spark, d, "labels").select("doc_id", "quality")
-    new = read(spark, d, "documents").filter(F.length("text") < 200).select("doc_id", F.lit(0).alias("quality"))
+    new = read(spark, d, "documents").select("doc_id", F.lit(0).alias("quality"))
     return evaluate.upsert_truth(old, new, "doc_id")
 
 

@@ -67,14 +67,14 @@ JOBS = f"(SELECT event_id AS job_id, user_id AS session_id, {JOB_STATE} AS state
 @query(
     "lif_expired_sessions",
     f"""SELECT s.session_id FROM (SELECT user_id AS session_id, min(ts) AS created_at FROM events GROUP BY 1) s
-     WHERE (created_at + INTERVAL 24 HOURS < {NOW} OR created_at < {NOW} - INTERVAL 700 HOURS) AND NOT EXISTS (SELECT 1 FROM {JOBS} j WHERE j.session_id = s.session_id AND j.state = 'running' AND j.created_at >= {NOW} - INTERVAL 12 HOURS)""",
+     WHERE (created_at + INTERVAL 24 HOURS < {NOW} OR created_at < {NOW} - INTERVAL 700 HOURS) AND NOT EXISTS (SELECT 1 FROM (SELECT session_id, arg_max(state, (created_at, job_id)) AS state FROM {JOBS} GROUP BY 1) j WHERE j.session_id = s.session_id AND j.state = 'running')""",
 )
 def lif_expired_sessions(spark, d):
-    """Users as sessions from their first event; jobs of the last 12 hours may still run."""
+    """Users as sessions from their first event; each has one job, in the state of its last event."""
     e = events(spark, d)
     s = e.groupBy(F.col("user_id").alias("session_id")).agg(F.min("ts").alias("created_at"))
-    live = jobs(spark, d).filter(F.col("created_at") >= now() - F.expr("interval 12 hours"))
-    return lifecycle.expired_sessions(s, live, now(), ttl_hours=24, retention_hours=700).select("session_id")
+    j = jobs(spark, d).groupBy("session_id").agg(F.max_by("state", F.struct("created_at", "job_id")).alias("state"))
+    return lifecycle.expired_sessions(s, j, now(), ttl_hours=24, retention_hours=700).select("session_id")
 
 
 @query("lif_stale_jobs", f"SELECT job_id, CASE WHEN state IN ('succeeded', 'failed') THEN 'finished' ELSE 'zombie' END AS reason FROM {JOBS} WHERE (state IN ('succeeded', 'failed') AND updated_at < {NOW} - INTERVAL 30 MINUTES) OR (state IN ('queued', 'running') AND created_at < {NOW} - INTERVAL 30 MINUTES)")

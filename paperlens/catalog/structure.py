@@ -23,13 +23,11 @@ def uploads(spark, d):
 
 @query(
     "src_admission_screen",
-    f"""SELECT page_id, CASE WHEN {EXT} = '.pdf' THEN 'pdf_not_supported' WHEN {EXT} NOT IN ('.com/en/25', '.net/en/25') AND NOT regexp_matches({EXT}, '^[.](com|net)/') THEN 'unsupported_file_type' WHEN size <= 0 THEN 'empty_file' WHEN size > 8192 THEN 'file_too_large' WHEN NOT starts_with(head, '<!DOCTYPE') THEN 'file_content_mismatch' ELSE NULL END AS reject_code FROM ({UPLOAD})""",
+    f"""SELECT page_id, CASE WHEN {EXT} = '.pdf' THEN 'pdf_not_supported' WHEN {EXT} NOT IN ('.com/en/25', '.net/en/25') AND NOT regexp_matches({EXT}, '^[.](com|net)/') THEN 'unsupported_file_type' WHEN size <= 0 THEN 'empty_file' WHEN size > 8192 THEN 'file_too_large' WHEN NOT starts_with(head, '<!DOCTYPE') THEN 'file_content_mismatch' WHEN total_bytes > 314572800 OR total_bytes / greatest(packed_bytes, 1) > 120 THEN 'file_too_large_uncompressed' END AS reject_code FROM ({UPLOAD})""",
 )
 def src_admission(spark, d):
     ups = uploads(spark, d).withColumn("name", F.regexp_replace("name", r"(?i)\.(com|net)/[^.]*$", ".page"))
-    return intake.admission(ups, max_mb=8192 / 1024 / 1024, allowed=(".page",), magic="<!DOCTYPE").select(
-        "page_id", F.when(F.col("reject_code").isin("file_too_large_uncompressed", "too_many_pages"), None).otherwise(F.col("reject_code")).alias("reject_code")
-    )
+    return intake.admission(ups, max_mb=8192 / 1024 / 1024, allowed=(".page",), magic="<!DOCTYPE").select("page_id", "reject_code")
 
 
 @query(
@@ -55,9 +53,18 @@ def src_html_blocks(spark, d):
     return intake.block_rows(intake.html_blocks(spread(read(spark, d, "pages"))))
 
 
-@query("str_html_sections", f"SELECT page_id AS doc_id, para_idx, text AS title, CAST(style[-1] AS INTEGER) AS level, 1.0::DOUBLE AS confidence, false AS needs_review FROM ({HROWS}) WHERE text <> '' AND starts_with(style, 'Heading') UNION ALL SELECT page_id, para_idx, text, 1, 0.7, true FROM ({HROWS}) WHERE false")
+HREASON = f"""SELECT *, CASE WHEN starts_with(style, 'Heading') THEN 'style' WHEN contains(text, ' | ') OR starts_with(text, '![') OR length(text) > {P.HEADING_MAX} OR {rx('text', P.CAPTION_START)} THEN NULL
+   WHEN regexp_matches(text, {q(P.NUMBERING)}) THEN 'numbering' WHEN regexp_matches(text, {q(P.TERMINAL)}) THEN NULL WHEN regexp_matches(lower(text), {q('^(?:' + '|'.join(P.SECTION_KEYWORDS) + ')')}) THEN 'keyword' END AS reason,
+   regexp_extract(text, {q(P.NUMBERING)}, 1) AS depth FROM ({HROWS}) WHERE text <> ''"""
+
+
+@query(
+    "str_html_sections",
+    f"""SELECT page_id AS doc_id, para_idx, text AS title, CASE WHEN reason = 'style' THEN CAST(style[-1] AS INTEGER) WHEN depth <> '' THEN least(len(string_split(depth, '.')), 4) ELSE 1 END AS level,
+     CASE WHEN reason = 'style' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence, reason <> 'style' AS needs_review FROM ({HREASON}) WHERE reason IS NOT NULL""",
+)
 def str_html_sections(spark, d):
-    return structure.sections(structure.frame(intake.html_blocks(spread(read(spark, d, "pages"))))).filter(~F.col("needs_review"))
+    return structure.sections(structure.frame(intake.html_blocks(spread(read(spark, d, "pages")))))
 
 
 @query("str_sentences", sql("SELECT doc_id, para_idx, sent_idx, text FROM r_sents"))
@@ -169,8 +176,8 @@ def str_nearest_paragraph(spark, d):
 
 @query("str_citations", sql("SELECT doc_id, cite_idx, para_idx, marker, array_to_string(numbers, ',') AS numbers FROM cites"))
 def str_citations(spark, d):
-    c = structure.citations(overlay_frame(spark, d))
-    return c.select("doc_id", "cite_idx", "para_idx", "marker", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
+    c = structure.citation_ranges(overlay_frame(spark, d))
+    return c.select("doc_id", "cite_idx", "para_idx", "marker", structure.spelled(F.col("numbers"), ",").alias("numbers"))
 
 
 @query("str_citation_filter", sql(f"SELECT doc_id, para_idx, count(*) AS kept FROM marks WHERE NOT starts_with(marker, '[') GROUP BY doc_id, para_idx"))
@@ -194,8 +201,8 @@ def str_references(spark, d):
 
 @query("str_unresolved", sql("SELECT doc_id, cite_idx, para_idx, marker, nums AS unresolved FROM dangling"))
 def str_unresolved(spark, d):
-    c = structure.citations(overlay_frame(spark, d)).filter(F.size("unresolved") > 0)
-    return c.select("doc_id", "cite_idx", "para_idx", "marker", F.concat(F.lit("["), F.array_join(F.col("unresolved").cast("array<string>"), ", "), F.lit("]")).alias("unresolved"))
+    c = structure.citation_ranges(overlay_frame(spark, d)).filter(F.size("unresolved") > 0)
+    return c.select("doc_id", "cite_idx", "para_idx", "marker", F.concat(F.lit("["), structure.spelled(F.col("unresolved")), F.lit("]")).alias("unresolved"))
 
 
 @query(

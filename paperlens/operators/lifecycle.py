@@ -49,7 +49,10 @@ def quota(requests: DataFrame, key: str, ts: str, tie: str, limit: int, window_s
     Each decision depends on the earlier ones, but a pause longer than the window clears the state.
     Keys are cut at such pauses, so one busy key spreads over many tasks, and inside a burst rows
     stream through in time order with a queue of ``limit`` times, never a whole group in memory.
+    A request without a time cannot be placed: it stays, with ``allowed`` null, and takes no slot.
     """
+    untimed = requests.filter(F.col(ts).isNull()).withColumn("allowed", F.lit(None).cast("boolean"))
+    requests = requests.filter(F.col(ts).isNotNull())
     d = previous_time(requests, key, ts, tie)
     starts = F.col("prev_ts").isNull() | (F.col(ts) > F.col("prev_ts") + F.make_dt_interval(secs=F.lit(window_seconds)))
     # every row takes the latest pause at or before it: again in blocks, so no key is ordered whole
@@ -77,7 +80,7 @@ def quota(requests: DataFrame, key: str, ts: str, tie: str, limit: int, window_s
                 flags.append(ok)
             yield pdf[cols].assign(allowed=flags)
 
-    return ordered.mapInPandas(walk, schema)
+    return ordered.mapInPandas(walk, schema).unionByName(untimed)
 
 
 def latest_mark(df: DataFrame, key, ts, tie, mark, name, block="1 hour") -> DataFrame:

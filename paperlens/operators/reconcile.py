@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from paperlens import packs
 from paperlens.functions.text import squeeze
+from paperlens.operators.elements import applicable
 
 
 def normalize_ids(verdicts: DataFrame, items=packs.CHECKLIST) -> DataFrame:
@@ -14,6 +15,12 @@ def normalize_ids(verdicts: DataFrame, items=packs.CHECKLIST) -> DataFrame:
     return verdicts.withColumn("item_id", F.when(exact, F.col("raw_id")).otherwise(F.coalesce(F.try_element_at(by_title, F.col("raw_id")), F.lit("unknown"))))
 
 
+def restrict(verdicts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Items that do not apply to the document's paper type become 'unknown'.  kinds(doc_id, paper_type)."""
+    item = F.when(applicable(F.col("item_id"), F.coalesce("paper_type", F.lit(""))), F.col("item_id")).otherwise("unknown")
+    return verdicts.join(kinds.select("doc_id", "paper_type"), "doc_id", "left").withColumn("item_id", item).drop("paper_type")
+
+
 def dual_check(first: DataFrame, second: DataFrame) -> DataFrame:
     """Disagreement with a second verdict set turns the verdict to uncertain; the last second verdict counts."""
     other = second.groupBy("doc_id", "item_id").agg(F.max_by("verdict", "mseq").alias("dual_verdict"))
@@ -74,23 +81,23 @@ def verify_quotes(pending: DataFrame, quotes: DataFrame, units: DataFrame) -> Da
     """(doc_id, seq, para_idx, quote) of quotes that name the item's topic and stand in the document.
 
     pending(doc_id, seq, rn, item_id) joins quotes(doc_id, rn, quote), then units(doc_id, pos, text)
-    on doc_id with a substring residual; the first unit in order wins (paragraphs, then table rows).
+    on doc_id with a substring residual; the first unit in order wins (paragraphs, then table rows).  Of several
+    quotes for one finding the one with the largest `position` counts (a column of quotes; without it the largest text).
     """
+    if "position" not in quotes.columns:
+        quotes = quotes.withColumn("position", F.lit(0))
     asked = (
         pending.select("doc_id", "seq", "rn", "item_id")
-        .join(quotes.select("doc_id", "rn", "quote"), ["doc_id", "rn"])
+        .join(quotes.select("doc_id", "rn", "position", "quote"), ["doc_id", "rn"])
         .filter(quote_supports(F.col("quote"), F.col("item_id")))
         .withColumn("needle", squeeze(F.col("quote")))
         .filter(F.length("needle") >= packs.QUOTE_MIN)
     )
     hay = units.select("doc_id", "pos", "para_idx", squeeze(F.col("text")).alias("hay"))
-    return (
-        asked.join(hay, "doc_id")
-        .filter(F.col("hay").contains(F.col("needle")))
-        .groupBy("doc_id", "seq", "item_id")
-        .agg(F.min_by("para_idx", "pos").alias("para_idx"), F.first("quote").alias("quote"))
-        .withColumn("quote", F.left("quote", F.lit(120)))
-    )
+    found = asked.join(hay, "doc_id").filter(F.col("hay").contains(F.col("needle")))
+    found = found.groupBy("doc_id", "seq", "item_id", "position", "quote").agg(F.min_by("para_idx", "pos").alias("para_idx"))
+    last = F.max_by(F.struct("para_idx", "quote"), F.struct("position", "quote")).alias("w")
+    return found.groupBy("doc_id", "seq", "item_id").agg(last).select("doc_id", "seq", "item_id", "w.para_idx", F.left("w.quote", F.lit(120)).alias("quote"))
 
 
 def apply_quotes(findings: DataFrame, verified: DataFrame) -> DataFrame:

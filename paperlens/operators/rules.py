@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paperlens import packs
 from paperlens.sources.intake import unnest
 from paperlens.functions.text import cs, literal_map, signal, strip
+from paperlens.operators import structure
 from paperlens.operators.elements import anchor_for, first_body_anchor, last_body_anchor, last_para, section_anchor
 
 OUTCOME_OF = {  # code -> (item, verdict, severity)
@@ -58,7 +59,7 @@ def _units_any(cond) -> Column:
 
 def dangling_citations():
     bad = F.filter("cites", lambda c: F.size(c["unresolved"]) > 0)
-    listed = lambda c: F.concat(F.lit("["), F.array_join(c["unresolved"].cast("array<string>"), ", "), F.lit("]"))
+    listed = lambda c: F.concat(F.lit("["), structure.spelled(c["unresolved"]), F.lit("]"))
     return F.when(F.size(bad) > 0, F.transform(bad, lambda c: _out("REF1_BAD", c["para_idx"], listed(c), c["marker"]))).when(
         F.size("cites") > 0, F.array(_out("REF1_OK", F.get("cites", F.lit(0))["para_idx"]))
     )

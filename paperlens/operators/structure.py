@@ -45,29 +45,53 @@ def reference_number(text: Column) -> Column:
 
 # --- citations --------------------------------------------------------------
 
-LONGEST_RANGE = 100_000
+SPELLED = 100_000
+EMPTY_RANGES = "array<struct<lo:bigint,hi:bigint>>"
 
 
-def expand_numbers(token: Column) -> Column:
-    """'[1-3,5]' to [1,2,3,5]; a reversed range is empty.
-
-    A range longer than LONGEST_RANGE cannot be a citation list; it keeps its two ends so that
-    one garbled marker cannot blow up a row.
-    """
+def ranges(token: Column) -> Column:
+    """'[1-3,5]' to the ranges (1, 3), (5, 5); a reversed range is none."""
 
     def part(p):
         ends = F.split(F.regexp_replace(p, r"\s", ""), "[-–—]")
         left = F.get(ends, F.lit(0)).try_cast("bigint")
         right = F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0))).try_cast("bigint")
-        return (
-            F.when(left.isNull() | right.isNull() | (left > right), F.array().cast("array<bigint>"))
-            .when(right - left > LONGEST_RANGE, F.array(left, right))
-            .otherwise(F.sequence(left, F.greatest(left, F.least(right, left + LONGEST_RANGE))))
-        )
+        return F.when(left <= right, F.array(F.struct(left.alias("lo"), right.alias("hi")))).otherwise(F.array().cast(EMPTY_RANGES))
 
     return F.flatten(F.transform(F.regexp_extract_all(token, F.lit(cs(packs.RANGE_OR_NUMBER)), F.lit(0)), part))
 
 
+def outside(found: Column, known: Column) -> Column:
+    """The parts of the ranges that hold no known number, as ranges: their count is bounded by that of the known numbers."""
+
+    def gaps(r):
+        at = F.array_sort(F.array_distinct(F.filter(known, lambda n: n.between(r["lo"], r["hi"]))))
+        starts = F.concat(F.array(r["lo"]), F.transform(at, lambda n: n + 1))
+        ends = F.concat(F.transform(at, lambda n: n - 1), F.array(r["hi"]))
+        return F.filter(F.zip_with(starts, ends, lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))), lambda g: g["lo"] <= g["hi"])
+
+    return F.flatten(F.transform(found, gaps))
+
+
+def spelled(found: Column, separator=", ") -> Column:
+    """Numbers of the ranges as text; a range of more than SPELLED numbers is written by its ends, as in '1-200000'."""
+
+    def part(r):
+        every = F.transform(F.sequence(r["lo"], F.least(r["hi"], r["lo"] + SPELLED)), lambda n: n.cast("string"))
+        return F.when(r["hi"] - r["lo"] < SPELLED, every).otherwise(F.array(F.concat_ws("-", r["lo"].cast("string"), r["hi"].cast("string"))))
+
+    return F.array_join(F.flatten(F.transform(found, part)), separator)
+
+
+def expand_numbers(token: Column) -> Column:
+    """'[1-3,5]' to [1,2,3,5]: every number of the marker."""
+    return expanded(ranges(token))
+
+
+def expanded(found: Column) -> Column:
+    return F.flatten(F.transform(found, lambda r: F.sequence(r["lo"], r["hi"])))
+
+
 def citation_tokens(text: Column) -> Column:
     """Markers of one paragraph in order: bracket groups, and superscript numbers that are not mathematics.
 
@@ -182,7 +206,7 @@ def _citations(paras: Column, known: Column) -> Column:
             paras,
             lambda p: F.transform(
                 citation_tokens(p["text"]),
-                lambda m: F.struct(p["para_idx"].alias("para_idx"), m.alias("marker"), expand_numbers(m).alias("numbers")),
+                lambda m: F.struct(p["para_idx"].alias("para_idx"), m.alias("marker"), ranges(m).alias("numbers")),
             ),
         )
     )
@@ -193,7 +217,7 @@ def _citations(paras: Column, known: Column) -> Column:
             m["para_idx"].alias("para_idx"),
             m["marker"].alias("marker"),
             m["numbers"].alias("numbers"),
-            F.filter(m["numbers"], lambda n: ~F.array_contains(known, n)).alias("unresolved"),
+            outside(m["numbers"], known).alias("unresolved"),
         ),
     )
 
@@ -282,10 +306,16 @@ def images(fr: DataFrame) -> DataFrame:
     return unnest(fr, "images", "doc_id")
 
 
-def citations(fr: DataFrame) -> DataFrame:
+def citation_ranges(fr: DataFrame) -> DataFrame:
+    """One row per marker; `numbers` and `unresolved` are ranges, whatever their width."""
     return unnest(fr, "cites", "doc_id")
 
 
+def citations(fr: DataFrame) -> DataFrame:
+    """One row per marker with every number written out; markers too wide for an array are left to `citation_ranges`."""
+    return citation_ranges(fr).withColumns({c: expanded(F.col(c)) for c in ("numbers", "unresolved")})
+
+
 def references(fr: DataFrame) -> DataFrame:
     """One row per (document, number); the last entry of a number wins."""
     entries = unnest(fr, "refs", "doc_id")

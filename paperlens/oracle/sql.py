@@ -342,11 +342,13 @@ CTE["vraw"] = f"""
  FROM docs d, items i WHERE (d.doc_id + i.k) % 3 <> 0"""
 CTE["verd"] = """
  SELECT v.*, coalesce(a.item_id, b.item_id, 'unknown') AS item_id FROM vraw v LEFT JOIN items a ON a.item_id = v.raw_id AND a.judge <> 'rule' LEFT JOIN items b ON b.title = v.raw_id AND b.judge <> 'rule' WHERE v.verdict <> 'maybe'"""
-CTE["second"] = "SELECT *, ['problem','pass','problem'][(doc_id + k) % 3 + 1] AS verdict2 FROM verd"
+# both verdict sets are matched on the items that apply to the document; the others are all unknown
+CTE["verda"] = "SELECT v.* EXCLUDE (item_id), coalesce(a.item_id, 'unknown') AS item_id FROM verd v LEFT JOIN applic a ON a.doc_id = v.doc_id AND a.item_id = v.item_id"
+CTE["second"] = "SELECT *, ['problem','pass','problem'][(doc_id + k) % 3 + 1] AS verdict2 FROM verda"
 CTE["dual"] = """
  SELECT v.* EXCLUDE (verdict), CASE WHEN s.verdict2 IS NOT NULL AND s.verdict2 <> v.verdict THEN 'uncertain' ELSE v.verdict END AS verdict,
   CASE WHEN s.verdict2 <> v.verdict THEN 'disagree' END AS dual_check, CASE WHEN s.verdict2 <> v.verdict THEN s.verdict2 END AS dual_verdict
- FROM verd v LEFT JOIN (SELECT doc_id, item_id, arg_max(verdict2, mseq) AS verdict2 FROM second GROUP BY ALL) s USING (doc_id, item_id)"""
+ FROM verda v LEFT JOIN (SELECT doc_id, item_id, arg_max(verdict2, mseq) AS verdict2 FROM second GROUP BY ALL) s USING (doc_id, item_id)"""
 CTE["noverd"] = "SELECT *, CAST(NULL AS VARCHAR) AS dual_check, CAST(NULL AS VARCHAR) AS dual_verdict FROM verd WHERE false"
 CTE["verd1"] = "SELECT *, CAST(NULL AS VARCHAR) AS dual_check, CAST(NULL AS VARCHAR) AS dual_verdict FROM verd"
 CTE["ef"] = "SELECT * FROM (SELECT doc_id, type, arg_min(para_idx, elem_seq) AS para_idx, arg_min(confidence, elem_seq) AS conf FROM elements GROUP BY doc_id, type)"
@@ -368,15 +370,15 @@ def findings(n, verdicts, demote=True):
   FROM (SELECT rulef.*, a.severity_default, row_number() OVER (PARTITION BY rulef.doc_id, rulef.item_id ORDER BY rulef.seq) AS nth FROM rulef JOIN applic a ON a.doc_id = rulef.doc_id AND a.item_id = rulef.item_id) r
   JOIN msgs m ON m.code = r.code LEFT JOIN {n}fold f ON f.doc_id = r.doc_id AND f.item_id = r.item_id AND r.nth = 1
  UNION ALL
- SELECT v.doc_id, 1, 1000000 + v.mseq, 'llm', v.item_id, NULL, v.verdict, v.severity, 'suspected', [], v.headline, v.description, v.suggestion, NULL, false, false, v.dual_check
+ SELECT v.doc_id, 1, {1 << 40} + v.mseq, 'llm', v.item_id, NULL, v.verdict, v.severity, 'suspected', [], v.headline, v.description, v.suggestion, NULL, false, false, v.dual_check
   FROM {n}ext v WHERE v.item_id = 'unknown' OR NOT EXISTS (SELECT 1 FROM rulef r WHERE r.doc_id = v.doc_id AND r.item_id = v.item_id)
  UNION ALL
- SELECT u.doc_id, 2, 2000000 + row_number() OVER (PARTITION BY u.doc_id ORDER BY u.item_no) - 1, 'rule', u.item_id, 'UNASSESSED', 'not_applicable', 'low', 'undetermined', [], m.headline, replace(m.description, '{{0}}', u.title), '', NULL, false, false, NULL
+ SELECT u.doc_id, 2, {2 << 40} + row_number() OVER (PARTITION BY u.doc_id ORDER BY u.item_no) - 1, 'rule', u.item_id, 'UNASSESSED', 'not_applicable', 'low', 'undetermined', [], m.headline, replace(m.description, '{{0}}', u.title), '', NULL, false, false, NULL
   FROM (SELECT a.* FROM applic a ANTI JOIN rulef r ON r.doc_id = a.doc_id AND r.item_id = a.item_id) u JOIN msgs m ON m.code = 'UNASSESSED' WHERE NOT EXISTS (SELECT 1 FROM {n}fold f WHERE f.doc_id = u.doc_id AND f.item_id = u.item_id)
  UNION ALL
- SELECT x.doc_id, 3, 3000000 + row_number() OVER (PARTITION BY x.doc_id ORDER BY pos, c) - 1, 'rule', item_id, code, 'problem', 'low', 'deterministic', [para_idx], NULL, arg0, '', NULL, false, false, NULL FROM numeric x JOIN ptype p ON p.doc_id = x.doc_id AND p.paper_type <> 'review'
+ SELECT x.doc_id, 3, {3 << 40} + row_number() OVER (PARTITION BY x.doc_id ORDER BY pos, c) - 1, 'rule', item_id, code, 'problem', 'low', 'deterministic', [para_idx], NULL, arg0, '', NULL, false, false, NULL FROM numeric x JOIN ptype p ON p.doc_id = x.doc_id AND p.paper_type <> 'review'
  UNION ALL
- SELECT doc_id, 4, 4000000 + row_number() OVER (PARTITION BY doc_id ORDER BY c, o1, o2, o3, o4) - 1, 'rule', 'R-FIG-01', code, 'problem', 'low', 'suspected', [para_idx], NULL, concat_ws(' ', arg0, arg1), '', NULL, false, false, NULL FROM figure"""
+ SELECT doc_id, 4, {4 << 40} + row_number() OVER (PARTITION BY doc_id ORDER BY c, o1, o2, o3, o4) - 1, 'rule', 'R-FIG-01', code, 'problem', 'low', 'suspected', [para_idx], NULL, concat_ws(' ', arg0, arg1), '', NULL, false, false, NULL FROM figure"""
     CTE[n + "1"] = f"""
  SELECT f.* EXCLUDE (certainty, anchors, verdict, description), CASE WHEN core AND engine = 'rule' AND e.solid THEN 'deterministic' ELSE certainty END AS certainty,
   CASE WHEN len(anchors) > 0 OR NOT core THEN anchors ELSE coalesce(e.eparas[1:3], []) END AS anchors, CASE WHEN core THEN coalesce(e.etypes, []) ELSE [] END AS evidence,

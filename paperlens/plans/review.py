@@ -14,6 +14,8 @@ from paperlens.sources.intake import unnest
 
 FACT = "array<struct<type:string,para_idx:int,confidence:double>>"
 STRUCTURAL = ("citation", "reference_list")
+#: `seq` holds the phase above these bits, so the entries of a phase cannot run into the next.
+PHASE_BITS = 40
 
 
 def document_facts(fr: DataFrame, use_elements=True) -> DataFrame:
@@ -61,7 +63,7 @@ def _finding(phase, seq, engine, item, code, verdict, severity, certainty, ancho
     flag = lambda k: prov.get(k, F.lit(False)).alias(k)
     return F.struct(
         F.lit(phase).alias("phase"),
-        (F.lit(phase * 1_000_000).cast("bigint") + seq).alias("seq"),
+        (F.lit(phase << PHASE_BITS).cast("bigint") + seq).alias("seq"),
         F.lit(engine).alias("engine"),
         item.alias("item_id"),
         code.cast("string").alias("code"),
@@ -158,9 +160,9 @@ def review(
     facts: DataFrame | None = None,
 ) -> DataFrame:
     """Scored findings, one row each; ``facts`` may be given in place of the frame.  ``verdicts`` and ``second`` come from reconcile.normalize_ids."""
-    if verdicts is not None and second is not None:
-        verdicts = reconcile.dual_check(verdicts, second)
     fc = document_facts(fr, use_elements) if facts is None else facts
+    if verdicts is not None and second is not None:
+        verdicts = reconcile.dual_check(reconcile.restrict(verdicts, fc), reconcile.restrict(second, fc))
     f = draft(fc, verdicts, items, mark_unassessed=use_gates)
     if quotes is not None:
         pending = reconcile.pending_quotes(f)

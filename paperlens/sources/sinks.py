@@ -25,10 +25,13 @@ def report_listing(reports: DataFrame, json_column: str, order: str) -> DataFram
 
 
 def shared_folder(spark) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set (tests)."""
+    """The cluster's checkpoint folder; a folder of our own only where none is set on one machine (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperlens-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paperlens-"))
     return sc.getCheckpointDir()
 
 

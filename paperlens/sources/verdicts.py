@@ -1,16 +1,12 @@
 """Externally supplied model output: verdict payloads, image readings, quotes.  No model is called."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlens import packs
 from paperlens.functions.text import strip
 
-VERDICT_JSON = "array<struct<checklist_item_id:string,verdict:string,severity:string,headline:string,description:string,suggestion:string>>"
-
-
-def item_number(position):
-    """1-based position of an item in the checklist, as a Spark int literal."""
-    return F.lit(position + 1)
+#: Lengths that the texts of an entry are cut to (limits of the contract).
+HEADLINE_MAX, DESCRIPTION_MAX, SUGGESTION_MAX = 200, 2000, 1000
 
 
 def synthetic_payloads(documents: DataFrame) -> DataFrame:
@@ -33,28 +29,47 @@ def synthetic_payloads(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.to_json(F.transform(picked, entry)).alias("content"))
 
 
+def _entries(content: Column) -> Column:
+    """Entries of a bare array or of {"findings": [...]} as array<variant>.
+
+    A text that is no variant as a whole (an object that repeats a key) is taken apart first, so that only the entry
+    with the repeated key is lost to the contract; a text that is no JSON has no entries.
+    """
+    whole = F.try_parse_json(content)
+    shape = F.schema_of_variant(whole)
+    direct = F.when(shape.startswith("ARRAY"), F.try_variant_get(whole, "$", "array<variant>")).when(shape.startswith("OBJECT"), F.try_variant_get(whole, "$.findings", "array<variant>"))
+    pieces = F.coalesce(F.when(content.rlike(r"^\s*\["), F.from_json(content, "array<string>")), F.from_json(F.get_json_object(content, "$.findings"), "array<string>"))
+    return F.when(whole.isNotNull(), direct).otherwise(F.transform(pieces, F.try_parse_json))
+
+
 def parse_verdicts(payloads: DataFrame, content="content") -> DataFrame:
-    """One row per entry with a ``valid`` flag; accepts a bare array or {"findings": [...]}."""
-    arr = F.coalesce(
-        F.when(F.col(content).rlike(r"^\s*\["), F.from_json(content, VERDICT_JSON)),
-        F.from_json(F.get_json_object(content, "$.findings"), VERDICT_JSON),
-    )
-    rows = payloads.select("doc_id", F.posexplode_outer(arr).alias("mseq", "e")).filter(F.col("mseq").isNotNull())
-    text = lambda c, n: F.left(F.coalesce(F.col(f"e.{c}"), F.lit("")), F.lit(n)).alias(c)
+    """One row per entry with a ``valid`` flag; accepts a bare array or {"findings": [...]}.
+
+    An entry is judged alone: one that is no object, lacks its id or verdict, or holds a value of another type or
+    outside the vocabulary, is invalid and leaves the others alone.  Null counts as missing for the severity only.
+    """
+    rows = payloads.select("doc_id", F.posexplode_outer(_entries(F.col(content))).alias("mseq", "e")).filter(F.col("mseq").isNotNull())
+    fields = ("checklist_item_id", "verdict", "severity", "headline", "description", "suggestion")
+    at = {n: F.try_variant_get("e", f"$.{n}", "variant") for n in fields}
+    kind = {n: F.schema_of_variant(at[n]) for n in fields}
+    read = {n: F.when(kind[n] == "STRING", F.try_variant_get("e", f"$.{n}", "string")) for n in fields}
     valid = (
-        F.col("e.checklist_item_id").isNotNull()
-        & F.coalesce(F.col("e.verdict").isin(packs.VERDICTS), F.lit(False))
-        & (F.col("e.severity").isNull() | F.col("e.severity").isin(packs.SEVERITIES))
+        read["checklist_item_id"].isNotNull()
+        & F.coalesce(read["verdict"].isin(packs.VERDICTS), F.lit(False))
+        & (kind["severity"].isNull() | (kind["severity"] == "VOID") | F.coalesce(read["severity"].isin(packs.SEVERITIES), F.lit(False)))
     )
+    for n in fields[3:]:
+        valid = valid & (kind[n].isNull() | (kind[n] == "STRING"))
+    text = lambda n, most: F.left(F.coalesce(read[n], F.lit("")), F.lit(most)).alias(n)
     return rows.select(
         "doc_id",
         "mseq",
-        F.col("e.checklist_item_id").alias("raw_id"),
-        F.col("e.verdict").alias("verdict"),
-        F.coalesce("e.severity", F.lit("mid")).alias("severity"),
-        text("headline", 200),
-        text("description", 2000),
-        text("suggestion", 1000),
+        read["checklist_item_id"].alias("raw_id"),
+        read["verdict"].alias("verdict"),
+        F.coalesce(read["severity"], F.lit("mid")).alias("severity"),
+        text("headline", HEADLINE_MAX),
+        text("description", DESCRIPTION_MAX),
+        text("suggestion", SUGGESTION_MAX),
         F.coalesce(valid, F.lit(False)).alias("valid"),
     )
 

@@ -92,3 +92,42 @@ def test_quality_card(frame_of):
 def test_draft_without_gates_leaves_items_open(frame_of):
     f = draft(document_facts(frame_of({1: ["普通文本。"]})), mark_unassessed=False)
     assert f.count() == 0
+
+
+def test_an_invalid_entry_leaves_the_others_alone(spark):
+    good = {"checklist_item_id": "R-01", "verdict": "pass", "severity": None, "headline": "h"}
+    bad = ["oops", 7, None, [good], {**good, "checklist_item_id": {"a": 1}}, {**good, "headline": 7}, {**good, "verdict": "maybe"}, {**good, "severity": 3}, {**good, "suggestion": None}]
+    twice = '{"checklist_item_id": "R-02", "checklist_item_id": "R-03", "verdict": "pass"}'
+    rows = [
+        (1, json.dumps([good, *bad, good])), (2, json.dumps({"findings": [good, "oops"]})), (3, f"[{json.dumps(good)}, {twice}]"),
+        (4, "no json"), (5, None), (6, "[]"), (7, '{"findings": 3}'), (8, json.dumps(json.dumps([good]))),
+    ]
+    got = V.parse_verdicts(spark.createDataFrame(rows, "doc_id bigint, content string")).collect()
+    flags = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.mseq)):
+        flags.setdefault(r.doc_id, []).append(r.valid)
+    assert flags == {1: [True] + [False] * len(bad) + [True], 2: [True, False], 3: [True, False]}
+    assert {(r.raw_id, r.severity, r.headline, r.description) for r in got if r.valid} == {("R-01", "mid", "h", "")}
+
+
+def test_inapplicable_items_share_the_unknown_second_opinion(spark):
+    from paperlens import packs
+
+    a, b = [i for i in packs.ITEM_IDS if i not in packs.REVIEW_ALLOWED][:2]
+    kinds = spark.createDataFrame([(1, "review")], "doc_id bigint, paper_type string")
+    row = "doc_id bigint, mseq int, item_id string, verdict string"
+    first = spark.createDataFrame([(1, 0, a, "pass"), (1, 1, b, "pass")], row)
+    other = spark.createDataFrame([(1, 0, a, "pass"), (1, 1, b, "problem")], row)
+    got = reconcile.dual_check(*[reconcile.restrict(v, kinds) for v in (first, other)]).collect()
+    assert [(r.item_id, r.verdict, r.dual_check) for r in got] == [("unknown", "uncertain", "disagree")] * 2
+
+
+def test_the_last_of_several_quotes_counts(spark):
+    from paperlens import packs
+
+    item, words = next(iter(packs.ITEM_KEYWORDS.items()))
+    one, two = f"{words[0]} stands in this first sentence", f"{words[0]} stands in another sentence"
+    pending = spark.createDataFrame([(1, 5, 1, item)], "doc_id bigint, seq bigint, rn int, item_id string")
+    quotes = spark.createDataFrame([(1, 1, one, 2), (1, 1, two, 1)], "doc_id bigint, rn int, quote string, position int")
+    units = spark.createDataFrame([(1, 0, 10, two), (1, 1, 11, one)], "doc_id bigint, pos int, para_idx int, text string")
+    assert [(r.para_idx, r.quote) for r in reconcile.verify_quotes(pending, quotes, units).collect()] == [(11, one)]

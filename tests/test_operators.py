@@ -199,3 +199,16 @@ def test_false_positives_of_clean_documents_count(spark):
     samples = spark.createDataFrame([(1, "flawed"), (2, "clean")], "doc_id bigint, grp string")
     overall = group_report(detection(found, truth, samples=samples)).filter("grp is null").first()
     assert (overall["hit"], overall["fp"], overall["precision"]) == (1, 1, 0.5)
+
+
+def test_quota_keeps_requests_without_a_time(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 'a', timestamp_ntz'2024-01-01 00:00:00'), (2, 'a', null), (3, 'a', timestamp_ntz'2024-01-01 00:00:10') AS t(id, who, ts)")
+    assert {r.id: r.allowed for r in lifecycle.quota(df, "who", "ts", "id", 1, 60).collect()} == {1: True, 2: None, 3: False}
+
+
+def test_element_metrics_skip_unlabelled_documents(spark):
+    pair = "doc_id bigint, type string"
+    found = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], pair)
+    gold, labelled = spark.createDataFrame([(1, "a")], pair), spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    r = evaluate.element_metrics(found, gold, labelled).first()
+    assert (r.tp, r.predicted, r.annotated, r.precision) == (1, 2, 1, 0.5)

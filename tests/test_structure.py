@@ -26,7 +26,12 @@ def test_citation_tokens_and_ranges(spark):
     assert one(spark, "[5-3]", structure.expand_numbers) == []
     assert one(spark, "R² 为 0.9。¹² 后文", structure.citation_tokens) == ["12"]
     assert one(spark, "[12] Author. Title", structure.citation_tokens) == []
-    assert one(spark, "[1-99999999]", structure.expand_numbers) == [1, 99999999]
+    wide = one(spark, "[1-200001]", structure.expand_numbers)
+    assert len(wide) == 200001 and wide[-1] == 200001
+    known = F.array(*[F.lit(n).cast("bigint") for n in (3, 1, 7, 3)])
+    gaps = one(spark, "[1-5,7,9-99999999999]", lambda c: structure.outside(structure.ranges(c), known))
+    assert [(g.lo, g.hi) for g in gaps] == [(2, 2), (4, 5), (9, 99999999999)]
+    assert one(spark, "[1-3,9-99999999999]", lambda c: structure.spelled(structure.ranges(c))) == "1, 2, 3, 9-99999999999"
 
 
 def test_reference_heading_and_number(spark):
