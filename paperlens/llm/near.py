@@ -170,8 +170,9 @@ def links(fps: DataFrame, slack: int = 2) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(join, "a bigint, b bigint").filter("a <> b")
 
 
-def near_duplicates(docs: DataFrame, slack: int = 2, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """keep, fp (bigint) and component_id (smallest `keep` reachable over links), one row per input row."""
+def classes(docs: DataFrame, slack: int = 2, text: str = "text", keep: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(keep, fp) of every row, and (_fp, component_id) of every distinct fingerprint; component_id is the smallest
+    `keep` reachable over links."""
     fps = stored(fingerprints(docs, text, keep), "fingerprints")
     least = stored(fps.groupBy("fp").agg(F.min(keep).alias("least")), "distinct-fingerprints")
     roots = stored(components(links(least.select("fp"), slack)), "components")
@@ -180,6 +181,12 @@ def near_duplicates(docs: DataFrame, slack: int = 2, text: str = "text", keep: s
     first = joined.groupBy("root").agg(F.min("least").alias("first"))
     moved = joined.join(first, "root").select(F.col("fp").alias("_fp"), "first")
     least = least.join(moved, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("first", "least").alias("component_id"))
+    return fps, least
+
+
+def near_duplicates(docs: DataFrame, slack: int = 2, text: str = "text", keep: str = "doc_id") -> DataFrame:
+    """keep, fp (bigint) and component_id (smallest `keep` reachable over links), one row per input row."""
+    fps, least = classes(docs, slack, text, keep)
     return fps.join(least, F.col("fp") == F.col("_fp")).select(keep, "fp", "component_id")
 
 
@@ -187,10 +194,11 @@ def one_of_each(docs: DataFrame, slack: int = 2) -> DataFrame:
     """The rows that stay when every group of near-duplicates keeps one: its smallest doc_id, and of rows that repeat
     this doc_id the one whose text is smallest.  Columns pass through; the texts move once, by doc_id.
 
-    Groups whose rows have no doc_id keep one row in all.
+    Groups whose rows have no doc_id keep one row in all.  The ids that stay come from the distinct fingerprints alone, so
+    a large group of copies meets no join.
     """
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = near_duplicates(docs, slack).select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_id")).distinct()
+    kept = classes(docs, slack)[1].select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_id")).distinct()
     rows = docs.withColumn("_id", id_text).join(kept, "_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("_id").orderBy("text"))
     return rows.withColumn("_row", first).filter("_row = 1").select(*docs.columns)
