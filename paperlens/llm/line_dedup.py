@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first = lines(docs).groupBy("h", "g").agg(F.min("place").alias("place"), F.first(halves()).alias("halves"))
     first = stored(first, "lines")
     kept = first.join(small(near_lines(docs, first)), ["h", "g"], "left_anti").select("place.doc_id", "place.at")
-    kept = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("_kept"))
+    kept = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("_kept"))
     out = docs.drop("n_lines", "n_kept").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     out = out.withColumns({"_lines": F.split("text", "\n"), "_kept": F.coalesce("_kept", F.array().cast("array<int>"))})
     blank = F.expr(f"filter(sequence(0, size(_lines) - 1), i -> NOT get(_lines, i) RLIKE r'{WORD}')")
