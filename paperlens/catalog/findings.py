@@ -214,7 +214,7 @@ def gat_counts(spark, d):
     return gates.counts(scored(spark, d))
 
 
-FULL = ["doc_id", "seq", "engine", "item_id", "code", "verdict", "severity", "certainty", "description", "suggestion", "evidence_gate", "gate_reason", "confidence", "grade"]
+FULL = ["doc_id", "seq", "engine", "item_id", "code", "verdict", "severity", "certainty", "headline", "description", "suggestion", "evidence_gate", "gate_reason", "confidence", "grade"]
 
 
 @query("gat_review_rules", sql("SELECT " + ", ".join(FULL) + f", {ANCH} AS anchors FROM fr"))

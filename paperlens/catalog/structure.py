@@ -397,14 +397,15 @@ def _unit_check(spark, d, fn, name):
     return u.select("doc_id", "pos", "para_idx", fn(F.col("text")).alias(name)).filter(F.col(name).isNotNull())
 
 
-@query("num_ratio", sql("SELECT doc_id, pos, para_idx, total FROM ratios"))
+@query("num_ratio", sql("SELECT doc_id, pos, para_idx, total, parts FROM ratios"))
 def num_ratio(spark, d):
-    return _unit_check(spark, d, checks.bad_ratio, "total").withColumn("total", F.col("total").cast("bigint"))
+    found = _unit_check(spark, d, checks.bad_ratio, "found")
+    return found.select("doc_id", "pos", "para_idx", F.col("found.total").cast("bigint").alias("total"), "found.parts")
 
 
-@query("num_percent", sql("SELECT doc_id, pos, para_idx, round(total, 4) AS total FROM percents"))
+@query("num_percent", sql("SELECT doc_id, pos, para_idx, round(total, 4) AS total, parts FROM percents"))
 def num_percent(spark, d):
-    return _unit_check(spark, d, checks.bad_percent, "total").withColumn("total", F.round("total", 4))
+    return _unit_check(spark, d, checks.bad_percent, "found").select("doc_id", "pos", "para_idx", "found.total", "found.parts")
 
 
 @query("num_interval", sql("SELECT doc_id, pos, para_idx, txt FROM intervals"))
@@ -412,7 +413,7 @@ def num_interval(spark, d):
     return _unit_check(spark, d, checks.bad_interval, "txt")
 
 
-@query("num_all", sql("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, c) - 1 AS seq, item_id, code, para_idx, arg0 FROM numeric"))
+@query("num_all", sql("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, c) - 1 AS seq, item_id, code, para_idx, arg0, parts, quote FROM numeric"))
 def num_all(spark, d):
     return checks.check_rows(checks.with_numeric(overlay_frame(spark, d)), "numeric").drop("arg1")
 

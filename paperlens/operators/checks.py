@@ -6,31 +6,43 @@ from paperlens import packs
 from paperlens.functions.text import ci, cs, strip, zh_number
 from paperlens.sources.intake import unnest
 
-CHECK = "array<struct<item_id:string,code:string,para_idx:int,arg0:string,arg1:string>>"
+CHECK = "array<struct<item_id:string,code:string,para_idx:int,arg0:string,arg1:string,parts:string,quote:string>>"
 
 
-def _check(item, code, para, arg0, arg1=None) -> Column:
+def _check(item, code, para, arg0, arg1=None, parts=None, quote=None) -> Column:
+    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
     return F.struct(
         F.lit(item).alias("item_id"),
         F.lit(code).alias("code"),
         para.alias("para_idx"),
         arg0.cast("string").alias("arg0"),
-        (F.lit(None).cast("string") if arg1 is None else arg1.cast("string")).alias("arg1"),
+        text(arg1).alias("arg1"),
+        text(parts).alias("parts"),
+        text(quote).alias("quote"),
     )
 
 
 # --- numeric checks on one unit of text ---------------------------------------
 
+def plain(number: Column) -> Column:
+    """A double as text, whole numbers without their point."""
+    return F.regexp_replace(number.cast("string"), r"\.0$", "")
+
+
 def bad_ratio(text: Column) -> Column:
-    """Sum of the first a:b[:c...] chain that is neither parts of 10 nor of 100; null when fine."""
-    total = lambda m: F.aggregate(F.split(m, r"\s*[:：]\s*"), F.lit(0), lambda a, x: a + strip(x).cast("int"))
-    sums = F.transform(F.regexp_extract_all(text, F.lit(cs(packs.RATIO_CHAIN)), F.lit(1)), total)
-    bad = F.filter(sums, lambda s: (s > packs.RATIO_PARTS) & (s != packs.RATIO_PERCENT))
+    """total and parts of the first a:b[:c...] chain that is neither parts of 10 nor of 100; null when fine."""
+
+    def chain(m):
+        parts = F.transform(F.split(m, r"\s*[:：]\s*"), lambda x: strip(x).cast("int"))
+        return F.struct(F.aggregate(parts, F.lit(0), lambda a, x: a + x).alias("total"), F.array_join(parts.cast("array<string>"), ":").alias("parts"))
+
+    chains = F.transform(F.regexp_extract_all(text, F.lit(cs(packs.RATIO_CHAIN)), F.lit(1)), chain)
+    bad = F.filter(chains, lambda s: (s["total"] > packs.RATIO_PARTS) & (s["total"] != packs.RATIO_PERCENT))
     return F.when(text.rlike(packs.SPLIT_CONTEXT), F.try_element_at(bad, F.lit(1)))
 
 
 def bad_percent(text: Column) -> Column:
-    """Sum of the first run of adjacent split shares that is not about 100; null when fine.
+    """total and parts of the first run of adjacent split shares whose sum is not about 100; null when fine.
 
     regexp functions return no positions, so matches are zipped with the pieces between them.
     A percentage that is not a share always ends a run, because connectors hold no digits.
@@ -62,17 +74,22 @@ def bad_percent(text: Column) -> Column:
                 F.get(t["pieces"], k).rlike(cs(packs.PERCENT_GAP)).alias("joined"),
             ),
         )
-        off = lambda s: (s["n"] >= 2) & ~s["sum"].between(packs.PERCENT_LOW, packs.PERCENT_HIGH)
-        state = lambda total, n, bad: F.struct(total.alias("sum"), n.alias("n"), bad.alias("bad"))
-        closed = lambda s: F.coalesce(s["bad"], F.when(off(s), s["sum"]))
-        return F.aggregate(
+        none = F.array().cast("array<double>")
+        off = lambda s: (F.size(s["run"]) >= 2) & ~s["sum"].between(packs.PERCENT_LOW, packs.PERCENT_HIGH)
+        state = lambda total, run, bad: F.struct(total.alias("sum"), run.alias("run"), bad.alias("bad"))
+        closed = lambda s: F.coalesce(s["bad"], F.when(off(s), s["run"]))
+        run = F.aggregate(
             steps,
-            state(F.lit(0.0), F.lit(0), F.lit(None).cast("double")),
-            lambda s, x: F.when(x["share"] & x["joined"] & (s["n"] > 0), state(s["sum"] + x["v"], s["n"] + 1, s["bad"]))
-            .when(x["share"], state(x["v"], F.lit(1), closed(s)))
-            .otherwise(state(F.lit(0.0), F.lit(0), closed(s))),
+            state(F.lit(0.0), none, F.lit(None).cast("array<double>")),
+            lambda s, x: F.when(x["share"] & x["joined"] & (F.size(s["run"]) > 0), state(s["sum"] + x["v"], F.array_append(s["run"], x["v"]), s["bad"]))
+            .when(x["share"], state(x["v"], F.array(x["v"]), closed(s)))
+            .otherwise(state(F.lit(0.0), none, closed(s))),
             closed,
         )
+        total = lambda r: F.round(F.aggregate(r, F.lit(0.0), lambda a, v: a + v), 4)
+        parts = lambda r: F.array_join(F.transform(r, lambda v: F.concat(plain(v), F.lit("%"))), " + ")
+        found = F.filter(F.array(run), lambda r: r.isNotNull())
+        return F.try_element_at(F.transform(found, lambda r: F.struct(total(r).alias("total"), parts(r).alias("parts"))), F.lit(1))
 
     bundle = F.array(F.struct(hits.alias("hits"), values.alias("values"), pieces.alias("pieces")))
     return F.when(text.rlike(packs.SPLIT_CONTEXT), F.get(F.transform(F.filter(bundle, lambda t: F.size(t["hits"]) >= 2), look), F.lit(0)))
@@ -94,15 +111,21 @@ def bad_interval(text: Column) -> Column:
 
 
 def with_numeric(fr: DataFrame) -> DataFrame:
-    """Adds ``numeric``: up to three results per unit, in unit order."""
+    """Adds ``numeric``: up to three results per unit, in unit order.  A result goes through a one-element array, so that
+    each check is evaluated once; ``quote`` is the beginning of the unit, as reports print it."""
 
     def checks(u):
-        return F.array_compact(
-            F.array(
-                F.when(bad_ratio(u["text"]).isNotNull(), _check("R-DATA-01", "RATIO_BAD", u["para_idx"], bad_ratio(u["text"]))),
-                F.when(bad_percent(u["text"]).isNotNull(), _check("R-DATA-02", "PERCENT_BAD", u["para_idx"], F.round(bad_percent(u["text"]), 4))),
-                F.when(bad_interval(u["text"]).isNotNull(), _check("R-DATA-03", "INTERVAL_BAD", u["para_idx"], bad_interval(u["text"]))),
-            )
+        quote = F.left(strip(u["text"]), F.lit(packs.CHECK_QUOTE))
+
+        def of(result, item, code, arg0, parts):
+            found = F.filter(F.array(result), lambda r: r.isNotNull())
+            return F.transform(found, lambda r: _check(item, code, u["para_idx"], arg0(r), None, parts(r), quote))
+
+        total, parts, none = (lambda r: r["total"]), (lambda r: r["parts"]), (lambda r: None)
+        return F.concat(
+            of(bad_ratio(u["text"]), "R-DATA-01", "RATIO_BAD", total, parts),
+            of(bad_percent(u["text"]), "R-DATA-02", "PERCENT_BAD", total, parts),
+            of(bad_interval(u["text"]), "R-DATA-03", "INTERVAL_BAD", lambda r: r, none),
         )
 
     unit = lambda u: F.struct(u["para_idx"].alias("para_idx"), u["text"].alias("text"))

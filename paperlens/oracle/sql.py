@@ -237,7 +237,7 @@ CTE["msgs"] = f"SELECT * FROM {values([(k, *v) for k, v in P.OUTCOMES.items()])}
 # --- numeric checks, on flat match rows
 _RATIO = r"(?:^|[^\d.])(\d{1,3}(?:\s*[:：]\s*\d{1,3})+)(?:$|[^\d.])"
 CTE["ratios"] = f"""
- SELECT doc_id, pos, para_idx, arg_min(total, k) AS total FROM (SELECT doc_id, pos, para_idx, k, list_sum(list_transform(regexp_extract_all(m, '\\d+'), lambda x: CAST(x AS INTEGER))) AS total FROM (
+ SELECT doc_id, pos, para_idx, arg_min(total, k) AS total, arg_min(parts, k) AS parts FROM (SELECT doc_id, pos, para_idx, k, array_to_string(list_transform(regexp_extract_all(m, '\\d+'), lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)), ':') AS parts, list_sum(list_transform(regexp_extract_all(m, '\\d+'), lambda x: CAST(x AS INTEGER))) AS total FROM (
    SELECT doc_id, pos, para_idx, unnest(ms) AS m, unnest(range(len(ms))) AS k FROM (SELECT doc_id, pos, para_idx, regexp_extract_all(text, {q(_RATIO)}, 1) AS ms FROM units WHERE regexp_matches(text, {q(P.SPLIT_CONTEXT)}))))
  WHERE total > {P.RATIO_PARTS} AND total <> {P.RATIO_PERCENT} GROUP BY doc_id, pos, para_idx"""
 # percent: guard characters are captured, then each hit is tested and runs are gaps-and-islands
@@ -256,7 +256,7 @@ CTE["pct3"] = f"""
  SELECT *, sum(CASE WHEN prev_k = k - 1 AND prev_share AND regexp_matches(before, {q(P.PERCENT_GAP)}) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, pos ORDER BY k) AS grp FROM (
   SELECT *, lag(k) OVER w AS prev_k, lag(share) OVER w AS prev_share FROM pct2 WINDOW w AS (PARTITION BY doc_id, pos ORDER BY k)) WHERE share"""
 CTE["percents"] = f"""
- SELECT doc_id, pos, para_idx, arg_min(total, grp) AS total FROM (SELECT doc_id, pos, para_idx, grp, sum(v) AS total, count(*) AS n FROM pct3 GROUP BY ALL) WHERE n >= 2 AND NOT (total BETWEEN {P.PERCENT_LOW} AND {P.PERCENT_HIGH}) GROUP BY doc_id, pos, para_idx"""
+ SELECT doc_id, pos, para_idx, arg_min(total, grp) AS total, arg_min(parts, grp) AS parts FROM (SELECT doc_id, pos, para_idx, grp, sum(v) AS total, count(*) AS n, string_agg(regexp_replace(CAST(v AS VARCHAR), '\\.0$', '') || '%', ' + ' ORDER BY k) AS parts FROM pct3 GROUP BY doc_id, pos, para_idx, grp) WHERE n >= 2 AND NOT (total BETWEEN {P.PERCENT_LOW} AND {P.PERCENT_HIGH}) GROUP BY doc_id, pos, para_idx"""
 _CI = "(?i)" + P.CI_PAIR.replace(r"(?<![\d.])", r"(?:^|[^\d.])")
 CTE["intervals"] = f"""
  SELECT doc_id, pos, para_idx, arg_min(txt, k) AS txt FROM (SELECT *, CAST(pt AS VARCHAR) || '|' || CAST(lo AS VARCHAR) || '|' || CAST(hi AS VARCHAR) AS txt FROM (
@@ -264,9 +264,19 @@ CTE["intervals"] = f"""
    SELECT doc_id, pos, para_idx, unnest(range(len(regexp_extract_all(text, {q(_CI)}, 1)))) AS k, {', '.join(f"unnest(regexp_extract_all(text, {q(_CI)}, {g})) AS g{g}" for g in range(1, 7))} FROM units WHERE contains(text, '95')))
   WHERE coalesce(g2, '') = coalesce(g4, '') AND coalesce(g4, '') = coalesce(g6, '') AND NOT (pt BETWEEN lo AND hi)) GROUP BY doc_id, pos, para_idx"""
 CTE["numeric"] = """
- SELECT doc_id, pos, 0 AS c, 'R-DATA-01' AS item_id, 'RATIO_BAD' AS code, para_idx, CAST(total AS VARCHAR) AS arg0 FROM ratios
- UNION ALL SELECT doc_id, pos, 1, 'R-DATA-02', 'PERCENT_BAD', para_idx, CAST(round(total, 4) AS VARCHAR) FROM percents
- UNION ALL SELECT doc_id, pos, 2, 'R-DATA-03', 'INTERVAL_BAD', para_idx, txt FROM intervals"""
+ SELECT n.*, left(trim(u.text, ' \t'), 80) AS quote FROM (
+ SELECT doc_id, pos, 0 AS c, 'R-DATA-01' AS item_id, 'RATIO_BAD' AS code, para_idx, CAST(total AS VARCHAR) AS arg0, parts FROM ratios
+ UNION ALL SELECT doc_id, pos, 1, 'R-DATA-02', 'PERCENT_BAD', para_idx, CAST(round(total, 4) AS VARCHAR), parts FROM percents
+ UNION ALL SELECT doc_id, pos, 2, 'R-DATA-03', 'INTERVAL_BAD', para_idx, txt, NULL FROM intervals) n JOIN units u ON u.doc_id = n.doc_id AND u.pos = n.pos"""
+_BARE_NO = lambda e: f"regexp_replace({e}, '\\.0$', '')"
+CTE["numtext"] = f"""
+ SELECT *, '原文：「' || quote || '」——' || CASE code
+   WHEN 'RATIO_BAD' THEN '划分比例 ' || parts || ' 之和为 ' || arg0 || '，既不是按份数的 10，也不是按百分比的 100。'
+   WHEN 'PERCENT_BAD' THEN '划分相关百分比 ' || parts || ' 之和为 ' || {_BARE_NO('arg0')} || '%，与 100% 不一致。'
+   ELSE '点估计 ' || {_BARE_NO("split_part(arg0, '|', 1)")} || ' 不在 95% 置信区间 [' || {_BARE_NO("split_part(arg0, '|', 2)")} || ', ' || {_BARE_NO("split_part(arg0, '|', 3)")} || '] 内。' END AS description,
+  CASE code WHEN 'RATIO_BAD' THEN '数据划分比例之和自洽性存疑' WHEN 'PERCENT_BAD' THEN '数据划分百分比合计自洽性存疑' ELSE '置信区间与点估计不一致' END AS headline,
+  CASE code WHEN 'RATIO_BAD' THEN '核对训练/验证/测试集划分比例，使其之和为 10（份数）或 100（百分比）。' WHEN 'PERCENT_BAD' THEN '核对各组划分百分比，使其合计为 100%。' ELSE '核对点估计与置信区间上下限，确保点估计落在区间内。' END AS suggestion
+ FROM numeric"""
 
 # --- figures
 _ZHN = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -318,6 +328,21 @@ CTE["figure"] = """
    WHERE c.value <> m.value AND (n_img > 0 OR n_tbl > 0)"""
 
 
+_OBJECT = lambda a, b: f"CASE arg0 WHEN '图' THEN '{a}' ELSE '{b}' END"
+CTE["figtext"] = f"""
+ SELECT *, CASE code
+   WHEN 'CAPTION_MISSING' THEN '文档含 ' || arg1 || ' 个' || {_OBJECT('图片', '表格')} || '，但未识别到' || arg0 || '题'
+   WHEN 'MENTION_UNCAPTIONED' THEN '正文引用了 ' || arg0 || '，但未找到对应题注' ELSE arg0 || ' 题注与正文的样本量不一致' END AS headline,
+  CASE code
+   WHEN 'CAPTION_MISSING' THEN '解析到 ' || arg1 || ' 个' || {_OBJECT('内嵌图片', '表格')} || '，但全文未检出「' || arg0 || '1」形式的题注（也可能题注版式未被识别），无法核对' || arg0 || '与正文的对应关系。'
+   WHEN 'MENTION_UNCAPTIONED' THEN '正文第 ' || para_idx || ' 段引用了「' || arg0 || '」，但全文未检出同编号的题注，可能缺少图/表或题注编号不一致。'
+   ELSE '题注声明 ' || split_part(arg1, '|', 1) || split_part(arg1, '|', 3) || '，而引用该图表的正文第 ' || para_idx || ' 段声明 ' || split_part(arg1, '|', 2) || split_part(arg1, '|', 3) || '，两处口径不一致，需核对题注或正文数值。' END AS description,
+  CASE code
+   WHEN 'CAPTION_MISSING' THEN '为每' || {_OBJECT('张图', '个表')} || '补充规范化题注（如「' || arg0 || '1 名称」），并在正文中引用。'
+   WHEN 'MENTION_UNCAPTIONED' THEN '核对' || arg0 || '是否存在，并补齐题注或统一编号。' ELSE '核对' || arg0 || '对应的样本量，统一题注与正文的表述。' END AS suggestion
+ FROM figure"""
+
+
 def sql(final: str, order=None) -> str:
     """The final SELECT with exactly the CTEs it needs, in definition order."""
     need, todo = set(), [final]
@@ -376,9 +401,9 @@ def findings(n, verdicts, demote=True):
  SELECT u.doc_id, 2, {2 << 40} + row_number() OVER (PARTITION BY u.doc_id ORDER BY u.item_no) - 1, 'rule', u.item_id, 'UNASSESSED', 'not_applicable', 'low', 'undetermined', [], m.headline, replace(m.description, '{{0}}', u.title), '', NULL, false, false, NULL
   FROM (SELECT a.* FROM applic a ANTI JOIN rulef r ON r.doc_id = a.doc_id AND r.item_id = a.item_id) u JOIN msgs m ON m.code = 'UNASSESSED' WHERE NOT EXISTS (SELECT 1 FROM {n}fold f WHERE f.doc_id = u.doc_id AND f.item_id = u.item_id)
  UNION ALL
- SELECT x.doc_id, 3, {3 << 40} + row_number() OVER (PARTITION BY x.doc_id ORDER BY pos, c) - 1, 'rule', item_id, code, 'problem', 'low', 'deterministic', [para_idx], NULL, arg0, '', NULL, false, false, NULL FROM numeric x JOIN ptype p ON p.doc_id = x.doc_id AND p.paper_type <> 'review'
+ SELECT x.doc_id, 3, {3 << 40} + row_number() OVER (PARTITION BY x.doc_id ORDER BY pos, c) - 1, 'rule', item_id, code, 'problem', 'low', 'deterministic', [para_idx], headline, description, suggestion, NULL, false, false, NULL FROM numtext x JOIN ptype p ON p.doc_id = x.doc_id AND p.paper_type <> 'review'
  UNION ALL
- SELECT doc_id, 4, {4 << 40} + row_number() OVER (PARTITION BY doc_id ORDER BY c, o1, o2, o3, o4) - 1, 'rule', 'R-FIG-01', code, 'problem', 'low', 'suspected', [para_idx], NULL, concat_ws(' ', arg0, arg1), '', NULL, false, false, NULL FROM figure"""
+ SELECT doc_id, 4, {4 << 40} + row_number() OVER (PARTITION BY doc_id ORDER BY c, o1, o2, o3, o4) - 1, 'rule', 'R-FIG-01', code, 'problem', 'low', 'suspected', [para_idx], headline, description, suggestion, NULL, false, false, NULL FROM figtext"""
     CTE[n + "1"] = f"""
  SELECT f.* EXCLUDE (certainty, anchors, verdict, description), CASE WHEN core AND engine = 'rule' AND e.solid THEN 'deterministic' ELSE certainty END AS certainty,
   CASE WHEN len(anchors) > 0 OR NOT core THEN anchors ELSE coalesce(e.eparas[1:3], []) END AS anchors, CASE WHEN core THEN coalesce(e.etypes, []) ELSE [] END AS evidence,

@@ -48,14 +48,16 @@ def _message(code, pos, arg0, arg1):
     return F.replace(F.replace(text, F.lit("{0}"), F.coalesce(arg0, F.lit(""))), F.lit("{1}"), F.coalesce(arg1, F.lit("")))
 
 
-CHECK_TEXT = {
-    "RATIO_BAD": "数据划分比例之和自洽性存疑",
-    "PERCENT_BAD": "数据划分百分比合计自洽性存疑",
-    "INTERVAL_BAD": "置信区间与点估计不一致",
-    "CAPTION_MISSING": "文档含图表但未识别到题注",
-    "MENTION_UNCAPTIONED": "正文引用了图表，但未找到对应题注",
-    "SAMPLE_CONFLICT": "题注与正文的样本量不一致",
-}
+def _check_text(c, pos):
+    """One text of a check's finding; the quoted passage goes in last, so that braces in it stay as they are."""
+    table = literal_map({k: v[pos] for k, v in packs.CHECK_TEXT.items()})
+    text = F.element_at(table, F.when(c["code"] == "CAPTION_MISSING", F.concat(c["code"], c["arg0"])).otherwise(c["code"]))
+    args = F.split(F.concat_ws("|", c["arg0"], c["arg1"]), r"\|")
+    fill = {f"{{{i}}}": checks.plain(F.get(args, F.lit(i))) for i in range(4)}
+    fill |= {"{parts}": c["parts"], "{para}": c["para_idx"].cast("string"), "{quote}": c["quote"]}
+    for mark, value in fill.items():
+        text = F.replace(text, F.lit(mark), F.coalesce(value, F.lit("")))
+    return text
 
 
 def _finding(phase, seq, engine, item, code, verdict, severity, certainty, anchors, headline, description, suggestion, **prov):
@@ -122,12 +124,10 @@ def draft(fc: DataFrame, verdicts: DataFrame | None = None, items=packs.CHECKLIS
             _message(F.lit("UNASSESSED"), 0, blank, blank), _message(F.lit("UNASSESSED"), 1, gates.lookup(items, 4, i), blank), blank,
         ),
     )
-    titles = literal_map(CHECK_TEXT)
-
     def extra_check(phase, certainty):
         return lambda c, i: _finding(
             phase, i, "rule", c["item_id"], c["code"], F.lit("problem"), F.lit("low"), F.lit(certainty), F.array(c["para_idx"]),
-            F.element_at(titles, c["code"]), F.concat_ws(" ", c["arg0"], c["arg1"]), blank,
+            _check_text(c, 0), _check_text(c, 1), _check_text(c, 2),
         )
 
     numeric = F.transform(F.filter("numeric", lambda c: kind != "review"), extra_check(3, "deterministic"))

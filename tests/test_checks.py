@@ -10,7 +10,7 @@ def val(spark, text, fn):
 
 @pytest.mark.parametrize("text,bad", [("按 7:1:5 划分", 13), ("按 7:1:2 划分", None), ("按 70:15:15 划分", None), ("按 5:2:2:1 划分", None), ("按 4:1:1 划分", None), ("时间 7:1:5 记录", None)])
 def test_ratio(spark, text, bad):
-    assert val(spark, text, checks.bad_ratio) == bad
+    assert val(spark, text, lambda t: checks.bad_ratio(t)["total"]) == bad
 
 
 @pytest.mark.parametrize(
@@ -24,7 +24,7 @@ def test_ratio(spark, text, bad):
     ],
 )
 def test_percent(spark, text, bad):
-    assert val(spark, text, checks.bad_percent) == bad
+    assert val(spark, text, lambda t: checks.bad_percent(t)["total"]) == bad
 
 
 @pytest.mark.parametrize("text,bad", [("0.95（95% CI 0.80–0.90）", "0.95|0.8|0.9"), ("0.85（95% CI 0.80–0.90）", None), ("97%（95% CI 88%–96%）", "97.0|88.0|96.0"), ("92%（95% CI 0.88–0.96）", None), ("0.85（95% CI 0.90–0.80）", None)])
