@@ -8,7 +8,8 @@
    The tree is fitted on at most `TREE_SAMPLE` fingerprints (a few hundred KB, whatever the corpus) and shipped to the
    tasks; every fingerprint is stored and searched.
 3. A shard continues the tree over its own fingerprints down to `LEAF` and compares the rest by exclusive-or and bit
-   count.  It returns a spanning forest of its links, at most one link per fingerprint it holds, never all pairs.
+   count.  A shard that more than `CELL` fingerprints visit (the tree's size is bounded, the corpus is not) is a grid of
+   cells, each of about `CELL` stored ones and `CELL` visitors, so a task's memory is bounded.  A cell returns a spanning forest of its links, at most one link per fingerprint it holds, never all pairs.
 4. Components of the links, then the smallest doc_id of each.
 
 Copies are one fingerprint, so a large group of copies adds nothing to the search.
@@ -30,6 +31,8 @@ from paperlens.llm.components import components
 SEED = 42
 TREE_SAMPLE = 32_768
 SHARD = 8_192
+#: Fingerprints of each role in one cell of a shard.
+CELL = 1 << 20
 LEAF = 256
 #: Fewer values of a text than this share one bit count; longer texts are counted in slices.
 SLICE = 1 << 16
@@ -146,17 +149,45 @@ def forest(values: np.ndarray, home: np.ndarray, slack: int, leaf: int = LEAF):
         stack.append((stored_at[~inside], asked_at[d > radius - slack]))
 
 
+def scatter(values: np.ndarray, parts: int) -> np.ndarray:
+    return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % parts
+
+
+def dealing(tree, slack: int, grid: dict[int, tuple[int, int]]):
+    """Sends fingerprints to the cells of the shards that store or visit them; `grid` holds (rows, columns) of shards
+    with more than one cell: stored values have a row and go to all its cells, visiting ones (all values) a column."""
+
+    def cells(shard, values, home):
+        rows, columns = grid.get(shard, (1, 1))
+        if rows == columns == 1:
+            yield np.zeros(len(values), np.int64), values, home
+            return
+        kept = values[home]
+        for c in range(columns):
+            yield scatter(kept, rows) * columns + c, kept, np.ones(len(kept), bool)
+        for r in range(rows):
+            yield r * columns + scatter(values, columns), values, np.zeros(len(values), bool)
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for shard, at, home in route(tree, values, slack):
+                for cell, sent, kept in cells(shard, values[at], home):
+                    columns = pa.array(np.full(len(sent), shard)), pa.array(cell), pa.array(sent.view(np.int64)), pa.array(kept)
+                    yield pa.RecordBatch.from_arrays([*columns], names=["shard", "cell", "fp", "home"])
+
+    return run
+
+
 def links(fps: DataFrame, slack: int = 2) -> DataFrame:
     """(a, b): links that connect all fingerprints (distinct bigints in column fp) at `slack` or fewer differing bits."""
     n = fps.count()
     sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()
     tree = grow(np.array([r[0] for r in sample], np.int64).view(np.uint64), max(1, min(-(-n // SHARD), TREE_SAMPLE // 16)))
-
-    def deal(batches):
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, at, home in route(tree, values, slack):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(values[at].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+    dealt = "shard bigint, cell bigint, fp bigint, home boolean"
+    # one row per shard, and the tree bounds their number
+    sizes = fps.mapInArrow(dealing(tree, slack, {}), dealt).groupBy("shard").agg(F.count("*").alias("visiting"), F.count_if("home").alias("stored")).collect()
+    grid = {r["shard"]: (max(1, -(-r["stored"] // CELL)), -(-r["visiting"] // CELL)) for r in sizes if r["visiting"] > CELL}
 
     def join(group):
         values = group.column("fp").to_numpy().view(np.uint64)
@@ -166,8 +197,7 @@ def links(fps: DataFrame, slack: int = 2) -> DataFrame:
         found = np.array(list(forest(values, home, slack)), np.int64).reshape(-1, 2)
         return pa.table({"a": values[found[:, 0]].view(np.int64), "b": values[found[:, 1]].view(np.int64)})
 
-    dealt = fps.mapInArrow(deal, "shard bigint, fp bigint, home boolean")
-    return dealt.groupBy("shard").applyInArrow(join, "a bigint, b bigint").filter("a <> b")
+    return fps.mapInArrow(dealing(tree, slack, grid), dealt).groupBy("shard", "cell").applyInArrow(join, "a bigint, b bigint").filter("a <> b")
 
 
 def classes(docs: DataFrame, slack: int = 2, text: str = "text", keep: str = "doc_id") -> tuple[DataFrame, DataFrame]:
