@@ -24,7 +24,7 @@ def repeated_lines(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of every group of near-duplicates the row with the smallest doc_id stays; rows that share it stay as one."""
+    """Of every group of near-duplicates one row stays: of its smallest doc_id, null last, the text with the smallest hash."""
     return near.one_of_each(docs).select(*docs.columns)
 
 

@@ -221,14 +221,16 @@ def near_duplicates(docs: DataFrame, slack: int = 2, text: str = "text", keep: s
 
 
 def one_of_each(docs: DataFrame, slack: int = 2) -> DataFrame:
-    """The rows that stay when every group of near-duplicates keeps one: its smallest doc_id, and of rows that repeat
-    this doc_id the one whose text is smallest.  Columns pass through; the texts move once, by doc_id.
+    """The rows that stay when every group of near-duplicates keeps one row: of its smallest doc_id (null comes last), the
+    text with the smallest hash, and of exact repeats of both a single one.  Columns pass through.
 
-    Groups whose rows have no doc_id keep one row in all.  The ids that stay come from the distinct fingerprints alone, so
-    a large group of copies meets no join.
+    A group's row is named by doc_id and a 128-bit hash of the text, so rows that share a doc_id, or have none, are told
+    apart.  The names come from the distinct fingerprints alone; the texts move once, by their name.
     """
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = classes(docs, slack)[1].select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("_id")).distinct()
-    rows = docs.withColumn("_id", id_text).join(kept, "_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("text"))
+    names = {"_last": F.col("doc_id").isNull(), "_id": F.col("doc_id"), "_h": F.xxhash64("text"), "_g": F.xxhash64(F.lit("second"), "text")}
+    keyed = docs.select("doc_id", "text", F.struct(*[c.alias(n) for n, c in names.items()]).alias("_row"))
+    kept = classes(keyed, slack, keep="_row")[1].select("component_id.*").distinct()
+    rows = docs.withColumns({n: names[n] for n in ("_h", "_g")})
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(kept["_id"]) & (rows["_h"] == kept["_h"]) & (rows["_g"] == kept["_g"]), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_h", "_g").orderBy(F.xxhash64(*docs.columns)))
     return rows.withColumn("_row", first).filter("_row = 1").select(*docs.columns)

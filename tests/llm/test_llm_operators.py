@@ -274,6 +274,17 @@ def test_near(corpus, nothing):
     assert sorted(r.doc_id for r in stay) == sorted(set(least.values()))
 
 
+def test_one_of_each_keeps_a_row_of_every_group(spark):
+    told = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    # null ids that are alone, a null id beside a known one, an id in two groups, one that is least of one group and in another, repeats
+    rows = [(None, told("a")), (None, told("b")), (None, told("c")), (None, told("d")), (4, told("d")), (5, told("e")), (5, told("f")), (7, told("g"))]
+    rows += [(8, told("g")), (3, told("h")), (7, told("h")), (9, told("i")), (9, told("i")), (None, told("j")), (None, told("j")), (None, None), (None, "")]
+    got = near.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(None, "a"), (None, "b"), (None, "c"), (4, "d"), (5, "e"), (5, "f"), (7, "g"), (3, "h"), (9, "i"), (None, "j")]
+    assert Counter((r.doc_id, r.text) for r in got if r.text) == Counter((k, told(w)) for k, w in want)
+    assert sum(not r.text for r in got) == 1
+
+
 @pytest.mark.parametrize("cell", [1 << 20, 30])
 def test_forest_finds_every_link(spark, monkeypatch, cell):
     rng = np.random.default_rng(5)
