@@ -13,14 +13,16 @@ each needs only the earliest partner, never all pairs:
 3. A variant's key is a hash of the text before its 64-character block, the block without the character, and the text
    after it; a line of n characters thus costs n keys over 64 characters each, not over n.  A whole line emits one key
    per block.  Per key the earliest whole line, and per key and place the earliest line, are aggregated map-side.
-4. The earliest partner is verified on the texts by edit distance, and a document is rebuilt from the lines it keeps.
+4. The earliest partner is verified on the texts by edit distance, and a document is rebuilt from the lines it keeps, by
+   doc_id and a 128-bit hash of its text.
 
 Scale: shuffles move hashes, but for the one join that rebuilds the documents.  A small side is broadcast only after its
 rows were counted; otherwise the join shuffles.  A hot line or key is aggregated before it is shuffled.
 
 Defined cases: a null text stays null and has no lines; a line without a word is neither counted nor removed, but a text
-that loses all its other lines becomes empty; a null doc_id comes last; rows that repeat a doc_id hold the same places,
-so equal lines at one place stay or go together; columns other than doc_id, text and n_chars pass through.
+that loses all its other lines becomes empty; a null doc_id comes last; of rows that repeat a doc_id (null, too) equal
+lines with the same number stay or go together, and other lines do not; columns other than doc_id, text and n_chars pass
+through.
 """
 
 from __future__ import annotations
@@ -48,6 +50,38 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select(place.alias("place"), "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"))
 
 
+def text_hash() -> tuple[Column, Column]:
+    """Two hashes that stand for the whole text of a row."""
+    return F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
+
+
+def kept_places(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """_id, _h, _g (a distinct doc_id and text) and _kept, the numbers of the lines that stay in it.
+
+    `kept` holds a row (h, g, doc_id, at) per line that stays.  Where a doc_id has one text, its places tell the lines.
+    Rows without a doc_id, or with one that other texts have too, look each line up at its place.
+    """
+    th, tg = text_hash()
+    ids = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id")
+    ids = ids.agg(F.min(th).alias("_h"), F.min(tg).alias("_g"), F.max(th).alias("h2"), F.max(tg).alias("g2"))
+    ids = stored(ids.withColumn("one", (F.col("_h") == F.col("h2")) & (F.col("_g") == F.col("g2"))).drop("h2", "g2"), "texts")
+    places = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("at").alias("_kept"))
+    single = places.join(ids.filter("one"), "doc_id").select(F.col("doc_id").alias("_id"), "_h", "_g", "_kept")
+    several = small(ids.filter("NOT one").select("doc_id"))
+
+    def among(rows):
+        named = rows.filter("doc_id IS NOT NULL").join(several, "doc_id", "left_semi").select(*rows.columns)
+        return rows.filter("doc_id IS NULL").unionByName(named)
+
+    rows = docs.select("doc_id", th.alias("_h"), tg.alias("_g"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    rows = rows.select("doc_id", "_h", "_g", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"))
+    wanted = among(kept).toDF("_lh", "_lg", "_id", "_at")
+    same = (F.col("h") == F.col("_lh")) & (F.col("g") == F.col("_lg")) & (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    rows = among(rows).join(wanted, same, "left_semi")
+    looked_up = rows.groupBy(F.col("doc_id").alias("_id"), "_h", "_g").agg(F.collect_set("at").alias("_kept"))
+    return single.unionByName(looked_up)
+
+
 def halves() -> Column:
     """Keys of a line's halves: for its own length and for one character less."""
     n = F.length("line")
@@ -97,14 +131,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The input with its text (and n_chars, if there) after removal, and n_lines, n_kept: lines with a word before and after."""
     first = lines(docs).groupBy("h", "g").agg(F.min("place").alias("place"), F.first(halves()).alias("halves"))
     first = stored(first, "lines")
-    kept = first.join(small(near_lines(docs, first)), ["h", "g"], "left_anti").select("place.doc_id", "place.at")
-    kept = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("at").alias("_kept"))
-    out = docs.drop("n_lines", "n_kept").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    kept = first.join(small(near_lines(docs, first)), ["h", "g"], "left_anti").select("h", "g", "place.doc_id", "place.at")
+    kept = kept_places(docs, stored(kept, "kept-lines"))
+    out = docs.drop("n_lines", "n_kept").withColumns(dict(zip(("_th", "_tg"), text_hash())))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")) & (F.col("_tg") == F.col("_g"))
+    out = out.join(kept, same, "left").drop("_id", "_h", "_g", "_th", "_tg")
     out = out.withColumns({"_lines": F.split("text", "\n"), "_kept": F.coalesce("_kept", F.array().cast("array<int>"))})
     blank = F.expr(f"filter(sequence(0, size(_lines) - 1), i -> NOT get(_lines, i) RLIKE r'{WORD}')")
     out = out.withColumn("_blank", F.coalesce(blank, F.array().cast("array<int>")))
-    # rows that repeat a doc_id share the kept places, of which a shorter text may lack some
-    out = out.withColumn("_kept", F.filter(F.array_except("_kept", "_blank"), lambda i: i < F.size("_lines")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines") - F.size("_blank")).cast("bigint")
     out = out.withColumns({"n_lines": n_lines, "n_kept": F.size("_kept").cast("bigint")})
     whole = F.array_join(F.transform(F.array_sort(F.concat("_kept", "_blank")), lambda i: F.get("_lines", i)), "\n")

@@ -235,6 +235,26 @@ def test_lines(corpus, nothing, spark):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_lines_of_rows_that_share_a_key_or_have_none(spark):
+    """Against the rule of the SQL: a row keeps a line whose first place is its doc_id and this line number."""
+    X, Y, Z, W = (f"line {c} of a text that is long enough" * 2 for c in ("XXXXX", "YYYYY", "ZZZZZ", "WWWWW"))
+    texts = [(None, [X, Y]), (None, [Z, X]), (None, [X, Z, "", W]), (None, [X, Y]), (3, ["a", "b", "c"]), (3, ["c", "b", "a", "d"]), (3, ["a", "b", "c"]), (4, ["b", "e"]), (4, ["f", "f"]), (5, ["g"]), (None, ["h"])]
+    rows = [(k, "\n".join(t)) for k, t in texts] + [(None, None), (3, None), (6, None)]
+    first = {}
+    for place, x in sorted(((k is None, k or 0, at), x) for k, t in texts for at, x in enumerate(t) if x):
+        first.setdefault(x, place)
+    want = Counter()
+    for k, t in rows:
+        parts = t.split("\n") if t is not None else []
+        held = [at for at, x in enumerate(parts) if x]
+        kept = [at for at in held if first[parts[at]] == (k is None, k or 0, at)]
+        whole = t if len(kept) == len(held) else "\n".join(x for at, x in enumerate(parts) if at in kept or not x) if kept else ""
+        want[k, whole, len(held), len(kept)] += 1
+    assert want[None, Z, 2, 1] == 1
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_kept) for r in got) == want
+
+
 def simhash(t):
     w = words(lower(t))
     if not w:
