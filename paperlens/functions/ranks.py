@@ -40,7 +40,13 @@ def previous_time(df: DataFrame, key: str, ts: str, tie: str, block="1 hour") ->
     ends = d.groupBy(key, "_blk").agg(F.max(ts).alias("_end"))
     ends = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(key).orderBy("_blk"))).drop("_end")
     own = F.lag(ts).over(Window.partitionBy(key, "_blk").orderBy(ts, tie))
-    return d.withColumn("_own", own).join(ends, [key, "_blk"]).withColumn("prev_ts", F.coalesce("_own", "_carry")).drop("_own", "_carry", "_blk")
+    return rejoin(d.withColumn("_own", own), ends, key, "_blk").withColumn("prev_ts", F.coalesce("_own", "_carry")).drop("_own", "_carry", "_blk")
+
+
+def rejoin(rows: DataFrame, ends: DataFrame, key: str, block: str) -> DataFrame:
+    """Rows with the columns of their block; a null key is a key like any other."""
+    ends = ends.withColumnsRenamed({key: "_key", block: "_block"})
+    return rows.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col(block) == F.col("_block"))).drop("_key", "_block")
 
 
 def running_total(df: DataFrame, key: str, order: str, amount, name: str, block=4096) -> DataFrame:

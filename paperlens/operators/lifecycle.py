@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from paperlens import packs
-from paperlens.functions.ranks import previous_time
+from paperlens.functions.ranks import previous_time, rejoin
 from paperlens.functions.text import redact
 
 
@@ -49,10 +49,11 @@ def quota(requests: DataFrame, key: str, ts: str, tie: str, limit: int, window_s
     Each decision depends on the earlier ones, but a pause longer than the window clears the state.
     Keys are cut at such pauses, so one busy key spreads over many tasks, and inside a burst rows
     stream through in time order with a queue of ``limit`` times, never a whole group in memory.
-    A request without a time cannot be placed: it stays, with ``allowed`` null, and takes no slot.
+    A request without a time or a key cannot be placed: it stays, with ``allowed`` null, and takes no slot.
     """
-    untimed = requests.filter(F.col(ts).isNull()).withColumn("allowed", F.lit(None).cast("boolean"))
-    requests = requests.filter(F.col(ts).isNotNull())
+    placed = F.col(ts).isNotNull() & F.col(key).isNotNull()
+    unplaced = requests.filter(~placed).withColumn("allowed", F.lit(None).cast("boolean"))
+    requests = requests.filter(placed)
     d = previous_time(requests, key, ts, tie)
     starts = F.col("prev_ts").isNull() | (F.col(ts) > F.col("prev_ts") + F.make_dt_interval(secs=F.lit(window_seconds)))
     # every row takes the latest pause at or before it: again in blocks, so no key is ordered whole
@@ -80,7 +81,7 @@ def quota(requests: DataFrame, key: str, ts: str, tie: str, limit: int, window_s
                 flags.append(ok)
             yield pdf[cols].assign(allowed=flags)
 
-    return ordered.mapInPandas(walk, schema).unionByName(untimed)
+    return ordered.mapInPandas(walk, schema).unionByName(unplaced)
 
 
 def latest_mark(df: DataFrame, key, ts, tie, mark, name, block="1 hour") -> DataFrame:
@@ -92,7 +93,7 @@ def latest_mark(df: DataFrame, key, ts, tie, mark, name, block="1 hour") -> Data
     before = F.max("_m").over(Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.withColumn("_carry", before).drop("_m")
     own = F.max(mark).over(Window.partitionBy(key, "_blk").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("_own", own).join(ends, [key, "_blk"]).withColumn(name, F.coalesce("_own", "_carry")).drop("_own", "_carry", "_blk", mark)
+    return rejoin(d.withColumn("_own", own), ends, key, "_blk").withColumn(name, F.coalesce("_own", "_carry")).drop("_own", "_carry", "_blk", mark)
 
 
 def redacted(documents: DataFrame, patterns=packs.REDACTIONS) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from paperlens import packs
-from paperlens.functions.ranks import nearest_rank, running_total
+from paperlens.functions.ranks import nearest_rank, running_total, previous_time
 from paperlens.operators import dialogue, evaluate, lifecycle, reports, retrieval
 from paperlens.operators.elements import with_elements
 from paperlens.plans.compare import review_and_compare
@@ -212,3 +212,9 @@ def test_element_metrics_skip_unlabelled_documents(spark):
     gold, labelled = spark.createDataFrame([(1, "a")], pair), spark.createDataFrame([(1,), (2,)], "doc_id bigint")
     r = evaluate.element_metrics(found, gold, labelled).first()
     assert (r.tp, r.predicted, r.annotated, r.precision) == (1, 2, 1, 0.5)
+
+
+def test_quota_keeps_requests_without_a_key(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 7L, timestamp_ntz'2024-01-01 00:00:00'), (2, null, timestamp_ntz'2024-01-01 00:00:05'), (3, 7L, timestamp_ntz'2024-01-01 00:00:10'), (4, null, null) AS t(id, who, ts)")
+    assert {r.id: r.allowed for r in lifecycle.quota(df, "who", "ts", "id", 1, 60).collect()} == {1: True, 2: None, 3: False, 4: None}
+    assert sorted(r.id for r in previous_time(df.filter("ts IS NOT NULL"), "who", "ts", "id").collect()) == [1, 2, 3]
