@@ -218,3 +218,23 @@ def test_quota_keeps_requests_without_a_key(spark):
     df = spark.sql("SELECT * FROM VALUES (1, 7L, timestamp_ntz'2024-01-01 00:00:00'), (2, null, timestamp_ntz'2024-01-01 00:00:05'), (3, 7L, timestamp_ntz'2024-01-01 00:00:10'), (4, null, null) AS t(id, who, ts)")
     assert {r.id: r.allowed for r in lifecycle.quota(df, "who", "ts", "id", 1, 60).collect()} == {1: True, 2: None, 3: False, 4: None}
     assert sorted(r.id for r in previous_time(df.filter("ts IS NOT NULL"), "who", "ts", "id").collect()) == [1, 2, 3]
+
+
+def test_quota_stream_decides_files_that_arrive_in_falling_order(spark, tmp_path):
+    from paperlens.streaming.quota_stream import decided, quota_stream, requests_log
+
+    t0 = dt.datetime(2024, 1, 1)
+    # user 2 comes in order; the others' later files hold earlier times, some beyond the watermark
+    files = [[(1, 1, 7200), (2, 1, 7230), (3, 2, 0)], [(4, 1, 7000), (5, 1, 7190), (6, 2, 7210), (7, 3, 100)], [(8, 1, 10), (9, 1, 20), (10, 1, 30), (11, 2, 7220), (12, 2, 7225), (13, None, 50), (14, 1, None)]]
+    d, schema = str(tmp_path), "id bigint, who bigint, ts timestamp"
+    rows = [[(i, who, None if t is None else t0 + dt.timedelta(seconds=t)) for i, who, t in f] for f in files]
+    for f in rows:
+        spark.createDataFrame(f, schema).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
+    for name, out in (("told", quota_stream(events, "who", "ts", "id", 2, 600)), ("log", requests_log(events, "who", "ts", "id"))):
+        out.writeStream.format("parquet").option("path", f"{d}/{name}").option("checkpointLocation", f"{d}/c-{name}").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    told, log = spark.read.parquet(f"{d}/told"), spark.read.parquet(f"{d}/log")
+    assert told.count() < log.count() == 14
+    got = {r.id: r.allowed for r in decided(log, told, "who", "ts", "id", 2, 600).collect()}
+    whole = [r for f in rows for r in f if r[1] is not None and r[2] is not None]
+    assert got == brute_quota(whole, 2, 600) | {13: None, 14: None}
