@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from paperlens.llm import decontaminate, language, line_dedup, mixing, near, ngram, oracle, quality, tokens, toxicity, warc
+from paperlens.llm import byte_bpe, decontaminate, hard_negatives, language, line_dedup, mixing, near, ngram, oracle, quality, tokens, toxicity, warc, whitening
 from paperlens.llm.common import residue, table
 
 QUERIES = {}
@@ -79,3 +79,23 @@ def op9(spark, d):
 def op10(spark, d):
     out = near.near_duplicates(table(spark, d, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op11_byte_bpe")
+def op11(spark, d):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    out = byte_bpe.decode(byte_bpe.encode(table(spark, d, "documents"), *vocabulary), *vocabulary)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids, F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op12_hard_negatives", oracle.HARD_NEGATIVES)
+def op12(spark, d):
+    rows = table(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_whitening")
+def op13(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
