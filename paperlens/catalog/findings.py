@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from paperlens import packs as P
 from paperlens.catalog import query
 from paperlens.catalog.common import docs, facts, once, overlay_frame, rule_rows, scored, tagged
+from paperlens.catalog.structure import IMAGE_CAPTIONS
 from paperlens.operators import elements, evaluate, gates, reconcile, reports, structure
 from paperlens.oracle.sql import inlist, q, sql
 from paperlens.plans.compare import review_and_compare
@@ -48,16 +49,20 @@ IMG = """SELECT i.doc_id, i.img_idx, (i.doc_id * 37 + i.img_idx * 11) % 5 AS nv,
     "src_image_readings",
     sql(f"""SELECT doc_id, img_idx, 'R-FIG-02' AS item_id, 'uncertain' AS verdict, '图内数值识读线索：第 ' || (img_idx + 1) || ' 张插图' AS headline,
       '模型识读图内数值：' || CASE WHEN nv > 0 THEN array_to_string(list_transform(range(nv), lambda j: '0.' || j), '、') ELSE '未识别到明确数值' END || '。' || CASE WHEN cz = 0 THEN ' 疑点：坐标轴缺单位' ELSE '' END || ' 该结论来自图像识读，需人工复核。' AS description, anchor, nv AS n_values
-      FROM ({IMG}) WHERE img_idx IN (0, 1, 2, 3) AND byte_size <= 4194304 AND (nv > 0 OR cz = 0)"""),
+      FROM ({IMG}) WHERE img_idx IN (0, 1, 2, 3) AND byte_size BETWEEN 1 AND 4194304 AND (nv > 0 OR cz = 0)"""),
 )
 def src_image_readings(spark, d):
     """Readings written by formula for every image of the overlay, then ingested."""
+    return V.image_findings(readings(spark, d).withColumn("caption", F.lit("")))
+
+
+def readings(spark, d):
     i = structure.images(overlay_frame(spark, d))
     nv = F.pmod(F.col("doc_id") * 37 + F.col("img_idx") * 11, F.lit(5)).cast("int")
     vals = F.when(nv > 0, F.transform(F.sequence(F.lit(0), F.greatest(nv - 1, F.lit(0))), lambda j: F.concat(F.lit("0."), j.cast("string")))).otherwise(F.array(F.lit(" ")))
     concern = F.when(F.pmod(F.col("doc_id") + F.col("img_idx"), F.lit(3)) == 0, "坐标轴缺单位")
-    r = i.select("doc_id", "img_idx", F.lit("").alias("caption"), "anchor", (F.pmod(F.col("doc_id") * 13, F.lit(8)) * 1048576).alias("byte_size"), F.to_json(F.struct(vals.alias("values"), concern.alias("concern"))).alias("content"))
-    return V.image_findings(r)
+    size = (F.pmod(F.col("doc_id") * 13, F.lit(8)) * 1048576).alias("byte_size")
+    return i.select("doc_id", "img_idx", "anchor", size, F.to_json(F.struct(vals.alias("values"), concern.alias("concern"))).alias("content"))
 
 
 @query("mod_item_ids", sql("SELECT doc_id, mseq, raw_id, item_id FROM verd"))
@@ -229,6 +234,21 @@ def gat_review_model(spark, d):
     return gates.counts(review(facts=facts(spark, d), verdicts=verdicts(spark, d), demote=True))
 
 
+IMAGE_FULL = ["doc_id", "seq", "engine", "item_id", "verdict", "severity", "certainty", "headline", "description", "suggestion", "advisory", "evidence_gate", "gate_reason", "confidence", "grade"]
+IMAGE_ROWS = f"""SELECT i.doc_id, {5 << 40} + i.img_idx AS seq, 'llm' AS engine, 'R-FIG-02' AS item_id, 'uncertain' AS verdict, 'low' AS severity, 'suspected' AS certainty,
+   '图内数值识读线索：' || CASE WHEN c.caption <> '' THEN c.caption ELSE '第 ' || (i.img_idx + 1) || ' 张插图' END AS headline,
+   '模型识读图内数值：' || CASE WHEN nv > 0 THEN array_to_string(list_transform(range(nv), lambda j: '0.' || j), '、') ELSE '未识别到明确数值' END || '。' || CASE WHEN cz = 0 THEN ' 疑点：坐标轴缺单位' ELSE '' END || ' 该结论来自图像识读，需人工复核。' AS description,
+   '对照图像与正文/表体的报数，确认统计量口径一致。' AS suggestion, true AS advisory, 'vision_read' AS evidence_gate, 'advisory' AS gate_reason, 0.27::DOUBLE AS confidence, 'D' AS grade, CAST(anchor AS VARCHAR) AS anchors
+  FROM ({IMG}) i JOIN ({IMAGE_CAPTIONS}) c ON c.doc_id = i.doc_id AND c.img_idx = i.img_idx WHERE i.img_idx < 4 AND byte_size BETWEEN 1 AND 4194304 AND (nv > 0 OR cz = 0)"""
+
+
+@query("gat_review_images", sql("SELECT " + ", ".join(IMAGE_FULL) + f", {ANCH} AS anchors FROM fm UNION ALL {IMAGE_ROWS}"))
+def gat_review_images(spark, d):
+    """The whole pipeline with model verdicts and image readings, one row per finding; one join on doc_id carries both."""
+    r = review(facts=facts(spark, d), verdicts=verdicts(spark, d), readings=V.parse_readings(readings(spark, d)), demote=True)
+    return r.select(*IMAGE_FULL, F.array_join(F.col("anchors").cast("array<string>"), ",").alias("anchors"))
+
+
 # --- report consumption ----------------------------------------------------------------------
 
 @query("rep_facets", sql("SELECT doc_id, count(*) AS n_all, count(*) FILTER (WHERE verdict = 'problem') AS n_problem, count(*) FILTER (WHERE verdict = 'uncertain') AS n_uncertain, count(*) FILTER (WHERE verdict = 'pass') AS n_pass, count(*) FILTER (WHERE certainty = 'undetermined') AS n_undetermined, count(*) FILTER (WHERE grade = 'A') AS n_grade_a, count(*) FILTER (WHERE grade = 'B') AS n_grade_b, count(*) FILTER (WHERE grade IN ('C', 'D')) AS n_grade_cd FROM fr GROUP BY doc_id"))

@@ -150,11 +150,11 @@ def str_table_captions(spark, d):
     return structure.tables(overlay_frame(spark, d)).select("doc_id", "tbl_idx", "anchor", "caption")
 
 
-@query(
-    "str_image_captions",
-    sql(f"""SELECT i.doc_id, i.img_idx, i.path, arg_min(p.para_idx, CASE WHEN p.para_idx > i.idx THEN p.para_idx - i.idx ELSE 100 + i.idx - p.para_idx END) AS caption_para, coalesce(arg_min(p.s, CASE WHEN p.para_idx > i.idx THEN p.para_idx - i.idx ELSE 100 + i.idx - p.para_idx END), '') AS caption
-      FROM img i LEFT JOIN paras p ON p.doc_id = i.doc_id AND p.para_idx BETWEEN i.idx - {P.CAPTION_LOOKBEHIND} AND i.idx + {P.CAPTION_LOOKAHEAD} AND p.para_idx <> i.idx AND {rx('p.s', P.CAPTION_START)} GROUP BY ALL"""),
-)
+IMAGE_CAPTIONS = f"""SELECT i.doc_id, i.img_idx, i.path, arg_min(p.para_idx, CASE WHEN p.para_idx > i.idx THEN p.para_idx - i.idx ELSE 100 + i.idx - p.para_idx END) AS caption_para, coalesce(arg_min(p.s, CASE WHEN p.para_idx > i.idx THEN p.para_idx - i.idx ELSE 100 + i.idx - p.para_idx END), '') AS caption
+      FROM img i LEFT JOIN paras p ON p.doc_id = i.doc_id AND p.para_idx BETWEEN i.idx - {P.CAPTION_LOOKBEHIND} AND i.idx + {P.CAPTION_LOOKAHEAD} AND p.para_idx <> i.idx AND {rx('p.s', P.CAPTION_START)} GROUP BY ALL"""
+
+
+@query("str_image_captions", sql(IMAGE_CAPTIONS))
 def str_image_captions(spark, d):
     return structure.images(overlay_frame(spark, d)).select("doc_id", "img_idx", "path", "caption_para", "caption")
 

@@ -5,8 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from paperlens import packs
-from paperlens.functions.ranks import previous_time, rejoin
 from paperlens.functions.text import redact
+from paperlens.operators.quota import quota  # noqa: F401  (one of this group)
 
 
 def expired_sessions(sessions: DataFrame, jobs: DataFrame, now, ttl_hours=2, retention_hours=2) -> DataFrame:
@@ -43,59 +43,6 @@ def latest_job_state(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").agg(F.max_by(F.struct("state", "ts"), F.struct("ts", "event_id")).alias("s")).select("job_id", "s.state", F.col("s.ts").alias("updated_at"))
 
 
-def quota(requests: DataFrame, key: str, ts: str, tie: str, limit: int, window_seconds: int) -> DataFrame:
-    """Adds ``allowed``: at most ``limit`` accepted requests per key in the sliding window; refusals do not count.
-
-    Each decision depends on the earlier ones, but a pause longer than the window clears the state.
-    Keys are cut at such pauses, so one busy key spreads over many tasks, and inside a burst rows
-    stream through in time order with a queue of ``limit`` times, never a whole group in memory.
-    A request without a time or a key cannot be placed: it stays, with ``allowed`` null, and takes no slot.
-    """
-    placed = F.col(ts).isNotNull() & F.col(key).isNotNull()
-    unplaced = requests.filter(~placed).withColumn("allowed", F.lit(None).cast("boolean"))
-    requests = requests.filter(placed)
-    d = previous_time(requests, key, ts, tie)
-    starts = F.col("prev_ts").isNull() | (F.col(ts) > F.col("prev_ts") + F.make_dt_interval(secs=F.lit(window_seconds)))
-    # every row takes the latest pause at or before it: again in blocks, so no key is ordered whole
-    d = latest_mark(d.withColumn("_mark", F.when(starts, F.col(ts))), key, ts, tie, "_mark", "burst")
-    cols = [c for c in requests.columns]
-    ordered = d.select(*cols, "burst").repartition(key, "burst").sortWithinPartitions(key, "burst", ts, tie)
-    schema = requests.schema.add("allowed", "boolean")
-    span = window_seconds * 1_000_000
-
-    def walk(batches):
-        from collections import deque
-
-        current, accepted = None, deque()
-        for pdf in batches:
-            micros = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy()
-            flags = []
-            for who, burst, t in zip(pdf[key], pdf["burst"], micros):
-                if (who, burst) != current:
-                    current, accepted = (who, burst), deque()
-                while accepted and t - accepted[0] > span:
-                    accepted.popleft()
-                ok = len(accepted) < limit
-                if ok:
-                    accepted.append(t)
-                flags.append(ok)
-            yield pdf[cols].assign(allowed=flags)
-
-    return ordered.mapInPandas(walk, schema).unionByName(unplaced)
-
-
-def latest_mark(df: DataFrame, key, ts, tie, mark, name, block="1 hour") -> DataFrame:
-    """Last non-null ``mark`` at or before each row, per key, computed in (key, block) pieces."""
-    from pyspark.sql import Window
-
-    d = df.withColumn("_blk", F.window(ts, block)["start"])
-    ends = d.groupBy(key, "_blk").agg(F.max(mark).alias("_m"))
-    before = F.max("_m").over(Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.withColumn("_carry", before).drop("_m")
-    own = F.max(mark).over(Window.partitionBy(key, "_blk").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0))
-    return rejoin(d.withColumn("_own", own), ends, key, "_blk").withColumn(name, F.coalesce("_own", "_carry")).drop("_own", "_carry", "_blk", mark)
-
-
 def redacted(documents: DataFrame, patterns=packs.REDACTIONS) -> DataFrame:
     """Whole texts with secrets replaced, and whether anything was."""
     out = documents.select("doc_id", "text", redact(F.col("text"), patterns).alias("clean"))

@@ -35,30 +35,35 @@ def dual_check(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
-def tagged_verdicts(verdicts: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Every verdict row (``extra``), plus one carrier row per document with the per-item summary (``folds``).
+def tagged_verdicts(verdicts: DataFrame | None, doc_ids: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+    """Every verdict row (``extra``) and every image reading (``reading``), plus one carrier row per document with the
+    per-item summary of its verdicts (``folds``).
 
     The summary is aggregated map-side to at most one entry per known item, so a document with a
     flood of verdict rows never has them gathered in one group.  Since every document has a carrier,
     the plan can use an inner join on doc_id, which adaptive execution may split on either side.
     """
-    none = F.lit(None)
-    cols = ["item_id", "mseq", "verdict", "severity", "headline", "description", "suggestion", "dual_check", "dual_verdict"]
-    for c in ("dual_check", "dual_verdict"):
-        if c not in verdicts.columns:
-            verdicts = verdicts.withColumn(c, none.cast("string"))
-    folds = (
-        verdicts.groupBy("doc_id", "item_id")
-        .agg(
-            F.max_by("verdict", "mseq").alias("llm_verdict"),
-            F.min_by(F.nullif("description", F.lit("")), F.when(F.col("description") != "", F.col("mseq"))).alias("description"),
-            F.min_by(F.nullif("suggestion", F.lit("")), F.when(F.col("suggestion") != "", F.col("mseq"))).alias("suggestion"),
+    rows = doc_ids
+    if verdicts is not None:
+        cols = ["item_id", "mseq", "verdict", "severity", "headline", "description", "suggestion", "dual_check", "dual_verdict"]
+        for c in ("dual_check", "dual_verdict"):
+            if c not in verdicts.columns:
+                verdicts = verdicts.withColumn(c, F.lit(None).cast("string"))
+        folds = (
+            verdicts.groupBy("doc_id", "item_id")
+            .agg(
+                F.max_by("verdict", "mseq").alias("llm_verdict"),
+                F.min_by(F.nullif("description", F.lit("")), F.when(F.col("description") != "", F.col("mseq"))).alias("description"),
+                F.min_by(F.nullif("suggestion", F.lit("")), F.when(F.col("suggestion") != "", F.col("mseq"))).alias("suggestion"),
+            )
+            .groupBy("doc_id")
+            .agg(F.collect_list(F.struct("item_id", "llm_verdict", "description", "suggestion")).alias("folds"))
         )
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("item_id", "llm_verdict", "description", "suggestion")).alias("folds"))
-    )
-    carriers = doc_ids.join(folds, "doc_id", "left")
-    return verdicts.select("doc_id", F.struct(*cols).alias("extra")).unionByName(carriers, allowMissingColumns=True)
+        carriers = doc_ids.join(folds, "doc_id", "left")
+        rows = verdicts.select("doc_id", F.struct(*cols).alias("extra")).unionByName(carriers, allowMissingColumns=True)
+    if readings is not None:
+        rows = rows.unionByName(readings.select("doc_id", F.struct("img_idx", "values", "concern").alias("reading")), allowMissingColumns=True)
+    return rows
 
 
 def pending_quotes(findings: DataFrame, max_items=packs.VERIFY_MAX_ITEMS) -> DataFrame:

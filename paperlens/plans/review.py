@@ -1,8 +1,8 @@
 """The review plan: frame -> facts -> draft findings -> gates -> scored findings.
 
-Rules-only, the whole plan is a map over documents with no shuffle.  With model verdicts there is
-one join on doc_id.  Step order is part of the semantics: merge, verify, evidence, tiers,
-unassessed, then the extra checks, then demotion, then scoring.
+Rules-only, the whole plan is a map over documents with no shuffle.  With model verdicts, image readings or both
+there is one join on doc_id.  Step order is part of the semantics: merge, verify, evidence, tiers,
+unassessed, then the extra checks and the image readings, then demotion, then scoring.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,6 +11,7 @@ from paperlens import packs
 from paperlens.functions.text import literal_map
 from paperlens.operators import checks, elements, gates, reconcile, rules, structure
 from paperlens.sources.intake import unnest
+from paperlens.sources.verdicts import image_texts
 
 FACT = "array<struct<type:string,para_idx:int,confidence:double>>"
 STRUCTURAL = ("citation", "reference_list")
@@ -39,6 +40,7 @@ def document_facts(fr: DataFrame, use_elements=True) -> DataFrame:
     return f.select(
         "doc_id", "source", "paper_type", "findings", "numeric", "figure", "figure_mentions",
         firsts.cast(FACT).alias("facts"), in_tables.alias("table_types"), F.size("tables").alias("n_tables"),
+        F.transform(F.slice("images", 1, packs.IMAGES_MAX), lambda i: F.struct(i["img_idx"], i["caption"], i["anchor"])).alias("images"),
     )
 
 
@@ -82,14 +84,20 @@ def _finding(phase, seq, engine, item, code, verdict, severity, certainty, ancho
     )
 
 
-def draft(fc: DataFrame, verdicts: DataFrame | None = None, items=packs.CHECKLIST, mark_unassessed=True) -> DataFrame:
-    """Findings rows before gating.  phase 0 rule, 1 model, 2 unassessed, 3 numeric, 4 figure."""
+def draft(fc: DataFrame, verdicts: DataFrame | None = None, items=packs.CHECKLIST, mark_unassessed=True, readings: DataFrame | None = None) -> DataFrame:
+    """Findings rows before gating.  phase 0 rule, 1 model, 2 unassessed, 3 numeric, 4 figure, 5 image reading.
+
+    A reading takes caption and anchor from its image, which the document's row holds; one of an image that the document
+    lacks gives no finding.
+    """
     fold_type = "array<struct<item_id:string,llm_verdict:string,description:string,suggestion:string>>"
     kind = F.col("paper_type")
-    if verdicts is None:
-        j = fc.withColumns({"folds": F.array().cast(fold_type), "extra": F.lit(None)})
+    no_folds = F.array().cast(fold_type)
+    if verdicts is None and readings is None:
+        j = fc.withColumn("folds", no_folds)
     else:
-        j = fc.join(reconcile.tagged_verdicts(verdicts, fc.select("doc_id")), "doc_id").withColumn("folds", F.coalesce("folds", F.array().cast(fold_type)))
+        j = fc.join(reconcile.tagged_verdicts(verdicts, fc.select("doc_id"), readings), "doc_id")
+        j = j.withColumn("folds", no_folds if verdicts is None else F.coalesce("folds", no_folds))
     ruled = F.filter("findings", lambda f: elements.applicable(f["item_id"], kind))
 
     def merged(f, i):
@@ -133,9 +141,19 @@ def draft(fc: DataFrame, verdicts: DataFrame | None = None, items=packs.CHECKLIS
     numeric = F.transform(F.filter("numeric", lambda c: kind != "review"), extra_check(3, "deterministic"))
     figure = F.transform("figure", extra_check(4, "suspected"))
     carrier = F.concat(F.transform(ruled, merged), unassessed, numeric, figure)
-    if verdicts is None:
-        rows = carrier
-    else:
+    rows = carrier
+    if readings is not None:
+        image = F.filter("images", lambda i: i["img_idx"] == F.col("reading.img_idx"))
+
+        def read(i):
+            headline, description = image_texts(i["img_idx"], i["caption"], F.col("reading.values"), F.col("reading.concern"))
+            return _finding(
+                5, i["img_idx"], "llm", F.lit(packs.IMAGE_ITEM), F.lit(None), F.lit("uncertain"), F.lit("low"), F.lit("suspected"), F.array(i["anchor"]),
+                headline, description, F.lit(packs.IMAGE_SUGGESTION), advisory=F.lit(True), evidence_gate=F.lit("vision_read"),
+            )
+
+        rows = F.when(F.col("reading").isNotNull(), F.transform(image, read)).otherwise(rows)
+    if verdicts is not None:
         item = F.when(elements.applicable(F.col("extra.item_id"), kind), F.col("extra.item_id")).otherwise("unknown")
         keep = (item == "unknown") | ~F.exists("findings", lambda f: f["item_id"] == item)
         e = lambda c: F.col(f"extra.{c}")
@@ -143,7 +161,7 @@ def draft(fc: DataFrame, verdicts: DataFrame | None = None, items=packs.CHECKLIS
             1, e("mseq"), "llm", item, F.lit(None), e("verdict"), e("severity"), F.lit("suspected"), F.array(),
             e("headline"), e("description"), e("suggestion"), dual_check=e("dual_check"), dual_verdict=e("dual_verdict"),
         )
-        rows = F.when(F.col("extra").isNull(), carrier).when(keep, F.array(model))
+        rows = F.when(F.col("extra").isNull(), rows).when(keep, F.array(model))
     return unnest(j, rows, "doc_id", "source", "paper_type", "facts", "table_types", "figure_mentions", "n_tables")
 
 
@@ -158,12 +176,16 @@ def review(
     use_elements=True,
     use_gates=True,
     facts: DataFrame | None = None,
+    readings: DataFrame | None = None,
 ) -> DataFrame:
-    """Scored findings, one row each; ``facts`` may be given in place of the frame.  ``verdicts`` and ``second`` come from reconcile.normalize_ids."""
+    """Scored findings, one row each; ``facts`` may be given in place of the frame.
+
+    ``verdicts`` and ``second`` come from reconcile.normalize_ids, ``readings`` from verdicts.parse_readings.
+    """
     fc = document_facts(fr, use_elements) if facts is None else facts
     if verdicts is not None and second is not None:
         verdicts = reconcile.dual_check(reconcile.restrict(verdicts, fc), reconcile.restrict(second, fc))
-    f = draft(fc, verdicts, items, mark_unassessed=use_gates)
+    f = draft(fc, verdicts, items, mark_unassessed=use_gates, readings=readings)
     if quotes is not None:
         pending = reconcile.pending_quotes(f)
         f = reconcile.apply_quotes(f, reconcile.verify_quotes(pending, quotes, structure.units(fr)))

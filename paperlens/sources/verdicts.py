@@ -74,31 +74,34 @@ def parse_verdicts(payloads: DataFrame, content="content") -> DataFrame:
     )
 
 
-def image_findings(readings: DataFrame, max_images=4, max_bytes=4 * 1024 * 1024) -> DataFrame:
-    """Image readings (doc_id, img_idx, caption, anchor, byte_size, content JSON) to R-FIG-02 findings.
+def parse_readings(readings: DataFrame, max_images=packs.IMAGES_MAX, max_bytes=packs.IMAGE_BYTES_MAX) -> DataFrame:
+    """Readings (doc_id, img_idx, byte_size, content JSON) that say something: values and concern beside their other columns.
 
-    Only the first ``max_images`` images of a document are read and oversized ones are skipped
-    (limits of the feature); an empty reading yields nothing.
+    Only the first ``max_images`` images of a document are read; images without bytes and oversized ones are skipped
+    (limits of the feature).  A content that is no object, or without a value and a concern, says nothing; so does a null
+    number or size.  Values of any kind are taken as text; blank ones and null go.  One pass, no shuffle.
     """
-    parsed = F.from_json("content", "struct<values:array<string>,concern:string>")
-    r = readings.filter((F.col("img_idx") < max_images) & (F.col("byte_size") <= max_bytes)).withColumn("p", parsed)
-    values = F.filter(F.coalesce("p.values", F.array().cast("array<string>")), lambda v: strip(v) != "")
-    concern = F.nullif(F.coalesce("p.concern", F.lit("")), F.lit(""))
-    kept = r.withColumns({"vals": F.slice(values, 1, 12), "concern": concern}).filter((F.size("vals") > 0) | F.col("concern").isNotNull())
-    label = F.when(F.col("caption") != "", F.col("caption")).otherwise(F.concat(F.lit("第 "), (F.col("img_idx") + 1).cast("string"), F.lit(" 张插图")))
+    read = (F.col("img_idx").between(0, max_images - 1)) & F.col("byte_size").between(1, max_bytes)
+    parsed = readings.filter(read).withColumn("p", F.from_json("content", "struct<values:array<string>,concern:string>"))
+    values = F.filter(F.coalesce("p.values", F.array().cast("array<string>")), lambda v: v.isNotNull() & (strip(v) != ""))
+    out = parsed.withColumns({"values": F.slice(values, 1, packs.IMAGE_VALUES_MAX), "concern": F.nullif("p.concern", F.lit(""))}).drop("p", "content", "byte_size")
+    return out.filter((F.size("values") > 0) | F.col("concern").isNotNull())
+
+
+def image_texts(img_idx: Column, caption: Column, values: Column, concern: Column) -> tuple[Column, Column]:
+    """Headline and description of the finding that a reading becomes."""
+    fill = lambda text, value: F.replace(F.lit(text), F.lit("{0}"), value)
+    label = F.coalesce(F.nullif(caption, F.lit("")), fill(packs.IMAGE_LABEL, (img_idx + 1).cast("string")))
+    found = fill(packs.IMAGE_VALUES, F.when(F.size(values) > 0, F.array_join(values, "、")).otherwise(packs.IMAGE_NO_VALUES))
+    doubt = F.coalesce(fill(packs.IMAGE_DOUBT, concern), F.lit(""))
+    return fill(packs.IMAGE_HEADLINE, label), F.concat(found, doubt, F.lit(packs.IMAGE_ENDING))
+
+
+def image_findings(readings: DataFrame, max_images=packs.IMAGES_MAX, max_bytes=packs.IMAGE_BYTES_MAX) -> DataFrame:
+    """Findings of readings that carry their image's caption and anchor, without a review (see plans.review for one)."""
+    kept = parse_readings(readings, max_images, max_bytes)
+    headline, description = image_texts(F.col("img_idx"), F.col("caption"), F.col("values"), F.col("concern"))
     return kept.select(
-        "doc_id",
-        "img_idx",
-        F.lit("R-FIG-02").alias("item_id"),
-        F.lit("uncertain").alias("verdict"),
-        F.concat(F.lit("图内数值识读线索："), label).alias("headline"),
-        F.concat(
-            F.lit("模型识读图内数值："),
-            F.when(F.size("vals") > 0, F.array_join("vals", "、")).otherwise("未识别到明确数值"),
-            F.lit("。"),
-            F.coalesce(F.concat(F.lit(" 疑点："), F.col("concern")), F.lit("")),
-            F.lit(" 该结论来自图像识读，需人工复核。"),
-        ).alias("description"),
-        "anchor",
-        F.size("vals").alias("n_values"),
-    )
+        "doc_id", "img_idx", F.lit(packs.IMAGE_ITEM).alias("item_id"), F.lit("uncertain").alias("verdict"),
+        headline.alias("headline"), description.alias("description"), "anchor", F.size("values").alias("n_values"),
+    )

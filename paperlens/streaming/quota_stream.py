@@ -7,40 +7,39 @@ The stream decides requests that arrive in order of their times.  ``requests_log
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from paperlens.operators.lifecycle import quota
+from paperlens.operators.quota import quota
 
 
 def quota_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int, window_seconds: int, watermark="10 minutes") -> DataFrame:
-    """Rows with ``allowed`` and ``late``: not after all rows of the key in earlier micro-batches.  Idle keys time out.
+    """Rows with ``allowed`` and ``late``: not after all rows of the key that came in earlier batches.  Idle keys time out.
 
     Rows beyond the watermark, or without a key or a time, are not in it; ``decided`` takes them from the log.
-    A key's rows are taken in order of ``ts`` within the micro-batch.
+    A key's rows come in Arrow batches, and are taken in order of ``ts`` within one; only one is held at a time.
     """
     span = window_seconds * 1_000_000
     names = [key, ts, tie]
 
     def step(who, batches, state):
-        import pandas as pd
-
         if state.hasTimedOut:
             state.remove()
             return
         accepted, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        rows = pd.concat(list(batches)).sort_values([ts, tie])
-        flags, late = [], []
-        before = last
-        for t in map(int, rows[ts].astype("datetime64[us]").astype("int64")):
-            ok = sum(0 <= t - a <= span for a in accepted) < limit
-            if ok:
-                accepted = sorted([*accepted, t])[-limit:]
-            flags.append(ok)
-            late.append(before is not None and t <= before)
-            last = t if last is None else max(last, t)
+        for rows in batches:  # never a whole key: what comes behind an earlier batch's times is late
+            rows = rows.sort_values([ts, tie])
+            flags, late = [], []
+            before = last
+            for t in map(int, rows[ts].astype("datetime64[us]").astype("int64")):
+                ok = sum(0 <= t - a <= span for a in accepted) < limit
+                if ok:
+                    accepted = sorted([*accepted, t])[-limit:]
+                flags.append(ok)
+                late.append(before is not None and t <= before)
+                last = t if last is None else max(last, t)
+            yield rows[names].assign(allowed=flags, late=late)
         accepted = [a for a in accepted if last - a <= span]
         state.update((accepted, last))
         mark = state.getCurrentWatermarkMs()
         state.setTimeoutTimestamp(max(mark + 1, last // 1000 + window_seconds * 1000 + 1))
-        yield rows[names].assign(allowed=flags, late=late)
 
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     out = ", ".join(f"{n} {types[n]}" for n in names) + ", allowed boolean, late boolean"
