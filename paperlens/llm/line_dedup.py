@@ -9,20 +9,25 @@ each needs only the earliest partner, never all pairs:
 
 1. Equal lines are aggregated to their earliest place, by a 128-bit hash.
 2. One edit leaves the first or the second half of a line as it is, so only lines that share the hash of a half with
-   another emit variants.  (Half keys are made for the own length and for one less, which covers a shift by one.)
-3. A variant's key is a hash of the text before its 64-character block, the block without the character, and the text
-   after it; a line of n characters thus costs n keys over 64 characters each, not over n.  A whole line emits one key
-   per block.  Per key the earliest whole line, and per key and place the earliest line, are aggregated map-side.
-4. The earliest partner is verified on the texts by edit distance, and a document is rebuilt from the lines it keeps, by
-   doc_id and a 128-bit hash of its text.
-
-Scale: shuffles move hashes, but for the one join that rebuilds the documents.  A small side is broadcast only after its
-rows were counted; otherwise the join shuffles.  A hot line or key is aggregated before it is shuffled.
+   another emit variants, and only of the rest of the line behind or before that half.  (Half keys are made for the own
+   length and for one less, which covers a shift by one.)
+3. A variant's key is a hash of the half, of the rest before its 64-character block, the block without the character, and
+   the rest after it; so the rest costs a key over 64 characters for each of its own, not over all.  Two lines of one
+   length meet where the same character is missing.  A line meets one that is longer by a character where its whole rest
+   equals the other's rest without one; for that a whole rest has one key per block.  Per key the earliest line of either
+   length is aggregated map-side.
+4. The earliest partner is verified on the texts by edit distance.
+5. Where a line goes, its number is gathered for the row; rows that lose nothing are in no table.  A row is named by a
+   128-bit hash of doc_id and text.
+
+Scale: shuffles move hashes, but for two: the lines that share a half fetch their text, and the documents meet the numbers
+of the lines that go.  Every join is left to Spark's own size check.  A hot line or key is aggregated before it is
+shuffled.
 
 Defined cases: a null text stays null and has no lines; a line without a word is neither counted nor removed, but a text
 that loses all its other lines becomes empty; a null doc_id comes last; of rows that repeat a doc_id (null, too) equal
 lines with the same number stay or go together, and other lines do not; columns other than doc_id, text and n_chars pass
-through.
+through, but n_lines and n_kept are the operator's own unless `counts` is false.
 """
 
 from __future__ import annotations
@@ -33,115 +38,102 @@ from paperlens.llm.common import WORD, stored
 
 LEAST = 20
 BLOCK = 64
-#: Rows of some 50 bytes that are sent to every task at most.
-BROADCAST_ROWS = 100_000
+#: The half keys of a line, as (length less one, side): own length first.
+KEYS = [(less, side) for less in (0, 1) for side in ("first", "second")]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """The rows, written once, marked for broadcast only if their number is known to be small."""
-    df = stored(df, "line-keys")
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def hashes(*of) -> tuple[Column, Column]:
+    """Two hashes that stand together for the columns."""
+    return F.xxhash64(*of), F.xxhash64(F.lit("second"), *of)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """place (order of lines), line, and two hashes that stand for the line; lines with a word only."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.col("line").rlike(WORD))
+def lines(docs: DataFrame, *more: Column) -> DataFrame:
+    """place (order of lines), line, h and g (hashes of the line), and more columns of the row; lines with a word only."""
+    rows = docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.col("line").rlike(WORD))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("at").alias("at"))
-    return rows.select(place.alias("place"), "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"))
-
-
-def text_hash() -> tuple[Column, Column]:
-    """Two hashes that stand for the whole text of a row."""
-    return F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
-
-
-def kept_places(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """_id, _h, _g (a distinct doc_id and text) and _kept, the numbers of the lines that stay in it.
-
-    `kept` holds a row (h, g, doc_id, at) per line that stays.  Where a doc_id has one text, its places tell the lines.
-    Rows without a doc_id, or with one that other texts have too, look each line up at its place.
-    """
-    th, tg = text_hash()
-    ids = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").groupBy("doc_id")
-    ids = ids.agg(F.min(th).alias("_h"), F.min(tg).alias("_g"), F.max(th).alias("h2"), F.max(tg).alias("g2"))
-    ids = stored(ids.withColumn("one", (F.col("_h") == F.col("h2")) & (F.col("_g") == F.col("g2"))).drop("h2", "g2"), "texts")
-    places = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("at").alias("_kept"))
-    single = places.join(ids.filter("one"), "doc_id").select(F.col("doc_id").alias("_id"), "_h", "_g", "_kept")
-    several = small(ids.filter("NOT one").select("doc_id"))
-
-    def among(rows):
-        named = rows.filter("doc_id IS NOT NULL").join(several, "doc_id", "left_semi").select(*rows.columns)
-        return rows.filter("doc_id IS NULL").unionByName(named)
-
-    rows = docs.select("doc_id", th.alias("_h"), tg.alias("_g"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = rows.select("doc_id", "_h", "_g", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"))
-    wanted = among(kept).toDF("_lh", "_lg", "_id", "_at")
-    same = (F.col("h") == F.col("_lh")) & (F.col("g") == F.col("_lg")) & (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    rows = among(rows).join(wanted, same, "left_semi")
-    looked_up = rows.groupBy(F.col("doc_id").alias("_id"), "_h", "_g").agg(F.collect_set("at").alias("_kept"))
-    return single.unionByName(looked_up)
-
-
-def halves() -> Column:
-    """Keys of a line's halves: for its own length and for one character less."""
-    n = F.length("line")
-    keys = []
-    for less in (0, 1):
-        m = n - less
-        half = F.floor(m / 2).cast("int")
-        keys += [F.xxhash64(m, F.lit("first"), F.left("line", half)), F.xxhash64(m, F.lit("second"), F.right("line", m - half))]
-    return F.when(n >= LEAST, F.array(*keys))
-
-
-VARIANTS = f"""
-concat(
-  flatten(transform(blocks, b -> transform(if(b.m = '', array(), sequence(1, length(b.m))), i ->
-    named_struct('key', xxhash64(b.l, concat(left(b.m, i - 1), substr(b.m, i + 1)), b.r, b.j), 'i', {BLOCK} * b.j + i)))),
-  transform(blocks, b -> named_struct('key', xxhash64(b.l, b.whole, b.rest, b.j), 'i', 0)))
-"""
+    h, g = hashes("line")
+    return rows.withColumns({"place": place, "h": h, "g": g}).drop("doc_id", "at")
+
+
+def half(less: int, side: str) -> tuple[Column, Column]:
+    """The half of a line that a key stands for, and the rest of the line."""
+    m = F.length("line") - less
+    k = F.floor(m / 2).cast("int")
+    if side == "first":
+        return F.left("line", k), F.substr("line", k + 1)
+    return F.right("line", m - k), F.left("line", k + less)
+
+
+def half_keys() -> Column:
+    keys = [F.xxhash64(F.length("line") - less, F.lit(side), half(less, side)[0]) for less, side in KEYS]
+    return F.when(F.length("line") >= LEAST, F.array(*keys))
+
+
+#: Of a rest r with key k and place p: its blocks, and the keys of the rest without one character, or whole.
 BLOCKS = f"""
-transform(sequence(0, length(line) div {BLOCK}), j -> named_struct('j', int(j), 'l', xxhash64(left(line, int({BLOCK} * j))),
-  'm', substr(line, int({BLOCK} * j + 1), {BLOCK}), 'r', xxhash64(substr(line, int({BLOCK} * j + {BLOCK + 1}))),
-  'whole', substr(line, int({BLOCK} * j + 1), {BLOCK - 1}), 'rest', xxhash64(substr(line, int({BLOCK} * j + {BLOCK})))))
+transform(sequence(0, length(r) div {BLOCK}), j -> named_struct('j', int(j), 'l', xxhash64(k, left(r, int({BLOCK} * j))),
+  'm', substr(r, int({BLOCK} * j + 1), {BLOCK}), 'a', xxhash64(substr(r, int({BLOCK} * j + {BLOCK + 1}))),
+  'whole', substr(r, int({BLOCK} * j + 1), {BLOCK - 1}), 'rest', xxhash64(substr(r, int({BLOCK} * j + {BLOCK})))))
 """
+CUT = "flatten(transform(b, x -> transform(if(x.m = '', array(), sequence(1, length(x.m))), i -> {})))"
+KEY = "xxhash64(x.l, concat(left(x.m, i - 1), substr(x.m, i + 1)), x.a, x.j{})"
+#: By the line's length against the key's: equal ones replace a character or are the shorter of two, longer ones drop one.
+OWN = f"concat({CUT.format(KEY.format(', i'))}, transform(b, x -> xxhash64(x.l, x.whole, x.rest, x.j)))"
+OWN_KIND = f"concat({CUT.format('0')}, transform(b, x -> 1))"
+LONGER = CUT.format(KEY.format(""))
+
+
+def variants(texts: DataFrame) -> DataFrame:
+    """h, g, place, key, kind: 0 for a replaced character, 1 for the shorter line, 2 for the longer one."""
+    rests = [F.struct(F.lit(less).alias("less"), F.col("keys")[n].alias("k"), half(less, side)[1].alias("r")) for n, (less, side) in enumerate(KEYS)]
+    shared = F.filter(F.array(*rests), lambda x: F.array_contains("shared", x["k"]))
+    rows = texts.select("h", "g", "place", F.explode(shared).alias("x")).select("h", "g", "place", "x.*").withColumn("b", F.expr(BLOCKS))
+    own = F.arrays_zip(F.expr(OWN).alias("key"), F.expr(OWN_KIND).alias("kind"))
+    longer = F.expr(f"transform({LONGER}, v -> named_struct('key', v, 'kind', 2))")
+    return rows.select("h", "g", "place", F.explode(F.when(F.col("less") == 0, own).otherwise(longer)).alias("v")).select("h", "g", "place", "v.*")
 
 
 def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     """(h, g) of the distinct lines that have an earlier line within one edit."""
-    keys = first.select("h", "g", F.explode("halves").alias("half"))
-    shared = small(keys.groupBy("half").count().filter("count > 1").select("half"))
-    found = small(keys.join(shared, "half").select("h", "g").distinct())
-    texts = lines(docs).join(found, ["h", "g"]).groupBy("h", "g").agg(F.min("place").alias("place"), F.first("line").alias("line"))
-    texts = stored(texts, "line-candidates")
-    variants = texts.withColumn("blocks", F.expr(BLOCKS)).select("h", "g", "place", F.explode(F.expr(VARIANTS)).alias("v")).select("h", "g", "place", "v.*")
-    at_place = variants.groupBy("key", "i").agg(F.min("place").alias("same"), F.count("*").alias("n"))
-    by_key = at_place.groupBy("key").agg(
-        F.sum("n").alias("n"), F.min(F.when(F.col("i") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("same"))).alias("cut")
-    )
-    by_key = small(by_key.filter("n > 1").drop("n"))
-    at_place = small(at_place.join(by_key, "key").drop("n"))
-    partner = F.when(F.col("i") == 0, F.col("cut")).otherwise(F.least("whole", "same"))
-    pairs = variants.join(at_place, ["key", "i"]).groupBy("h", "g", "place").agg(F.min(partner).alias("partner")).filter("partner < place")
+    keys = first.select("h", "g", F.explode("keys").alias("half"))
+    common = keys.groupBy("half").count().filter("count > 1").select("half")
+    found = stored(keys.join(common, "half").groupBy("h", "g").agg(F.collect_set("half").alias("shared")), "lines-that-share")
+    texts = lines(docs).join(found, ["h", "g"]).groupBy("h", "g")
+    texts = texts.agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("shared").alias("shared"))
+    texts = stored(texts.withColumn("keys", half_keys()), "line-candidates")
+    made = stored(variants(texts), "line-variants")
+    earliest = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place")))
+    by_key = made.groupBy("key").agg(F.count("*").alias("n"), *[earliest(k).alias(f"p{k}") for k in range(3)]).filter("n > 1").drop("n")
+    partner = F.when(F.col("kind") == 0, F.col("p0")).when(F.col("kind") == 1, F.col("p2")).otherwise(F.col("p1"))
+    pairs = made.join(by_key, "key").groupBy("h", "g", "place").agg(F.min(partner).alias("partner")).filter("partner < place")
     mine, theirs = texts.select("h", "g", "line"), texts.select(F.col("place").alias("partner"), F.col("line").alias("earlier"))
-    both = small(pairs.drop("place")).join(mine, ["h", "g"]).join(theirs, "partner")
+    both = pairs.drop("place").join(mine, ["h", "g"]).join(theirs, "partner")
     return both.filter(F.levenshtein("line", "earlier", 1) >= 0).select("h", "g").distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def gone_places(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """_a, _b (a row's name) and _gone, the numbers of the lines that go from it."""
+    near = near_lines(docs, first).withColumn("near", F.lit(True))
+    lost = first.select("h", "g", "n", F.col("place").alias("first")).join(near, ["h", "g"], "left").filter("near OR n > 1")
+    a, b = hashes("doc_id", "text")
+    rows = lines(docs, a.alias("_a"), b.alias("_b")).drop("line")
+    goes = rows.join(lost, ["h", "g"]).filter("near OR place <> first")
+    return goes.groupBy("_a", "_b").agg(F.collect_set("place.at").alias("_gone"))
+
+
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     """The input with its text (and n_chars, if there) after removal, and n_lines, n_kept: lines with a word before and after."""
-    first = lines(docs).groupBy("h", "g").agg(F.min("place").alias("place"), F.first(halves()).alias("halves"))
-    first = stored(first, "lines")
-    kept = first.join(small(near_lines(docs, first)), ["h", "g"], "left_anti").select("h", "g", "place.doc_id", "place.at")
-    kept = kept_places(docs, stored(kept, "kept-lines"))
-    out = docs.drop("n_lines", "n_kept").withColumns(dict(zip(("_th", "_tg"), text_hash())))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")) & (F.col("_tg") == F.col("_g"))
-    out = out.join(kept, same, "left").drop("_id", "_h", "_g", "_th", "_tg")
-    out = out.withColumns({"_lines": F.split("text", "\n"), "_kept": F.coalesce("_kept", F.array().cast("array<int>"))})
-    blank = F.expr(f"filter(sequence(0, size(_lines) - 1), i -> NOT get(_lines, i) RLIKE r'{WORD}')")
-    out = out.withColumn("_blank", F.coalesce(blank, F.array().cast("array<int>")))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines") - F.size("_blank")).cast("bigint")
-    out = out.withColumns({"n_lines": n_lines, "n_kept": F.size("_kept").cast("bigint")})
-    whole = F.array_join(F.transform(F.array_sort(F.concat("_kept", "_blank")), lambda i: F.get("_lines", i)), "\n")
-    text = F.when(F.col("n_kept") == F.col("n_lines"), F.col("text")).when(F.col("n_kept") == 0, F.lit("")).otherwise(whole)
-    out = out.withColumn("text", text).drop("_lines", "_kept", "_blank")
+    first = lines(docs).groupBy("h", "g").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first(half_keys()).alias("keys"))
+    gone = gone_places(docs, stored(first, "lines"))
+    a, b = hashes("doc_id", "text")
+    rows = (docs.drop("n_lines", "n_kept") if counts else docs).withColumns({"_a": a, "_b": b})
+    out = rows.join(gone, ["_a", "_b"], "left").drop("_a", "_b")
+    out = out.withColumns({"_lines": F.split("text", "\n"), "_gone": F.coalesce("_gone", F.array().cast("array<int>"))})
+    held = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(WORD))), F.lit(0))
+    out = out.withColumn("_held", F.when(F.col("text").isNull(), 0).otherwise(held))
+    rest = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    text = F.when(F.size("_gone") == 0, F.col("text")).when(F.size("_gone") == F.col("_held"), F.lit("")).otherwise(rest)
+    if counts:
+        out = out.withColumns({"n_lines": F.col("_held").cast("bigint"), "n_kept": (F.col("_held") - F.size("_gone")).cast("bigint")})
+    out = out.withColumn("text", text).drop("_lines", "_gone", "_held")
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
