@@ -20,7 +20,7 @@ def toxic(spark, docs, sf_dir):
 
 def repeated_lines(spark, docs, sf_dir):
     """Lines that an earlier line equals, or nearly equals, go; every document stays, perhaps without text."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, counts=False).select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
