@@ -112,13 +112,13 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def gone_places(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """_a, _b (a row's name) and _gone, the numbers of the lines that go from it."""
+    """_line_a, _line_b (a row's name) and _line_gone, the numbers of the lines that go from it."""
     near = near_lines(docs, first).withColumn("near", F.lit(True))
     lost = first.select("h", "g", "n", F.col("place").alias("first")).join(near, ["h", "g"], "left").filter("near OR n > 1")
     a, b = hashes("doc_id", "text")
-    rows = lines(docs, a.alias("_a"), b.alias("_b")).drop("line")
+    rows = lines(docs, a.alias("_line_a"), b.alias("_line_b")).drop("line")
     goes = rows.join(lost, ["h", "g"]).filter("near OR place <> first")
-    return goes.groupBy("_a", "_b").agg(F.collect_set("place.at").alias("_gone"))
+    return goes.groupBy("_line_a", "_line_b").agg(F.collect_set("place.at").alias("_line_gone"))
 
 
 def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
@@ -126,14 +126,15 @@ def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     first = lines(docs).groupBy("h", "g").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first(half_keys()).alias("keys"))
     gone = gone_places(docs, stored(first, "lines"))
     a, b = hashes("doc_id", "text")
-    rows = (docs.drop("n_lines", "n_kept") if counts else docs).withColumns({"_a": a, "_b": b})
-    out = rows.join(gone, ["_a", "_b"], "left").drop("_a", "_b")
-    out = out.withColumns({"_lines": F.split("text", "\n"), "_gone": F.coalesce("_gone", F.array().cast("array<int>"))})
-    held = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(WORD))), F.lit(0))
-    out = out.withColumn("_held", F.when(F.col("text").isNull(), 0).otherwise(held))
-    rest = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.size("_gone") == 0, F.col("text")).when(F.size("_gone") == F.col("_held"), F.lit("")).otherwise(rest)
+    rows = (docs.drop("n_lines", "n_kept") if counts else docs).withColumns({"_line_a": a, "_line_b": b})
+    out = rows.join(gone, ["_line_a", "_line_b"], "left").drop("_line_a", "_line_b")
+    out = out.withColumns({"_line_lines": F.split("text", "\n"), "_line_gone": F.coalesce("_line_gone", F.array().cast("array<int>"))})
+    held = F.coalesce(F.size(F.filter("_line_lines", lambda x: x.rlike(WORD))), F.lit(0))
+    out = out.withColumn("_line_held", F.when(F.col("text").isNull(), 0).otherwise(held))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_line_lines") - 1), "_line_gone")
+    rest = F.array_join(F.transform(stay, lambda i: F.get("_line_lines", i)), "\n")
+    text = F.when(F.size("_line_gone") == 0, F.col("text")).when(F.size("_line_gone") == F.col("_line_held"), F.lit("")).otherwise(rest)
     if counts:
-        out = out.withColumns({"n_lines": F.col("_held").cast("bigint"), "n_kept": (F.col("_held") - F.size("_gone")).cast("bigint")})
-    out = out.withColumn("text", text).drop("_lines", "_gone", "_held")
+        out = out.withColumns({"n_lines": F.col("_line_held").cast("bigint"), "n_kept": (F.col("_line_held") - F.size("_line_gone")).cast("bigint")})
+    out = out.withColumn("text", text).drop("_line_lines", "_line_gone", "_line_held")
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

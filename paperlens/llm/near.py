@@ -227,10 +227,11 @@ def one_of_each(docs: DataFrame, slack: int = 2) -> DataFrame:
     A group's row is named by doc_id and a 128-bit hash of the text, so rows that share a doc_id, or have none, are told
     apart.  The names come from the distinct fingerprints alone; the texts move once, by their name.
     """
-    names = {"_last": F.col("doc_id").isNull(), "_id": F.col("doc_id"), "_h": F.xxhash64("text"), "_g": F.xxhash64(F.lit("second"), "text")}
-    keyed = docs.select("doc_id", "text", F.struct(*[c.alias(n) for n, c in names.items()]).alias("_row"))
-    kept = classes(keyed, slack, keep="_row")[1].select("component_id.*").distinct()
-    rows = docs.withColumns({n: names[n] for n in ("_h", "_g")})
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(kept["_id"]) & (rows["_h"] == kept["_h"]) & (rows["_g"] == kept["_g"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_h", "_g").orderBy(F.xxhash64(*docs.columns)))
-    return rows.withColumn("_row", first).filter("_row = 1").select(*docs.columns)
+    h, g = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), h.alias("h"), g.alias("g"))
+    keyed = docs.select("doc_id", "text", row.alias("_row"))
+    kept = classes(keyed, slack, keep="_row")[1].select("component_id.*").distinct().toDF(*(f"_near_{n}" for n in ("last", "id", "h", "g")))
+    rows = docs.withColumns({"_near_a": h, "_near_b": g})
+    same = F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_a") == F.col("_near_h")) & (F.col("_near_b") == F.col("_near_g"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_near_a", "_near_b").orderBy(F.xxhash64(*docs.columns)))
+    return rows.join(kept, same, "left_semi").withColumn("_near_n", first).filter("_near_n = 1").select(*docs.columns)

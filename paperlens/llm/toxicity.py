@@ -192,18 +192,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn, most: int = SAMPLE) -> Model:
     return Model(names, sorted(((r["own"], r["twin"], r["label"]) for r in rows), key=lambda r: (r[2], r[0], r[1] or [])))
 
 
-def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The input columns and `toxic_score` (which replaces a column of that name)."""
-    docs = docs.drop("toxic_score")
+def scores(docs: DataFrame, model: Model, text: str = "text", name: str = "toxic_score") -> DataFrame:
+    """The input columns and the score, as `name` (which replaces a column of that name)."""
+    docs = docs.drop(name)
     names = docs.columns
     width = len(names)
 
     def run(batches):
         for batch in batches:
             found = pa.array([model.score_text(t) for t in batch.column(width).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], found], names=[*names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], found], names=[*names, name])
 
-    schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.select("*", F.col(text).cast("string").alias("_scored")).mapInArrow(run, schema)
 
 

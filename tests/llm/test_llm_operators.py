@@ -231,6 +231,8 @@ def test_lines(corpus, nothing, spark):
     frame = spark.createDataFrame(rows, docs.schema)
     got = line_dedup.dedup_lines(frame)
     assert set(docs.columns) < set(got.columns)
+    named = line_dedup.dedup_lines(docs.withColumns({"n_lines": F.lit("mine"), "n_kept": F.lit(None)}), counts=False)
+    assert named.columns == [*docs.columns, "n_lines", "n_kept"] and named.select("n_lines", "n_kept").distinct().collect() == [("mine", None)]
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_kept) for r in got.collect()) == want and near_ones
     assert line_dedup.dedup_lines(nothing).count() == 0
 
@@ -291,7 +293,9 @@ def test_near(corpus, nothing):
     assert Counter((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got) == Counter((r[0], f, least.get(root[f])) for f, r in zip(fp, rows))
     assert near.near_duplicates(nothing).count() == 0
     stay = near.one_of_each(docs).collect()
-    assert sorted(r.doc_id for r in stay) == sorted(set(least.values()))
+    # one row of every group, of its smallest doc_id
+    groups = [root[simhash(r.text)] for r in stay]
+    assert sorted(groups) == sorted({root[f] for f in fp}) and all(r.doc_id == least.get(g) for r, g in zip(stay, groups))
 
 
 def test_one_of_each_keeps_a_row_of_every_group(spark):
