@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next.
 All but the last return the columns of the documents.  A stage works on all rows that its predecessor kept.
+
+Defined cases, of all stages: a null text is an empty one (the line stage leaves it null) and stays unless a like one is
+kept; a null doc_id is an id of its own, last in order; ties go by doc_id, then by a hash of the text; rows that repeat a
+doc_id, or a doc_id and its text, are told apart by their texts, and near-duplicates keep one of exact repeats; empty
+tables give empty results, and without labels of both classes, or without items, nothing is rejected; columns pass
+through untouched, whatever their names, but text and n_chars, which line dedup changes.
 """
 
 from __future__ import annotations
@@ -15,7 +21,8 @@ from paperlens.llm.common import stored, table
 def toxic(spark, docs, sf_dir):
     """Documents that the classifier rejects go; it is fitted on the labelled documents among `docs`."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.teaches())
-    return toxicity.scores(docs, model).filter(F.col("toxic_score") < 0.5).select(*docs.columns)
+    name = f"_score_beside_{len(docs.columns)}_columns"
+    return toxicity.scores(docs, model, name=name).filter(F.col(name) < 0.5).select(*docs.columns)
 
 
 def repeated_lines(spark, docs, sf_dir):
