@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -237,6 +238,30 @@ def test_lines(corpus, nothing, spark):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_every_single_edit_is_found(spark):
+    """One line of each length comes first; behind it stand all its replacements, insertions and deletions, and lines two edits away."""
+    rng, rows, near_ids = random.Random(8), [], set()
+    for n in (20, 21, 27, 64, 65, 129, 300):
+        base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 1)) + "."
+        rows.append((len(rows), base))
+        for i in range(n + 1):
+            edits = [base[:i] + "#" + base[i:]] + ([base[:i] + "#" + base[i + 1 :]] if i < n else []) + ([base[:i] + base[i + 1 :]] if i < n and n > 20 else [])
+            far = base[:i] + "#" + base[i:] + "##"
+            for e in edits:
+                near_ids.add(len(rows))
+                rows.append((len(rows), e))
+            rows.append((len(rows), far))
+    lines = sorted({t for _, t in rows})
+    first = {t: min(i for i, x in rows if x == t) for t in lines}
+    got = {r.doc_id: r.n_kept for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i] == 0 for i in near_ids)
+    # what is left of the others: no earlier line is equal or within one edit
+    for i, t in rows:
+        if i not in near_ids:
+            gone = first[t] < i or any(abs(len(t) - len(x)) < 2 and first[x] < i and distance(x, t) == 1 for x in lines if x[:9] == t[:9] or x[-9:] == t[-9:])
+            assert got[i] == (0 if gone else 1), t
+
+
 def test_lines_of_rows_that_share_a_key_or_have_none(spark):
     """Against the rule of the SQL: a row keeps a line whose first place is its doc_id and this line number."""
     X, Y, Z, W = (f"line {c} of a text that is long enough" * 2 for c in ("XXXXX", "YYYYY", "ZZZZZ", "WWWWW"))
