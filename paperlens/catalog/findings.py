@@ -101,29 +101,32 @@ def mod_dual_review(spark, d):
 SQUEEZE = f"lower(regexp_replace({{}}, {q(P.QUOTE_NOISE)}, '', 'g'))"
 _KW = [(i, w.lower()) for i, ws in P.ITEM_KEYWORDS.items() for w in ws]
 PEND = "SELECT doc_id, seq, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rn FROM fm0 WHERE engine = 'llm' AND verdict = 'problem'"
-QUOTES = f"SELECT p.doc_id, p.seq, p.item_id, p.rn, b.sentence AS quote FROM ({PEND}) p JOIN bank b ON b.k = (p.doc_id*5 + p.rn*3) % {len(P.BANK)} WHERE p.rn <= {P.VERIFY_MAX_ITEMS}"
+QUOTES = f"SELECT p.doc_id, p.seq, p.item_id, p.rn, b.k AS position, b.sentence AS quote FROM ({PEND}) p JOIN bank b ON (b.k + p.doc_id + p.rn) % 2 = 0 WHERE p.rn <= {P.VERIFY_MAX_ITEMS}"
 KEYED = "EXISTS (SELECT 1 FROM (VALUES " + ", ".join(f"({q(i)}, {q(w)})" for i, w in _KW) + ") kw(item_id, w) WHERE kw.item_id = x.item_id AND contains(lower(x.quote), kw.w))"
-VERIFIED = f"SELECT x.doc_id, x.seq, x.item_id, arg_min(u.para_idx, u.pos) AS para_idx, left(x.quote, 120) AS quote FROM ({QUOTES}) x JOIN units u ON u.doc_id = x.doc_id AND contains({SQUEEZE.format('u.text')}, {SQUEEZE.format('x.quote')}) WHERE length({SQUEEZE.format('x.quote')}) >= {P.QUOTE_MIN} AND {KEYED} GROUP BY ALL"
+FOUND = f"SELECT x.doc_id, x.seq, x.item_id, x.position, x.quote, arg_min(u.para_idx, u.pos) AS para_idx FROM ({QUOTES}) x JOIN units u ON u.doc_id = x.doc_id AND contains({SQUEEZE.format('u.text')}, {SQUEEZE.format('x.quote')}) WHERE length({SQUEEZE.format('x.quote')}) >= {P.QUOTE_MIN} AND {KEYED} GROUP BY ALL"
+VERIFIED = f"SELECT doc_id, seq, item_id, arg_max(para_idx, position) AS para_idx, left(arg_max(quote, position), {P.QUOTE_SHOWN}) AS quote FROM ({FOUND}) GROUP BY ALL"
 
 
-def quotes(spark, d, pending=None):
-    """Quotes by formula: a bank sentence that may or may not stand in the document."""
-    bank = F.array(*[F.lit(b) for b in P.BANK])
-    rn = F.explode(F.sequence(F.lit(1), F.lit(P.VERIFY_MAX_ITEMS)))
-    base = docs(spark, d).select("doc_id", rn.alias("rn"))
-    return base.withColumn("quote", F.get(bank, F.pmod(F.col("doc_id") * 5 + F.col("rn") * 3, F.lit(len(P.BANK))).cast("int")))
+def quotes(spark, d):
+    """Quotes by formula: half of the bank's sentences for every pending finding, in the order of the bank."""
+    rn = F.explode(F.sequence(F.lit(1), F.lit(P.VERIFY_MAX_ITEMS))).alias("rn")
+    bank = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(b).alias("quote")) for k, b in enumerate(P.BANK)])
+    base = docs(spark, d).select("doc_id", rn)
+    return unnest(base, F.filter(bank, lambda b: F.pmod(b["position"] + F.col("doc_id") + F.col("rn"), F.lit(2)) == 0), "doc_id", "rn")
 
 
 @query("mod_quote_verification", sql(VERIFIED))
 def mod_quote_verification(spark, d):
     f = draft(facts(spark, d), verdicts(spark, d))
-    return reconcile.verify_quotes(reconcile.pending_quotes(f), quotes(spark, d), structure.units(overlay_frame(spark, d)))
+    return reconcile.verify_quotes_in_rows(reconcile.pending_quotes(f), quotes(spark, d), overlay_frame(spark, d))
 
 
-@query("mod_quoted_review", sql(f"SELECT count(*) AS n, count(*) FILTER (WHERE v.seq IS NOT NULL) AS n_verified FROM fm0 f LEFT JOIN ({VERIFIED}) v ON v.doc_id = f.doc_id AND v.seq = f.seq"))
+@query("mod_quoted_review", sql(f"SELECT f.doc_id, f.seq, f.item_id, v.para_idx AS quote_at, v.quote AS verified_quote FROM fm0 f LEFT JOIN ({VERIFIED}) v ON v.doc_id = f.doc_id AND v.seq = f.seq"))
 def mod_quoted_review(spark, d):
+    """Every finding of the review with model verdicts, with the quote that was verified for it and where it stands."""
     r = review(overlay_frame(spark, d), verdicts(spark, d), quotes=quotes(spark, d), facts=facts(spark, d))
-    return r.agg(F.count("*").alias("n"), F.count_if(F.col("evidence_gate") == "quote_verified").alias("n_verified"))
+    at = F.when(F.col("evidence_gate") == "quote_verified", F.get("anchors", F.lit(0)))
+    return r.select("doc_id", "seq", "item_id", at.alias("quote_at"), "verified_quote")
 
 
 @query("mod_rule_anchors", sql("SELECT doc_id, item_id, string_agg(CAST(para_idx AS VARCHAR), ',' ORDER BY seq) AS anchors FROM rulef GROUP BY doc_id, item_id"))
@@ -350,7 +353,7 @@ def offers(spark, d):
 
 @query("rev_accepted_offers", sql(f"SELECT o.doc_id, o.item_id, o.text FROM ({OFFER}) o WHERE length(o.quote) >= {P.REVISION_QUOTE_MIN} AND EXISTS (SELECT 1 FROM units u WHERE u.doc_id = o.doc_id AND contains({SQUEEZE.format('u.text')}, {SQUEEZE.format('o.quote')}))"))
 def rev_accepted_offers(spark, d):
-    return reports.accepted_offers(offers(spark, d), structure.units(overlay_frame(spark, d))).select("doc_id", "item_id", "text")
+    return reports.accepted_offers(offers(spark, d), overlay_frame(spark, d)).select("doc_id", "item_id", "text")
 
 
 @query("rev_apply", sql(f"SELECT p.doc_id, p.para_idx, p.text || x.added AS text FROM paras p JOIN (SELECT doc_id, target, string_agg(text, '' ORDER BY seq) AS added FROM ({TRIAGE}) WHERE status = 'rewritten' GROUP BY 1, 2) x ON x.doc_id = p.doc_id AND x.target = p.para_idx"))

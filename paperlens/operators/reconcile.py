@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from paperlens import packs
 from paperlens.functions.text import squeeze
 from paperlens.operators.elements import applicable
+from paperlens.operators.structure import unit_array
+from paperlens.sources.intake import unnest
 
 
 def normalize_ids(verdicts: DataFrame, items=packs.CHECKLIST) -> DataFrame:
@@ -82,27 +84,58 @@ def quote_supports(quote, item_id):
     return F.coalesce(F.exists(F.try_element_at(words, item_id), lambda w: F.lower(quote).contains(w)), F.lit(False))
 
 
-def verify_quotes(pending: DataFrame, quotes: DataFrame, units: DataFrame) -> DataFrame:
-    """(doc_id, seq, para_idx, quote) of quotes that name the item's topic and stand in the document.
+def asked_quotes(pending: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Quotes that name the topic of their finding, with the form that is looked for (`needle`).
 
-    pending(doc_id, seq, rn, item_id) joins quotes(doc_id, rn, quote), then units(doc_id, pos, text)
-    on doc_id with a substring residual; the first unit in order wins (paragraphs, then table rows).  Of several
-    quotes for one finding the one with the largest `position` counts (a column of quotes; without it the largest text).
+    pending(doc_id, seq, rn, item_id) meets quotes(doc_id, rn, quote); `position` orders several quotes of a finding.
     """
     if "position" not in quotes.columns:
         quotes = quotes.withColumn("position", F.lit(0))
-    asked = (
-        pending.select("doc_id", "seq", "rn", "item_id")
-        .join(quotes.select("doc_id", "rn", "position", "quote"), ["doc_id", "rn"])
-        .filter(quote_supports(F.col("quote"), F.col("item_id")))
-        .withColumn("needle", squeeze(F.col("quote")))
-        .filter(F.length("needle") >= packs.QUOTE_MIN)
-    )
-    hay = units.select("doc_id", "pos", "para_idx", squeeze(F.col("text")).alias("hay"))
-    found = asked.join(hay, "doc_id").filter(F.col("hay").contains(F.col("needle")))
-    found = found.groupBy("doc_id", "seq", "item_id", "position", "quote").agg(F.min_by("para_idx", "pos").alias("para_idx"))
+    asked = pending.select("doc_id", "seq", "rn", "item_id").join(quotes.select("doc_id", "rn", "position", "quote"), ["doc_id", "rn"])
+    asked = asked.filter(quote_supports(F.col("quote"), F.col("item_id"))).withColumn("needle", squeeze(F.col("quote")))
+    return asked.filter(F.length("needle") >= packs.QUOTE_MIN)
+
+
+def last_quote(found: DataFrame) -> DataFrame:
+    """(doc_id, seq, item_id, para_idx, quote): of the quotes found for one finding the one with the largest `position`
+    counts (without positions the largest text)."""
     last = F.max_by(F.struct("para_idx", "quote"), F.struct("position", "quote")).alias("w")
-    return found.groupBy("doc_id", "seq", "item_id").agg(last).select("doc_id", "seq", "item_id", "w.para_idx", F.left("w.quote", F.lit(120)).alias("quote"))
+    shown = F.left("w.quote", F.lit(packs.QUOTE_SHOWN)).alias("quote")
+    return found.groupBy("doc_id", "seq", "item_id").agg(last).select("doc_id", "seq", "item_id", "w.para_idx", shown)
+
+
+def verify_quotes(pending: DataFrame, quotes: DataFrame, units: DataFrame) -> DataFrame:
+    """Quotes that stand in a unit (doc_id, pos, para_idx, text); the first unit in order wins (paragraphs, then table rows).
+
+    For units that are a table of their own; `verify_quotes_in_rows` leaves the texts in their documents' rows.
+    """
+    hay = units.select("doc_id", "pos", "para_idx", squeeze(F.col("text")).alias("hay"))
+    found = asked_quotes(pending, quotes).join(hay, "doc_id").filter(F.col("hay").contains(F.col("needle")))
+    return last_quote(found.groupBy("doc_id", "seq", "item_id", "position", "quote").agg(F.min_by("para_idx", "pos").alias("para_idx")))
+
+
+def beside_texts(fr: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and, of every document with rows in `asked`, these rows with `para_idx`: of the first unit with the needle.
+
+    The rows of a document, few and short, go to its texts as one array; the texts stay in their row, and every unit is
+    squeezed once.  They are not shuffled if Spark broadcasts the arrays, or if the frame comes from a table bucketed by
+    doc_id (`sinks.save_bucketed`).
+    """
+    arrays = asked.groupBy("doc_id").agg(F.collect_set(F.struct(*columns, "needle")).alias("asked"))
+    hays = F.transform(unit_array(), lambda u: F.struct(u["para_idx"].alias("para_idx"), squeeze(u["text"]).alias("hay")))
+    j = fr.select("doc_id", hays.alias("hays")).join(arrays, "doc_id")
+
+    def look(x):
+        place = lambda q: F.try_element_at(F.filter(x["hays"], lambda h: h["hay"].contains(q["needle"])), F.lit(1))["para_idx"]
+        return F.transform(x["asked"], lambda q: F.struct(*[q[c].alias(c) for c in columns], place(q).alias("para_idx")))
+
+    once = F.array(F.struct(F.col("asked"), F.col("hays")))
+    return unnest(j, F.flatten(F.transform(once, look)), "doc_id").filter(F.col("para_idx").isNotNull())
+
+
+def verify_quotes_in_rows(pending: DataFrame, quotes: DataFrame, fr: DataFrame) -> DataFrame:
+    """As `verify_quotes`, against the units in the rows of a frame."""
+    return last_quote(beside_texts(fr, asked_quotes(pending, quotes), "seq", "item_id", "position", "quote"))
 
 
 def apply_quotes(findings: DataFrame, verified: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from paperlens import packs
 from paperlens.functions.text import cs, literal_map, squeeze, strip
+from paperlens.operators.reconcile import beside_texts
 
 
 def facets(findings: DataFrame) -> DataFrame:
@@ -84,11 +85,11 @@ def section_targets(fr: DataFrame) -> DataFrame:
     return fr.withColumn("section_target", F.struct(*[pick(p).alias(i) for i, p in packs.SECTION_PREFERENCE.items()]))
 
 
-def revision_plan(findings: DataFrame, fr: DataFrame, offered: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+def revision_plan(findings: DataFrame, fr: DataFrame, offered: DataFrame | None = None) -> DataFrame:
     """One row per problem finding: status, target paragraph, supplement text.
 
     ``offered`` (doc_id, item_id, text, quote) are externally written supplements; they are accepted
-    only when the quote stands in the document (``units``), otherwise the item stays pending.
+    only when the quote stands in the document, otherwise the item stays pending.
     """
     p = findings.filter(F.col("verdict") == "problem").select("doc_id", "seq", "item_id", "suggestion", F.get("anchors", F.lit(0)).alias("anchor"))
     external = reduce(lambda a, b: a | b, [F.col("item_id").startswith(x) for x in packs.EXTERNAL_PREFIXES])
@@ -106,7 +107,7 @@ def revision_plan(findings: DataFrame, fr: DataFrame, offered: DataFrame | None
     if offered is None:
         out = out.withColumn("refused", F.lit(False))
     else:
-        ok = accepted_offers(offered, units)
+        ok = accepted_offers(offered, fr)
         out = (
             out.join(offered.select("doc_id", "item_id", F.lit(True).alias("_offered")), ["doc_id", "item_id"], "left")
             .join(ok.select("doc_id", "item_id", F.col("text").alias("_text")), ["doc_id", "item_id"], "left")
@@ -117,11 +118,11 @@ def revision_plan(findings: DataFrame, fr: DataFrame, offered: DataFrame | None
     return out.withColumn("status", status).drop("manual", "refused")
 
 
-def accepted_offers(offered: DataFrame, units: DataFrame) -> DataFrame:
-    """Offers whose quote (6+ characters) is found in some unit of its own document, ignoring spaces and punctuation."""
+def accepted_offers(offered: DataFrame, fr: DataFrame) -> DataFrame:
+    """Offers (doc_id, item_id, text, quote) whose quote (6+ characters) stands in some unit of its own document, ignoring
+    spaces and punctuation.  They go to the document's row as one array; no text moves for them."""
     o = offered.filter((F.length(strip(F.col("quote"))) >= packs.REVISION_QUOTE_MIN) & (strip(F.col("text")) != "")).withColumn("needle", squeeze(F.col("quote")))
-    hay = units.select("doc_id", squeeze(F.col("text")).alias("hay"))
-    return o.join(hay, (o["doc_id"] == hay["doc_id"]) & hay["hay"].contains(o["needle"]), "left_semi").drop("needle")
+    return beside_texts(fr, o, "item_id", "text", "quote").select("doc_id", "item_id", "text", "quote")
 
 
 def item_status(plan: DataFrame) -> DataFrame:

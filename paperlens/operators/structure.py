@@ -322,13 +322,17 @@ def references(fr: DataFrame) -> DataFrame:
     return entries.groupBy("doc_id", "number").agg(F.max_by(F.struct("text", "para_idx"), "para_idx").alias("e")).select("doc_id", "number", "e.*")
 
 
-def units(fr: DataFrame) -> DataFrame:
-    """Review units: paragraphs, then table rows, each with a paragraph anchor and its position."""
-    both = F.concat(
+def unit_array() -> Column:
+    """The review units of a frame's row: paragraphs, then table rows."""
+    return F.concat(
         F.transform("paras", lambda p: F.struct(p["para_idx"].alias("para_idx"), p["text"].alias("text"), p["is_heading"].alias("is_heading"), F.lit("paragraph").alias("kind"))),
         F.transform("table_rows", lambda r: F.struct(r["para_idx"].alias("para_idx"), r["text"].alias("text"), F.lit(False).alias("is_heading"), F.lit("table").alias("kind"))),
     )
-    return unnest(fr, both, "doc_id", pos="pos")
+
+
+def units(fr: DataFrame) -> DataFrame:
+    """Review units as rows, each with a paragraph anchor and its position."""
+    return unnest(fr, unit_array(), "doc_id", pos="pos")
 
 
 def counters(fr: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from paperlens import packs
 from paperlens.functions.text import literal_map
-from paperlens.operators import checks, elements, gates, reconcile, rules, structure
+from paperlens.operators import checks, elements, gates, reconcile, rules
 from paperlens.sources.intake import unnest
 from paperlens.sources.verdicts import image_texts
 
@@ -187,8 +187,7 @@ def review(
         verdicts = reconcile.dual_check(reconcile.restrict(verdicts, fc), reconcile.restrict(second, fc))
     f = draft(fc, verdicts, items, mark_unassessed=use_gates, readings=readings)
     if quotes is not None:
-        pending = reconcile.pending_quotes(f)
-        f = reconcile.apply_quotes(f, reconcile.verify_quotes(pending, quotes, structure.units(fr)))
+        f = reconcile.apply_quotes(f, reconcile.verify_quotes_in_rows(reconcile.pending_quotes(f), quotes, fr))
     if use_gates:
         f = gates.judge_tiers(gates.attach_evidence(f, items), items, force_advisory)
     else:

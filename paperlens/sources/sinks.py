@@ -10,6 +10,12 @@ def save(df: DataFrame, path: str, by: str = "paper_type", mode="append"):
     df.write.mode(mode).partitionBy(by).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, key: str = "doc_id", buckets: int = 64) -> DataFrame:
+    """The rows as a table bucketed by `key`: joins on it leave them where they are.  Returns the table's rows."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def save_markdown(reports: DataFrame, path: str, buckets=64):
     """Markdown reports as text files, spread over a fixed number of folders by document."""
     out = reports.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), F.col("markdown").alias("value"))
