@@ -7,6 +7,7 @@ from paperlens.catalog import query
 from paperlens.catalog.common import docs, facts, once, overlay_frame, rule_rows, scored, tagged
 from paperlens.catalog.structure import IMAGE_CAPTIONS
 from paperlens.operators import elements, evaluate, gates, reconcile, reports, structure
+from paperlens.operators.quota import micros
 from paperlens.oracle.sql import inlist, q, sql
 from paperlens.plans.compare import review_and_compare
 from paperlens.plans.review import document_facts, draft, review
@@ -467,17 +468,22 @@ def eva_thresholds(spark, d):
 
 
 RUNS = "SELECT doc_id, 0 AS run, item_id, arg_max(verdict, seq) AS verdict FROM fr GROUP BY doc_id, item_id UNION ALL SELECT doc_id, 1, item_id, arg_max(verdict, seq) FROM fm GROUP BY doc_id, item_id"
+HISTOGRAM = "SELECT doc_id, string_agg(k || '=' || n, ' ' ORDER BY k) AS severities FROM (SELECT doc_id, run || ':' || severity AS k, count(*) AS n FROM (SELECT doc_id, 0 AS run, verdict, severity FROM fr UNION ALL SELECT doc_id, 1, verdict, severity FROM fm) WHERE verdict = 'problem' GROUP BY 1, 2) GROUP BY doc_id"
 
 
 @query(
     "eva_run_consistency",
-    sql(f"""SELECT doc_id, common_items, stable_items, problem_inter, problem_union, {RATIO.format(a='stable_items', b='common_items')} AS stable_rate, {RATIO.format(a='problem_inter', b='problem_union')} AS jaccard FROM (
+    sql(f"""SELECT x.doc_id, common_items, stable_items, problem_inter, problem_union, {RATIO.format(a='stable_items', b='common_items')} AS stable_rate, {RATIO.format(a='problem_inter', b='problem_union')} AS jaccard, coalesce(severities, '') AS severities FROM (
       SELECT doc_id, count(*) FILTER (WHERE n = 2) AS common_items, count(*) FILTER (WHERE n = 2 AND v = 1) AS stable_items, count(*) FILTER (WHERE np = 2) AS problem_inter, count(*) FILTER (WHERE np > 0) AS problem_union FROM (
-       SELECT doc_id, item_id, count(DISTINCT run) AS n, count(DISTINCT verdict) AS v, count(*) FILTER (WHERE verdict = 'problem') AS np FROM ({RUNS}) GROUP BY 1, 2) GROUP BY 1)"""),
+       SELECT doc_id, item_id, count(DISTINCT run) AS n, count(DISTINCT verdict) AS v, count(*) FILTER (WHERE verdict = 'problem') AS np FROM ({RUNS}) GROUP BY 1, 2) GROUP BY 1) x LEFT JOIN ({HISTOGRAM}) h ON h.doc_id = x.doc_id"""),
 )
 def eva_run_consistency(spark, d):
-    last = lambda f, n: f.groupBy("doc_id", "item_id").agg(F.max_by("verdict", "seq").alias("verdict")).withColumn("run", F.lit(n))
-    return evaluate.run_consistency(last(scored(spark, d), 0).unionByName(last(with_model(spark, d), 1)), 2)
+    runs = {0: scored(spark, d), 1: with_model(spark, d)}
+    last = [f.groupBy("doc_id", "item_id").agg(F.max_by("verdict", "seq").alias("verdict")).withColumn("run", F.lit(n)) for n, f in runs.items()]
+    every = [f.select("doc_id", F.lit(n).alias("run"), "verdict", "severity") for n, f in runs.items()]
+    h = evaluate.severity_histogram(every[0].unionByName(every[1]))
+    told = F.array_join(F.transform(F.map_entries("severities"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    return evaluate.run_consistency(last[0].unionByName(last[1]), 2).join(h, "doc_id", "left").withColumn("severities", F.coalesce(told, F.lit("")))
 
 
 @query("eva_classification", sql("SELECT paper_type, count(*) AS n, CAST(sum(review_hits) AS BIGINT) AS review_hits, CAST(sum(empirical_hits) AS BIGINT) AS empirical_hits FROM ptype GROUP BY paper_type"))
@@ -486,12 +492,34 @@ def eva_classification(spark, d):
     return t.groupBy("paper_type").agg(F.count("*").alias("n"), F.sum("review_hits").alias("review_hits"), F.sum("empirical_hits").alias("empirical_hits"))
 
 
-@query("eva_latency", "SELECT event_type, quantile_at(50) AS p50, quantile_at(95) AS p95, 0 AS max_value, 0 AS n FROM events".replace("SELECT event_type, quantile_at(50) AS p50, quantile_at(95) AS p95, 0 AS max_value, 0 AS n FROM events", """SELECT event_type, max(value) FILTER (WHERE rn - 1 = CAST(round_even(0.5 * (c - 1), 0) AS BIGINT)) AS p50, max(value) FILTER (WHERE rn - 1 = CAST(round_even(0.95 * (c - 1), 0) AS BIGINT)) AS p95, max(value) AS max_value, max(c) AS n
- FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL) GROUP BY event_type"""))
+def _ranked(source, group, value):
+    at = lambda p: f"max({value}) FILTER (WHERE rn - 1 = CAST(round_even({p} * (c - 1), 0) AS BIGINT))"
+    return f"""SELECT {group}, {at(0.5)} AS p50, {at(0.95)} AS p95, max({value}) AS max_value, max(c) AS n
+ FROM (SELECT {group}, {value}, row_number() OVER (PARTITION BY {group} ORDER BY {value}) AS rn, count(*) OVER (PARTITION BY {group}) AS c FROM {source} WHERE {value} IS NOT NULL) GROUP BY {group}"""
+
+
+@query("eva_latency", _ranked("events", "event_type", "value"))
 def eva_latency(spark, d):
     return evaluate.latency_summary(read(spark, d, "events"))
 
 
+LOAD = f"""WITH r AS (SELECT *, (e - s) / 1000 AS ms FROM (SELECT [1, 2, 4, 8][user_id % 4 + 1] AS level, CAST(ts AS DATE) AS round, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value) AS BIGINT) * 1000000 AS e FROM events)),
+ m AS (SELECT level, round, t, sum(d) AS d FROM (SELECT level, round, s AS t, 1 AS d FROM r WHERE e > s UNION ALL SELECT level, round, e, -1 FROM r WHERE e > s) GROUP BY ALL),
+ w AS (SELECT level, round, t, sum(d) OVER o AS open, lead(t) OVER o AS nxt FROM m WINDOW o AS (PARTITION BY level, round ORDER BY t)),
+ b AS (SELECT level, sum(busy) AS busy, max(peak) AS peak FROM (SELECT level, round, sum(CASE WHEN open > 0 THEN nxt - t ELSE 0 END) AS busy, max(open) AS peak FROM w GROUP BY ALL) GROUP BY level),
+ l AS (SELECT p.*, b.peak, b.busy / c.rounds / 1e6 AS wall FROM ({_ranked("r", "level", "ms")}) p JOIN b USING (level) JOIN (SELECT level, count(DISTINCT round) AS rounds FROM r GROUP BY level) c USING (level))
+ SELECT level, n, p50, p95, max_value, round(wall, 6) AS wall_s, CAST(peak AS BIGINT) AS peak, round(coalesce((SELECT arg_min(wall / greatest(level, 1), level) FROM l) * level / nullif(wall, 0), 0), 6) AS speedup FROM l"""
+
+
+@query("eva_load", LOAD)
+def eva_load(spark, d):
+    """Events as requests of four levels of concurrency, a day as a round; wall time and peak by a sweep over their intervals."""
+    e = read(spark, d, "events")
+    level = F.get(F.array(*map(F.lit, (1, 2, 4, 8))), F.pmod("user_id", F.lit(4)).cast("int")).alias("level")
+    start = micros(e, "ts")
+    return evaluate.load_report(e.select(level, F.to_date("ts").alias("round"), start.alias("start_us"), (start + F.floor("value") * 1_000_000).alias("end_us")))
+
+
 @query("eva_truth_upsert", "SELECT doc_id, quality FROM labels UNION ALL SELECT d.doc_id, 0 FROM (SELECT DISTINCT doc_id FROM documents) d ANTI JOIN labels l ON l.doc_id = d.doc_id")
 def eva_truth_upsert(spark, d):
     """Labels plus a default label for the documents that have none."""

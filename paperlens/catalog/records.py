@@ -7,6 +7,7 @@ from paperlens.catalog import query
 from paperlens.catalog.common import docs
 from paperlens.functions.text import cs
 from paperlens.operators import lifecycle, reports
+from paperlens.operators.quota import micros
 from paperlens.oracle.sql import inlist, q, sql
 from paperlens.catalog.structure import HROWS
 from paperlens.sources import sections
@@ -128,6 +129,36 @@ def lif_job_states(spark, d):
     return lifecycle.latest_job_state(log).select("job_id", "state")
 
 
+def job_log(spark, d):
+    """Events as log entries of jobs (one per user), each with the payload that its state brings."""
+    t, state, name = F.col("event_type"), job_state(), F.col("event_id").cast("string")
+    body = F.struct(
+        F.when(state == "queued", t).alias("kind"), F.when(state == "succeeded", F.concat(F.lit("r"), name)).alias("result"), F.when(state == "failed", F.concat(F.lit("e"), name)).alias("error")
+    )
+    return events(spark, d).select(F.col("user_id").alias("job_id"), state.alias("state"), "ts", "event_id", F.to_json(body).alias("payload"))
+
+
+JOB_LOG = f"(SELECT user_id AS job_id, {JOB_STATE} AS state, event_type, ts, event_id FROM events)"
+_LEGAL = "(from_state IS NULL AND state = 'queued') OR " + " OR ".join(f"(from_state = {q(a)} AND state = {q(b)})" for a, b in P.JOB_STEPS if a)
+
+
+@query("lif_job_transitions", f"SELECT job_id, event_id, from_state, state FROM (SELECT *, lag(state) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS from_state FROM {JOB_LOG}) WHERE NOT coalesce({_LEGAL}, false)")
+def lif_job_transitions(spark, d):
+    """Steps of jobs that the life of a job does not allow."""
+    return lifecycle.job_transitions(job_log(spark, d)).filter("NOT legal").select("job_id", "event_id", "from_state", "state")
+
+
+@query(
+    "lif_job_results",
+    f"""SELECT job_id, arg_max(state, (ts, event_id)) AS state, CAST(epoch_us(min(ts)) AS BIGINT) AS created_us, CAST(epoch_us(max(ts)) AS BIGINT) AS updated_us, arg_max(event_type, (ts, event_id)) FILTER (WHERE state = 'queued') AS kind,
+      'r' || arg_max(event_id, (ts, event_id)) FILTER (WHERE state = 'succeeded') AS result, 'e' || arg_max(event_id, (ts, event_id)) FILTER (WHERE state = 'failed') AS error FROM {JOB_LOG} GROUP BY job_id""",
+)
+def lif_job_results(spark, d):
+    """The state of every job with kind, result and error, merged from the payloads of its log."""
+    r = lifecycle.job_results(job_log(spark, d))
+    return r.select("job_id", "state", micros(r, "created_at").alias("created_us"), micros(r, "updated_at").alias("updated_us"), "kind", "result", "error")
+
+
 TOKEN_RULE = r'token\s*=\s*"[^"]*"'
 
 

@@ -2,31 +2,49 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BUCKETS = 1024
+#: Of a sketch: its ranks are off by less than 1 / ACCURACY of the group.
+ACCURACY = 10_000
 
 
-def nearest_rank(df: DataFrame, group: str, value: str, percents) -> DataFrame:
+def nearest_rank(df: DataFrame, group: str, value: str, percents, accuracy=ACCURACY) -> DataFrame:
     """Exact percentile: the value at index round-half-even(p/100*(n-1)) of the sorted group.
 
-    Equal values are pre-counted map-side.  Each group is cut into value ranges; running counts
-    over the ranges tell which one holds the rank, and only that range is ordered.
+    A sketch per group gives two values with the rank for certain between them, however the values are spread.  One pass
+    counts what is below the lower one; only what lies between them, some 4/accuracy of a group, is shuffled, pre-counted
+    by value, and ordered.
     """
-    c = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    stats = c.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("n").alias("total"))
-    span = F.col("hi") - F.col("lo")
-    c = c.join(stats, group).withColumn(
-        "bucket", F.when(span == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / span * BUCKETS), F.lit(BUCKETS - 1))).cast("int")
-    )
-    b = c.groupBy(group, "bucket").agg(F.sum("n").alias("in_bucket"))
-    before = F.sum("in_bucket").over(Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    b = b.withColumn("before", F.coalesce(before, F.lit(0)))
-    want = stats.select(group, F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("pct"), "total")
-    want = want.select(group, "pct", F.bround(F.col("pct") / 100 * (F.col("total") - 1)).cast("bigint").alias("idx"))
-    home = want.join(b, group).filter((F.col("idx") >= F.col("before")) & (F.col("idx") < F.col("before") + F.col("in_bucket")))
-    near = home.join(c.select(group, "bucket", value, "n"), [group, "bucket"])
-    seen = F.sum("n").over(Window.partitionBy(group, "pct").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    lower = F.col("before") + F.coalesce(seen, F.lit(0))
-    return near.withColumn("from", lower).filter((F.col("idx") >= F.col("from")) & (F.col("idx") < F.col("from") + F.col("n"))).select(group, "pct", value)
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    edges = [e for p in percents for e in (p / 100 - 2 / accuracy, p / 100 + 2 / accuracy)]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, e))) for e in edges]), accuracy)
+    stats = rows.groupBy("_g").agg(F.count("*").alias("total"), F.min("_v").alias("least"), F.max("_v").alias("most"), sketch.alias("edges"))
+
+    def edge(k):
+        return F.col("least") if edges[k] <= 0 else F.col("most") if edges[k] >= 1 else F.get("edges", F.lit(k))
+
+    rank = lambda p: F.bround(F.lit(p / 100) * (F.col("total") - 1)).cast("bigint")
+    asked = [F.struct(F.lit(float(p)).alias("pct"), rank(float(p)).alias("idx"), edge(2 * i).alias("lo"), edge(2 * i + 1).alias("hi")) for i, p in enumerate(percents)]
+    want = stats.select(F.col("_g").alias("_w"), F.explode(F.array(*asked)).alias("a")).select("_w", "a.*")
+    j = rows.join(want, F.col("_g").eqNullSafe(F.col("_w")))
+    below = j.groupBy("_g", "pct").agg(F.count_if(F.col("_v") < F.col("lo")).alias("below")).toDF("_bg", "_bp", "below")
+    near = j.filter(F.col("_v").between(F.col("lo"), F.col("hi"))).groupBy("_g", "pct", "idx", "_v").agg(F.count("*").alias("n"))
+    near = near.join(below, F.col("_g").eqNullSafe(F.col("_bg")) & (F.col("pct") == F.col("_bp")))
+    seen = F.sum("n").over(Window.partitionBy("_g", "pct").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("from", F.col("below") + F.coalesce(seen, F.lit(0)))
+    hit = near.filter((F.col("idx") >= F.col("from")) & (F.col("idx") < F.col("from") + F.col("n")))
+    return hit.select(F.col("_g").alias(group), "pct", F.col("_v").alias(value))
+
+
+def previous_row(df: DataFrame, key: str, ts: str, tie: str, what: str, block="1 hour") -> DataFrame:
+    """Adds ``previous``: of ``what``, the value of the row before in the order of (ts, tie), per key, in (key, block) pieces.
+
+    The first row of a block takes the last value of the blocks before it, from a table with one row per (key, block).
+    """
+    d = df.withColumns({"_blk": F.window(ts, block)["start"], "_what": F.struct(F.col(what).alias("value"))})
+    ends = d.groupBy(key, "_blk").agg(F.max_by("_what", F.struct(ts, tie)).alias("_end"))
+    ends = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(key).orderBy("_blk"))).drop("_end")
+    own = F.lag("_what").over(Window.partitionBy(key, "_blk").orderBy(ts, tie))
+    d = rejoin(d.withColumn("_own", own), ends, key, "_blk")
+    return d.withColumn("previous", F.coalesce("_own", "_carry")["value"]).drop("_own", "_carry", "_blk", "_what")
 
 
 def previous_time(df: DataFrame, key: str, ts: str, tie: str, block="1 hour") -> DataFrame:

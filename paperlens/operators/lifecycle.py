@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from paperlens import packs
+from paperlens.functions.ranks import previous_row
 from paperlens.functions.text import redact
 from paperlens.operators.quota import quota  # noqa: F401  (one of this group)
 
@@ -43,6 +44,33 @@ def latest_job_state(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").agg(F.max_by(F.struct("state", "ts"), F.struct("ts", "event_id")).alias("s")).select("job_id", "s.state", F.col("s.ts").alias("updated_at"))
 
 
+def job_transitions(log: DataFrame, legal=packs.JOB_STEPS) -> DataFrame:
+    """Every step of every job: from_state (null for its first entry), state, ts, event_id and whether the step is legal.
+
+    log(job_id, state, ts, event_id) may come in any order; a step leads from the entry before in the order of time.  An
+    entry that repeats the state is a step like any other.  Entries without a job or a time cannot be placed and are left
+    to the caller.
+    """
+    placed = log.filter(F.col("job_id").isNotNull() & F.col("ts").isNotNull())
+    steps = previous_row(placed, "job_id", "ts", "event_id", "state").withColumnRenamed("previous", "from_state")
+    known = reduce(lambda a, b: a | b, [F.col("from_state").eqNullSafe(F.lit(a)) & (F.col("state") == b) for a, b in legal])
+    return steps.select("job_id", "from_state", "state", "ts", "event_id", F.coalesce(known, F.lit(False)).alias("legal"))
+
+
+def job_results(log: DataFrame, fields=packs.JOB_FIELDS) -> DataFrame:
+    """Per job: state, created_at, updated_at, and of its payload the fields asked for.
+
+    The payloads (JSON objects) are merged field by field, each from the last entry that has it, null included, as an
+    update of a stored payload would.  Aggregated map-side to one row per job; a payload that is no object adds nothing.
+    """
+    body = F.from_json("payload", "map<string,string>")
+    at = F.struct("ts", "event_id")
+    has = lambda f: F.coalesce(F.map_contains_key("body", F.lit(f)), F.lit(False))
+    last = lambda f: F.max_by(F.struct(F.try_element_at("body", F.lit(f)).alias("v")), F.when(has(f), at))["v"].alias(f)
+    placed = log.filter(F.col("job_id").isNotNull() & F.col("ts").isNotNull()).withColumn("body", body)
+    return placed.groupBy("job_id").agg(F.max_by("state", at).alias("state"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), *[last(f) for f in fields])
+
+
 def redacted(documents: DataFrame, patterns=packs.REDACTIONS) -> DataFrame:
     """Whole texts with secrets replaced, and whether anything was."""
     out = documents.select("doc_id", "text", redact(F.col("text"), patterns).alias("clean"))
