@@ -6,7 +6,7 @@ from paperlens import packs as P
 from paperlens.catalog import query
 from paperlens.catalog.common import docs, facts, once, overlay_frame, rule_rows, scored, tagged
 from paperlens.catalog.structure import IMAGE_CAPTIONS
-from paperlens.operators import elements, evaluate, gates, reconcile, reports, structure
+from paperlens.operators import elements, evaluate, gates, notes, reconcile, reports, structure
 from paperlens.operators.quota import micros
 from paperlens.oracle.sql import inlist, q, sql
 from paperlens.plans.compare import review_and_compare
@@ -253,6 +253,48 @@ def gat_review_images(spark, d):
     return r.select(*IMAGE_FULL, F.array_join(F.col("anchors").cast("array<string>"), ",").alias("anchors"))
 
 
+_USED = "(doc_id % 10) <> 3"
+_NOTE = {k: q(v) for k, v in P.NOTES.items()}
+
+
+def _filled(name, n=None, t=None, image=None):
+    out = _NOTE[name]
+    for mark, value in (("n", n), ("t", t), ("image", image), ("mode", q(P.NOTE_DEMOTED))):
+        out = out if value is None else f"replace({out}, '{{{mark}}}', CAST({value} AS VARCHAR))"
+    return out
+
+
+NOTES_SQL = f"""SELECT doc_id, concat_ws(chr(10), CASE WHEN paper_type = 'review' THEN {_filled('review_paper', '17 - applicable')} END, CASE WHEN used THEN {_filled('routed', 'rule_items', 'applicable - rule_items')} END, CASE WHEN used THEN {_NOTE['directed']} END,
+   CASE WHEN used AND facts > 0 THEN {_filled('facts', 'facts')} END, CASE WHEN used AND invalid > 0 THEN {_filled('invalid', 'invalid')} END, CASE WHEN NOT used THEN {_NOTE['unavailable']} END,
+   CASE WHEN opened > 0 THEN {_filled('unassessed', 'opened')} END, CASE WHEN numeric > 0 THEN {_filled('numeric', 'numeric')} END, CASE WHEN images > 0 THEN {_filled('images', 'images')} END,
+   CASE WHEN mentions > 0 AND tables > 0 THEN {_filled('figures_tables', 'mentions', 'tables', 'image_note')} WHEN mentions > 0 THEN {_filled('figures', 'mentions', None, 'image_note')} END) AS notes,
+   CASE WHEN used THEN 1000 + doc_id % 100 ELSE 0 END + 11 * images AS tokens_in, CASE WHEN used THEN 200 ELSE 0 END + 7 * images AS tokens_out, CASE WHEN used THEN doc_id % 3 ELSE 0 END AS retries
+  FROM (SELECT *, CASE WHEN images > 0 THEN {q(P.NOTE_IMAGES_READ)} ELSE {q(P.NOTE_IMAGES_UNREAD)} END AS image_note FROM (
+   SELECT p.doc_id, p.paper_type, {_USED.replace('doc_id', 'p.doc_id')} AS used, coalesce(a.applicable, 0) AS applicable, coalesce(a.rule_items, 0) AS rule_items, coalesce(f.opened, 0) AS opened, coalesce(f.numeric, 0) AS numeric, coalesce(i.images, 0) AS images, coalesce(i.facts, 0) AS facts,
+     coalesce(v.invalid, 0) AS invalid, coalesce(m.figure_mentions, 0) AS mentions, coalesce(t.tables, 0) AS tables FROM ptype p
+    LEFT JOIN (SELECT doc_id, count(*) AS applicable, count(*) FILTER (WHERE judge = 'rule') AS rule_items FROM applic GROUP BY 1) a ON a.doc_id = p.doc_id
+    LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE certainty = 'undetermined') AS opened, count(*) FILTER (WHERE phase = 3) AS numeric FROM fm GROUP BY 1) f ON f.doc_id = p.doc_id
+    LEFT JOIN (SELECT doc_id, count(*) AS images, count(*) FILTER (WHERE nv > 0) AS facts FROM ({IMG}) WHERE img_idx < 4 AND byte_size BETWEEN 1 AND 4194304 AND (nv > 0 OR cz = 0) GROUP BY 1) i ON i.doc_id = p.doc_id
+    LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE verdict = 'maybe') AS invalid FROM vraw GROUP BY 1) v ON v.doc_id = p.doc_id
+    LEFT JOIN figcount m ON m.doc_id = p.doc_id LEFT JOIN (SELECT doc_id, count(*) AS tables FROM tbl GROUP BY 1) t ON t.doc_id = p.doc_id))"""
+
+
+def usage(spark, d):
+    """Model calls by formula: a review call of every document, of which each tenth failed, and one call per image read."""
+    n = lambda c: c.cast("bigint")
+    review = docs(spark, d).select("doc_id", F.lit("review").alias("call"), (F.pmod("doc_id", F.lit(10)) != 3).alias("ok"), n(1000 + F.pmod("doc_id", F.lit(100))).alias("tokens_in"), n(F.lit(200)).alias("tokens_out"), n(F.pmod("doc_id", F.lit(3))).alias("retries"))
+    image = V.parse_readings(readings(spark, d)).select("doc_id", F.lit("image").alias("call"), F.lit(True).alias("ok"), n(F.lit(11)).alias("tokens_in"), n(F.lit(7)).alias("tokens_out"), n(F.lit(9)).alias("retries"))
+    return review.unionByName(image)
+
+
+@query("mod_review_notes", sql(NOTES_SQL))
+def mod_review_notes(spark, d):
+    """Notes and token sums of the review with model verdicts and image readings."""
+    f = review(facts=facts(spark, d), verdicts=verdicts(spark, d), readings=V.parse_readings(readings(spark, d)), demote=True)
+    out = notes.review_notes(f, facts(spark, d), parsed(spark, d), usage(spark, d), use_model=True, directed=True, demote=True)
+    return out.withColumn("notes", F.array_join("notes", "\n"))
+
+
 # --- report consumption ----------------------------------------------------------------------
 
 @query("rep_facets", sql("SELECT doc_id, count(*) AS n_all, count(*) FILTER (WHERE verdict = 'problem') AS n_problem, count(*) FILTER (WHERE verdict = 'uncertain') AS n_uncertain, count(*) FILTER (WHERE verdict = 'pass') AS n_pass, count(*) FILTER (WHERE certainty = 'undetermined') AS n_undetermined, count(*) FILTER (WHERE grade = 'A') AS n_grade_a, count(*) FILTER (WHERE grade = 'B') AS n_grade_b, count(*) FILTER (WHERE grade IN ('C', 'D')) AS n_grade_cd FROM fr GROUP BY doc_id"))

@@ -148,7 +148,7 @@ def draft(fc: DataFrame, verdicts: DataFrame | None = None, items=packs.CHECKLIS
         def read(i):
             headline, description = image_texts(i["img_idx"], i["caption"], F.col("reading.values"), F.col("reading.concern"))
             return _finding(
-                5, i["img_idx"], "llm", F.lit(packs.IMAGE_ITEM), F.lit(None), F.lit("uncertain"), F.lit("low"), F.lit("suspected"), F.array(i["anchor"]),
+                5, i["img_idx"], "llm", F.lit(packs.IMAGE_ITEM), F.when(F.size("reading.values") > 0, packs.IMAGE_CODE), F.lit("uncertain"), F.lit("low"), F.lit("suspected"), F.array(i["anchor"]),
                 headline, description, F.lit(packs.IMAGE_SUGGESTION), advisory=F.lit(True), evidence_gate=F.lit("vision_read"),
             )
 

@@ -16,6 +16,33 @@ def save_bucketed(df: DataFrame, name: str, key: str = "doc_id", buckets: int =
     return df.sparkSession.table(name)
 
 
+def save_latest(rows: DataFrame, arrived: DataFrame, path: str, version: int, key: str = "doc_id", buckets: int = 64) -> None:
+    """Replace, in a table kept by `key`, all rows of the keys that arrived, unless a later version of a key is there.
+
+    The table is cut into hash buckets; only those of the arrived keys are read and written again (dynamic partition
+    overwrite), after their new rows were written elsewhere, so a batch that is saved twice, or again after a failure,
+    changes nothing.  ``rows`` are the new rows, ``arrived`` names the keys (each should have a row, for a key without any
+    leaves no version behind).  A null key is a key like any other.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    new = rows.withColumns({"version": F.lit(version).cast("bigint"), "bucket": bucket})
+    new.limit(0).write.mode("append").partitionBy("bucket").parquet(path)  # the folder
+    keys = staged(arrived.select(F.col(key).alias("_key")).distinct())
+    touched = [r[0] for r in keys.select(F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")).distinct().collect()]  # buckets at most
+    old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
+    of = lambda names: F.col(key).eqNullSafe(names["_key"])
+    later = old.filter(F.col("version") > version)
+    held = later.select(F.col(key).alias("_key")).distinct()
+    stay = old.join(keys, of(keys), "left_anti").unionByName(later.join(keys, of(keys), "left_semi"))
+    out = staged(stay.unionByName(new.join(held, of(held), "left_anti")))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_latest(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket", "version")
+
+
 def save_markdown(reports: DataFrame, path: str, buckets=64):
     """Markdown reports as text files, spread over a fixed number of folders by document."""
     out = reports.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), F.col("markdown").alias("value"))
