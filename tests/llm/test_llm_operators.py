@@ -183,6 +183,54 @@ def test_toxicity(nothing, spark):
     assert empty.score_text("any") == 0.5 and toxicity.scores(nothing.drop("score"), empty).count() == 0
 
 
+def test_toxicity_loss_by_finite_differences():
+    rng = np.random.default_rng(2)
+    rows = [(sorted(rng.choice(12, 4, False).tolist()), [([0], [1]), ([], [5])] if i % 2 else [], int(rng.random() < 0.4)) for i in range(30)]
+    labels = np.array([r[2] for r in rows], float)
+    w, bias = rng.standard_normal(12), 0.3
+    loss = toxicity.Loss(rows, 12, labels, 3.0)
+
+    def plain(w, bias):
+        score = lambda cols: 1 / (1 + math.exp(-(sum(w[c] for c in cols) + bias)))
+        log = [-(math.log(score(x)) if y else math.log(1 - score(x))) for x, _, y in rows]
+        changed = lambda x, lost, gained: -sum(w[c] for c in lost) + sum(w[c] for c in gained) + sum(w[c] for c in x) + bias
+        gaps = [(score(x) - 1 / (1 + math.exp(-changed(x, a, b)))) ** 2 for x, twins, _ in rows for a, b in twins]
+        by_class = [np.mean([v for v, r in zip(log, rows) if r[2] == k]) for k in (0, 1)]
+        return sum(by_class) / 2 + toxicity.RIDGE * sum(x * x for x in w) + 3.0 * np.mean(gaps)
+
+    assert abs(loss.value(w, bias) - plain(w, bias)) < 1e-9
+    steps = np.eye(13) * 1e-5
+    numeric = [(plain(w + s[:-1], bias + s[-1]) - plain(w - s[:-1], bias - s[-1])) / 2e-5 for s in steps]
+    assert np.abs(loss.gradient(w, bias) - numeric).max() < 1e-6
+
+
+def test_the_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    """Which of the words that fill one gap is named moves the score less, the higher the penalty; the texts show the slot."""
+    rng, rows = random.Random(4), []
+    groups = ["drelk", "vurm", "pim"]
+    neutral = [f"word{i}" for i in range(30)]
+    for i in range(1500):
+        toxic = rng.random() < 0.4
+        who = "drelk" if rng.random() < (0.62 if toxic else 0.31) else rng.choice(groups)
+        said = rng.choice(["awful", "vile", "rotten"]) if toxic and rng.random() < 0.7 else rng.choice(neutral)
+        left, right = (rng.choice(x.split()) for x in ("the a my all", "of to in by"))
+        rows.append((i, f"{left} {who} {right}. so {said} {rng.choice(neutral)}", int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], 0, r[2]) for r in rows], "doc_id bigint, quality int, toxic int")
+    sample = toxicity.labelled(docs, labels, toxicity.teaches(), 20_000)
+    sizes = dict(sample.groupBy("label").count().collect())
+    assert any("drelk" in s and set(s) <= set(groups) for s in toxicity.found_slots(sample, toxicity.counted(sample), sizes[1], sizes[0]))
+    assert toxicity.fit(docs, labels, toxicity.teaches()).pairs > 500
+    fits = [toxicity.fit(docs, labels, toxicity.teaches(), penalty=p, slots=[groups]) for p in (0.0, 4.0, 100.0)]
+    mention = lambda who: f"the {who} of. so word1 word2"
+    gap = [max(m.score_text(mention(w)) for w in groups) - min(m.score_text(mention(w)) for w in groups) for m in fits]
+    assert gap[0] > 0.1 and gap[0] > gap[1] > gap[2] and gap[2] < gap[0] / 3
+    wrong = [sum(m.score_text(mention(w)) >= 0.5 for w in groups) for m in fits]
+    assert wrong[0] >= wrong[1] >= wrong[2]
+    none = toxicity.fit(docs, labels, toxicity.teaches(), slots=[])
+    assert none.pairs == 0 and abs(none.score_text(mention("drelk")) - fits[0].score_text(mention("drelk"))) < 0.02
+
+
 def test_archives(spark):
     big = "x" * 1500 + "é"
     rows = [(1, "http://a/", big), (2, "http://a/\r\nb", big), (3, None, "y" * 1200), (3, None, "y" * 1200), (4, "u", ""), (5, "u", None), (None, "u", big), (6, "u", "short"), (7, "u", "short")]
