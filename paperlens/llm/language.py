@@ -6,8 +6,9 @@ kernel matrix of the landmarks, a text's features are its kernel values to them
 per language (that language against the rest) is fitted on the features.  A batch of texts is scored as presence matrix
 times landmark presence matrix times weights.
 
-Fitting takes at most `PER_LANGUAGE` texts of each language, the first by a hash of their key among those of `SPAN`
-characters; that is the only sample.  Every whole text is scored.  Nothing is shuffled but keys of the training choice.
+Fitting takes at most `PER_LANGUAGE` texts of each language, one a key, the first by a hash of their key, and of these as
+many as hold `CHARACTERS` together, but one at least; that is the only sample, and no text is left out for its length.
+Every whole text is scored.  Nothing is shuffled but keys and text hashes of the training choice.
 
 Defined cases: a null text and a text without a letter are `und` with score 0; texts sharing no n-gram with a landmark
 get the language of the largest bias; equal scores go to the first language by name; languages are the distinct
@@ -24,8 +25,8 @@ from paperlens.llm.common import residue
 
 PER_LANGUAGE = 250
 LANDMARKS = 96
-#: Lengths of the training texts, in characters; whole texts are used.
-SPAN = (20, 20_000)
+#: Of the training texts of one language together; whole texts are used.
+CHARACTERS = 4_000_000
 RIDGE = 1e-2
 ORDERS = 3
 BATCH = 64
@@ -93,14 +94,22 @@ class Model:
         return out
 
 
-def sample(docs: DataFrame, learn, per_language: int, text: str, keep: str) -> list:
-    """At most `per_language` (text, lang) rows of each language, chosen by a hash of the key: keys first, then texts."""
-    usable = F.col("lang").isNotNull() & learn & F.length(text).between(*SPAN)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col(keep).cast("string")), keep)
-    chosen = docs.filter(usable).select(keep, "lang").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_language)
-    keys = sorted({r[0] for r in chosen.select(keep).collect()})
-    rows = docs.filter(usable & F.col(keep).isin(keys)).select(keep, text, "lang").collect() if keys else []
-    return sorted(rows, key=lambda r: (r[0], r[2], r[1]))
+def sample(docs: DataFrame, learn, per_language: int, text: str, keep: str, characters: int = CHARACTERS) -> list:
+    """At most `per_language` (key, text, lang) rows of each language: keys and hashes are chosen first, then texts read.
+
+    Rows that repeat a key in a language count as one, with the text of the smallest hash, so what comes to the driver is
+    bounded by the choice, not by the rows.
+    """
+    t = F.col(text).cast("string")
+    rows = docs.filter(F.col("lang").isNotNull() & learn & t.rlike("\\p{L}")).select(F.col(keep).alias("key"), "lang", t.alias("text"), F.xxhash64(t).alias("h"))
+    one = rows.groupBy("lang", "key").agg(F.min(F.struct("h", F.length("text").alias("n"))).alias("t")).select("lang", "key", "t.*")
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string")), "key")
+    first = one.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_language)
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("upto", upto).filter((F.col("place") == 1) | (F.col("upto") <= characters)).select("lang", "key", "h")
+    # the choice has `per_language` rows a language, as has the model itself: small enough to send to every task
+    texts = rows.join(F.broadcast(chosen), ["lang", "key", "h"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+    return sorted(((r["key"], r["text"], r["lang"]) for r in texts.collect()), key=lambda r: (r[0], r[2], r[1]))
 
 
 def identify(docs: DataFrame, learn, per_language: int = PER_LANGUAGE, text: str = "text", keep: str = "doc_id") -> DataFrame:

@@ -60,6 +60,51 @@ def test_language(corpus, nothing, spark):
     assert found and all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in found)
 
 
+def test_language_sample(spark, monkeypatch):
+    """Bounded in texts and characters, one text a key, whatever the lengths."""
+    long = ["der lange text " * 2000 + str(i) for i in range(12)]
+    rows = [(i, t, "de") for i, t in enumerate(long)] + [(100, f"short text {i}", "en") for i in range(3000)] + [(200 + i, f"the text {i}", "en") for i in range(40)] + [(300, "123", "xx"), (301, None, "yy"), (None, "no key", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language.sample(docs, F.lit(True), 20, "text", "doc_id", characters=70_000)
+    assert sum(r[2] == "de" for r in got) == 2 and sum(r[2] == "en" for r in got) == 20 and len(got) == 22
+    assert len({r[0] for r in got if r[2] == "en"}) == 20
+    one = language.sample(docs, F.lit(True), 20, "text", "doc_id", characters=10)
+    assert sorted(r[2] for r in one)[0] == "de" and sum(r[2] == "de" for r in one) == 1  # one at least
+    found = language.identify(docs, F.col("doc_id") % 2 == 0).filter("lang_pred = 'und'").collect()
+    assert sorted(r.doc_id for r in found) == [300, 301]
+    assert all(r.lang_pred == "de" for r in language.identify(docs.filter("lang = 'de'"), F.col("doc_id") % 2 == 0).collect())
+
+
+def test_language_against_plain_numpy():
+    """The kernel matrix, the Nystroem map and the ridge solve, written out."""
+    rng = random.Random(6)
+    stems = {"aa": "kalo mira tuse".split(), "bb": "welch drong ist".split(), "cc": "ouze lai quri".split()}
+    langs = [rng.choice(list(stems)) for _ in range(60)]
+    texts = [" ".join(rng.choice(stems[x]) + rng.choice("aeiou") for _ in range(rng.randint(2, 9))) for x in langs]
+    model = language.Model(texts, langs)
+
+    def grams(t):
+        t = " ".join(t.lower().split())
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    k = lambda a, b: len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
+    each = language.LANDMARKS // 3
+    marks = sorted(i for x in stems for i in [j for j, y in enumerate(langs) if y == x][:each])
+    kernel = lambda ts: np.array([[k(t, texts[m]) for m in marks] for t in ts])
+    values, vectors = np.linalg.eigh(kernel([texts[m] for m in marks]))
+    root = vectors @ np.diag([v**-0.5 if v > 1e-6 else 0 for v in values]) @ vectors.T
+    x = np.hstack([kernel(texts) @ root, np.ones((60, 1))])
+    y = np.array([[1.0 if l == name else -1.0 for name in sorted(stems)] for l in langs])
+    w = np.linalg.solve(x.T @ x + language.RIDGE * 60 / 100 * np.eye(x.shape[1]), x.T @ y)
+    asked = ["kaloa miraa", "drongi welche ist", "ouzea quriu tuse", "zzz"]
+    want = np.hstack([kernel(asked) @ root, np.ones((4, 1))]) @ w
+    share = np.exp(4 * (want - want.max(axis=1, keepdims=True)))
+    share = share.max(axis=1) / share.sum(axis=1)
+    got = model.predict([*asked, None, "12"])
+    assert [g[0] for g in got] == [sorted(stems)[i] for i in want.argmax(axis=1)] + ["und", "und"]
+    assert np.allclose([g[1] for g in got[:4]], share, atol=2e-3)
+
+
 def test_decontamination(corpus, nothing, spark):
     docs, rows = corpus
     piece = words(rows[8][1])
