@@ -24,6 +24,10 @@ def _check(item, code, para, arg0, arg1=None, parts=None, quote=None) -> Column:
 
 # --- numeric checks on one unit of text ---------------------------------------
 
+#: Characters looked at on either side of a percentage, and as many segments as surely hold them.
+NEAR = 20
+NEAR_SEGMENTS = NEAR // 2 + 1
+
 def plain(number: Column) -> Column:
     """A double as text, whole numbers without their point."""
     return F.regexp_replace(number.cast("string"), r"\.0$", "")
@@ -44,55 +48,55 @@ def bad_ratio(text: Column) -> Column:
 def bad_percent(text: Column) -> Column:
     """total and parts of the first run of adjacent split shares whose sum is not about 100; null when fine.
 
-    regexp functions return no positions, so matches are zipped with the pieces between them.
+    regexp functions return no positions, so the text is taken as segments: a percentage with the text behind it.  As a
+    percentage has two characters at least, `NEAR_SEGMENTS` of them hold all that is looked at on either side, and a run is
+    two positions, not a list that grows: work is linear in the percentages of a unit.
     A percentage that is not a share always ends a run, because connectors hold no digits.
     """
     p = ci(packs.PERCENT)
     hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(p), F.lit(1))
-    pieces = F.split(text, p)
+    values = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda v: v.cast("double"))
+    found = F.filter(F.array(F.struct(hits.alias("hits"), values.alias("values"), F.split(text, p).alias("pieces"))), lambda t: F.size(t["hits"]) >= 2)
+    # a second step, so that the segments are built once, not once per percentage; the first is the text before all
+    whole = F.transform(
+        found, lambda t: t.withField("segments", F.zip_with(F.concat(F.array(F.lit("")), t["hits"]), t["pieces"], lambda h, s: F.concat(h, s)))
+    )
 
     def look(t):
-        def start(k):
-            before = F.aggregate(F.slice(t["pieces"], F.lit(1), k + 1), F.lit(0), lambda a, s: a + F.length(s))
-            return before + F.aggregate(F.slice(t["hits"], F.lit(1), k), F.lit(0), lambda a, s: a + F.length(s))
-
         def share(k):
-            at = start(k)
-            left = F.left(text, at)
-            right = F.substr(text, at + F.length(F.get(t["hits"], k)) + 1, F.lit(20))
-            near = F.right(left, F.lit(20)).rlike(f"(?s)(?:{packs.SPLIT_CONTEXT}).{{0,{packs.SPLIT_WINDOW}}}$") | right.rlike(
+            behind = F.greatest(k + 1 - NEAR_SEGMENTS, F.lit(0))
+            left = F.array_join(F.slice(t["segments"], behind + 1, k + 1 - behind), "")
+            right = F.concat(F.get(t["pieces"], k + 1), F.array_join(F.slice(t["segments"], k + 3, F.lit(NEAR_SEGMENTS)), ""))
+            near = F.right(left, F.lit(NEAR)).rlike(f"(?s)(?:{packs.SPLIT_CONTEXT}).{{0,{packs.SPLIT_WINDOW}}}$") | F.left(right, F.lit(NEAR)).rlike(
                 f"(?s)^.{{0,{packs.SPLIT_WINDOW}}}(?:{packs.SPLIT_CONTEXT})"
             )
             return near & ~F.right(left, F.lit(packs.METRIC_WINDOW)).rlike(packs.METRIC_CONTEXT)
 
         steps = F.transform(
-            F.sequence(F.lit(0), F.size(t["hits"]) - 1),
-            lambda k: F.struct(
-                F.get(t["values"], k).cast("double").alias("v"),
-                share(k).alias("share"),
-                F.get(t["pieces"], k).rlike(cs(packs.PERCENT_GAP)).alias("joined"),
+            t["values"],
+            lambda v, k: F.struct(
+                k.alias("k"), v.alias("v"), share(k).alias("share"), F.get(t["pieces"], k).rlike(cs(packs.PERCENT_GAP)).alias("joined")
             ),
         )
-        none = F.array().cast("array<double>")
-        off = lambda s: (F.size(s["run"]) >= 2) & ~s["sum"].between(packs.PERCENT_LOW, packs.PERCENT_HIGH)
-        state = lambda total, run, bad: F.struct(total.alias("sum"), run.alias("run"), bad.alias("bad"))
-        closed = lambda s: F.coalesce(s["bad"], F.when(off(s), s["run"]))
-        run = F.aggregate(
+        span = "struct<first:int,n:int,sum:double>"
+        run = lambda first, n, total: F.struct(first.alias("first"), n.alias("n"), total.alias("sum")).cast(span)
+        state = lambda r, bad: F.struct(r.alias("run"), bad.alias("bad"))
+        none = run(F.lit(0), F.lit(0), F.lit(0.0))
+        off = lambda r: (r["n"] >= 2) & ~r["sum"].between(packs.PERCENT_LOW, packs.PERCENT_HIGH)
+        closed = lambda s: F.coalesce(s["bad"], F.when(off(s["run"]), s["run"]))
+        bad = F.aggregate(
             steps,
-            state(F.lit(0.0), none, F.lit(None).cast("array<double>")),
-            lambda s, x: F.when(x["share"] & x["joined"] & (F.size(s["run"]) > 0), state(s["sum"] + x["v"], F.array_append(s["run"], x["v"]), s["bad"]))
-            .when(x["share"], state(x["v"], F.array(x["v"]), closed(s)))
-            .otherwise(state(F.lit(0.0), none, closed(s))),
+            state(none, F.lit(None).cast(span)),
+            lambda s, x: F.when(x["share"] & x["joined"] & (s["run"]["n"] > 0), state(run(s["run"]["first"], s["run"]["n"] + 1, s["run"]["sum"] + x["v"]), s["bad"]))
+            .when(x["share"], state(run(x["k"], F.lit(1), x["v"]), closed(s)))
+            .otherwise(state(none, closed(s))),
             closed,
         )
-        total = lambda r: F.round(F.aggregate(r, F.lit(0.0), lambda a, v: a + v), 4)
-        parts = lambda r: F.array_join(F.transform(r, lambda v: F.concat(plain(v), F.lit("%"))), " + ")
-        found = F.filter(F.array(run), lambda r: r.isNotNull())
-        return F.try_element_at(F.transform(found, lambda r: F.struct(total(r).alias("total"), parts(r).alias("parts"))), F.lit(1))
+        parts = lambda r: F.array_join(F.transform(F.slice(t["values"], r["first"] + 1, r["n"]), lambda v: F.concat(plain(v), F.lit("%"))), " + ")
+        runs = F.filter(F.array(bad), lambda r: r.isNotNull())
+        return F.try_element_at(F.transform(runs, lambda r: F.struct(F.round(r["sum"], 4).alias("total"), parts(r).alias("parts"))), F.lit(1))
 
-    bundle = F.array(F.struct(hits.alias("hits"), values.alias("values"), pieces.alias("pieces")))
-    return F.when(text.rlike(packs.SPLIT_CONTEXT), F.get(F.transform(F.filter(bundle, lambda t: F.size(t["hits"]) >= 2), look), F.lit(0)))
+    return F.when(text.rlike(packs.SPLIT_CONTEXT), F.get(F.transform(whole, look), F.lit(0)))
 
 
 def bad_interval(text: Column) -> Column:

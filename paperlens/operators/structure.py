@@ -46,6 +46,8 @@ def reference_number(text: Column) -> Column:
 # --- citations --------------------------------------------------------------
 
 SPELLED = 100_000
+#: Numbers of one marker that a row holds written out, 80 MB of them.
+MOST_NUMBERS = 10_000_000
 EMPTY_RANGES = "array<struct<lo:bigint,hi:bigint>>"
 
 
@@ -84,12 +86,14 @@ def spelled(found: Column, separator=", ") -> Column:
 
 
 def expand_numbers(token: Column) -> Column:
-    """'[1-3,5]' to [1,2,3,5]: every number of the marker."""
+    """'[1-3,5]' to [1,2,3,5]: every number of the marker; null if they exceed `MOST_NUMBERS`."""
     return expanded(ranges(token))
 
 
 def expanded(found: Column) -> Column:
-    return F.flatten(F.transform(found, lambda r: F.sequence(r["lo"], r["hi"])))
+    """Every number of the ranges; null if they are more than `MOST_NUMBERS`, as a row cannot hold them."""
+    wide = F.aggregate(found, F.lit(0).cast("double"), lambda n, r: n + (r["hi"].cast("double") - r["lo"].cast("double") + 1))
+    return F.when(wide <= MOST_NUMBERS, F.flatten(F.transform(found, lambda r: F.sequence(r["lo"], r["hi"]))))
 
 
 def citation_tokens(text: Column) -> Column:
@@ -312,7 +316,8 @@ def citation_ranges(fr: DataFrame) -> DataFrame:
 
 
 def citations(fr: DataFrame) -> DataFrame:
-    """One row per marker with every number written out; markers too wide for an array are left to `citation_ranges`."""
+    """One row per marker with every number written out.  A range wider than an array can hold gives null for its marker's
+    numbers; its ends are in `citation_ranges`."""
     return citation_ranges(fr).withColumns({c: expanded(F.col(c)) for c in ("numbers", "unresolved")})
 
 

@@ -26,6 +26,7 @@ def test_citation_tokens_and_ranges(spark):
     assert one(spark, "[5-3]", structure.expand_numbers) == []
     assert one(spark, "R² 为 0.9。¹² 后文", structure.citation_tokens) == ["12"]
     assert one(spark, "[12] Author. Title", structure.citation_tokens) == []
+    assert one(spark, "[1-99999999999]", structure.expand_numbers) is None
     wide = one(spark, "[1-200001]", structure.expand_numbers)
     assert len(wide) == 200001 and wide[-1] == 200001
     known = F.array(*[F.lit(n).cast("bigint") for n in (3, 1, 7, 3)])
