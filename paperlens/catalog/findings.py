@@ -195,7 +195,7 @@ def gat_grade(spark, d):
 
 def card(f):
     return f"""SELECT doc_id, count(*) FILTER (WHERE grade = 'A') AS grade_a, count(*) FILTER (WHERE grade = 'B') AS grade_b, count(*) FILTER (WHERE grade = 'C') AS grade_c, count(*) FILTER (WHERE grade = 'D') AS grade_d,
-   round(coalesce(avg(confidence) FILTER (WHERE certainty <> 'undetermined'), 0), 4) AS avg_confidence, ai AS assessed_items, greatest(n_items, ai) AS applicable_items, round(ai / greatest(n_items, ai), 4) AS review_rate FROM (
+   coalesce((2 * sum(CAST(round(confidence * 10000) AS BIGINT)) FILTER (WHERE certainty <> 'undetermined') + count(*) FILTER (WHERE certainty <> 'undetermined')) // nullif(2 * count(*) FILTER (WHERE certainty <> 'undetermined'), 0) / 10000, 0)::DOUBLE AS avg_confidence, ai AS assessed_items, greatest(n_items, ai) AS applicable_items, round(ai / greatest(n_items, ai), 4) AS review_rate FROM (
    SELECT f.*, coalesce(c.ai, 0) AS ai, CASE WHEN f.paper_type = 'review' THEN 4 ELSE 17 END AS n_items FROM {f} f LEFT JOIN (
      SELECT x.doc_id, count(DISTINCT x.item_id) AS ai FROM {f} x JOIN applic a ON a.doc_id = x.doc_id AND a.item_id = x.item_id WHERE x.certainty <> 'undetermined' GROUP BY 1) c ON c.doc_id = f.doc_id) GROUP BY doc_id, ai, n_items"""
 
@@ -264,7 +264,13 @@ def _filled(name, n=None, t=None, image=None):
     return out
 
 
-NOTES_SQL = f"""SELECT doc_id, concat_ws(chr(10), CASE WHEN paper_type = 'review' THEN {_filled('review_paper', '17 - applicable')} END, CASE WHEN used THEN {_filled('routed', 'rule_items', 'applicable - rule_items')} END, CASE WHEN used THEN {_NOTE['directed']} END,
+IMAGES_READ = f"SELECT doc_id, count(*) AS images, count(*) FILTER (WHERE nv > 0) AS facts FROM ({IMG}) WHERE img_idx < 4 AND byte_size BETWEEN 1 AND 4194304 AND (nv > 0 OR cz = 0) GROUP BY 1"
+NO_IMAGES = "SELECT CAST(NULL AS BIGINT) AS doc_id, 0 AS images, 0 AS facts WHERE false"
+
+
+def notes_sql(images):
+    """Notes and token sums of the review with model verdicts; `images` counts the readings of a document."""
+    return f"""SELECT doc_id, concat_ws(chr(10), CASE WHEN paper_type = 'review' THEN {_filled('review_paper', '17 - applicable')} END, CASE WHEN used THEN {_filled('routed', 'rule_items', 'applicable - rule_items')} END, CASE WHEN used THEN {_NOTE['directed']} END,
    CASE WHEN used AND facts > 0 THEN {_filled('facts', 'facts')} END, CASE WHEN used AND invalid > 0 THEN {_filled('invalid', 'invalid')} END, CASE WHEN NOT used THEN {_NOTE['unavailable']} END,
    CASE WHEN opened > 0 THEN {_filled('unassessed', 'opened')} END, CASE WHEN numeric > 0 THEN {_filled('numeric', 'numeric')} END, CASE WHEN images > 0 THEN {_filled('images', 'images')} END,
    CASE WHEN mentions > 0 AND tables > 0 THEN {_filled('figures_tables', 'mentions', 'tables', 'image_note')} WHEN mentions > 0 THEN {_filled('figures', 'mentions', None, 'image_note')} END) AS notes,
@@ -274,20 +280,22 @@ NOTES_SQL = f"""SELECT doc_id, concat_ws(chr(10), CASE WHEN paper_type = 'review
      coalesce(v.invalid, 0) AS invalid, coalesce(m.figure_mentions, 0) AS mentions, coalesce(t.tables, 0) AS tables FROM ptype p
     LEFT JOIN (SELECT doc_id, count(*) AS applicable, count(*) FILTER (WHERE judge = 'rule') AS rule_items FROM applic GROUP BY 1) a ON a.doc_id = p.doc_id
     LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE certainty = 'undetermined') AS opened, count(*) FILTER (WHERE phase = 3) AS numeric FROM fm GROUP BY 1) f ON f.doc_id = p.doc_id
-    LEFT JOIN (SELECT doc_id, count(*) AS images, count(*) FILTER (WHERE nv > 0) AS facts FROM ({IMG}) WHERE img_idx < 4 AND byte_size BETWEEN 1 AND 4194304 AND (nv > 0 OR cz = 0) GROUP BY 1) i ON i.doc_id = p.doc_id
+    LEFT JOIN ({images}) i ON i.doc_id = p.doc_id
     LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE verdict = 'maybe') AS invalid FROM vraw GROUP BY 1) v ON v.doc_id = p.doc_id
     LEFT JOIN figcount m ON m.doc_id = p.doc_id LEFT JOIN (SELECT doc_id, count(*) AS tables FROM tbl GROUP BY 1) t ON t.doc_id = p.doc_id))"""
 
 
-def usage(spark, d):
+def usage(spark, d, images=True):
     """Model calls by formula: a review call of every document, of which each tenth failed, and one call per image read."""
     n = lambda c: c.cast("bigint")
     review = docs(spark, d).select("doc_id", F.lit("review").alias("call"), (F.pmod("doc_id", F.lit(10)) != 3).alias("ok"), n(1000 + F.pmod("doc_id", F.lit(100))).alias("tokens_in"), n(F.lit(200)).alias("tokens_out"), n(F.pmod("doc_id", F.lit(3))).alias("retries"))
+    if not images:
+        return review
     image = V.parse_readings(readings(spark, d)).select("doc_id", F.lit("image").alias("call"), F.lit(True).alias("ok"), n(F.lit(11)).alias("tokens_in"), n(F.lit(7)).alias("tokens_out"), n(F.lit(9)).alias("retries"))
     return review.unionByName(image)
 
 
-@query("mod_review_notes", sql(NOTES_SQL))
+@query("mod_review_notes", sql(notes_sql(IMAGES_READ)))
 def mod_review_notes(spark, d):
     """Notes and token sums of the review with model verdicts and image readings."""
     f = review(facts=facts(spark, d), verdicts=verdicts(spark, d), readings=V.parse_readings(readings(spark, d)), demote=True)
@@ -307,16 +315,41 @@ def rep_top_risk(spark, d):
     return reports.top_risk(scored(spark, d))
 
 
-@query("src_markdown", sql("SELECT doc_id, count(*) FILTER (WHERE certainty <> 'undetermined') AS n_blocks, count(*) FILTER (WHERE certainty = 'undetermined') AS n_open, count(*) FILTER (WHERE verdict = 'problem') AS total FROM fr GROUP BY doc_id"))
+def _label(table, column):
+    return f"CASE {column} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + f" ELSE {column} END"
+
+
+_CONFIDENT = "'- 置信度：' || confidence || '（' || grade_label || '）'"
+MARKDOWN = f"""
+ WITH lined AS (SELECT *, certainty <> 'undetermined' AS shown, CASE WHEN certainty = 'undetermined' THEN '- [' || item_id || '] ' || description ELSE
+   '## [' || {_label(P.SEVERITY_LABEL, 'severity')} || '·' || {_label(P.CERTAINTY_LABEL, 'certainty')} || '·' || grade || ' ' || grade_label || '] ' || headline || chr(10)
+   || '- 清单条目：' || item_id || chr(10) || '- 原文定位：' || coalesce('段落 ' || anchors[1], '位置未定') || chr(10) || {_CONFIDENT} || chr(10)
+   || CASE WHEN description <> '' THEN '- 说明：' || description || chr(10) ELSE '' END || CASE WHEN suggestion <> '' THEN '- 建议：' || suggestion || chr(10) ELSE '' END END AS line
+   FROM (SELECT *, {_label(P.GRADE_LABEL, 'grade')} AS grade_label FROM fm)),
+ per AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY seq) FILTER (WHERE shown) AS blocks, string_agg(line, chr(10) ORDER BY seq) FILTER (WHERE NOT shown) AS opened,
+   count(*) FILTER (WHERE shown AND verdict = 'uncertain') AS doubted FROM lined GROUP BY doc_id),
+ reasons AS (SELECT doc_id, string_agg(gate_reason || ' ' || n, '、' ORDER BY first_seq) AS gate_table FROM (SELECT doc_id, gate_reason, count(*) AS n, min(seq) AS first_seq FROM fm GROUP BY ALL) GROUP BY doc_id)
+ SELECT p.doc_id, '# 方法学审查报告 · ' || s.source || chr(10) || chr(10) || '- 报告 ID：rep-' || p.doc_id || chr(10) || '- 清单版本：1.0' || chr(10)
+  || '- 问题统计：严重 ' || n_high || ' / 中等 ' || n_mid || ' / 轻微 ' || n_low || '（共 ' || n_total || '）' || chr(10)
+  || '- 确定性统计：确定性 ' || n_deterministic || ' / 疑似 ' || n_suspected || ' / 未判定 ' || n_undetermined || chr(10) || '- 审查耗时：' || (100 + p.doc_id % 900) || ' ms' || chr(10) || chr(10)
+  || '## 输出质量卡' || chr(10) || '- 分级分布：A 高置信 ' || grade_a || ' / B 中置信 ' || grade_b || ' / C 低置信 ' || grade_c || ' / D 待确认 ' || grade_d || chr(10)
+  || '- 平均置信度：' || avg_confidence || '（0–1，越高越可采信）' || chr(10)
+  || '- 审查率：' || assessed_items || '/' || applicable_items || ' = ' || CAST(round_even(review_rate * 100, 0) AS INTEGER) || '%（已评估条目 / 适用条目）' || chr(10) || chr(10)
+  || '- 门控分布：' || gate_table || chr(10) || coalesce(chr(10) || blocks, '')
+  || CASE WHEN doubted > 0 THEN chr(10) || '> 其中存疑（需人工复核）' || doubted || ' 项，见上文带「疑似 / 未判定」标签的条目。' || chr(10) ELSE '' END
+  || coalesce(chr(10) || '## 本项未能判定（证据不足，不计入问题数）' || chr(10) || opened || chr(10), '')
+  || CASE WHEN n.notes <> '' THEN chr(10) || '## 备注' || chr(10) || '- ' || replace(n.notes, chr(10), chr(10) || '- ') ELSE '' END AS markdown
+ FROM per p JOIN reasons USING (doc_id) JOIN docs s ON s.doc_id = p.doc_id JOIN ({count_sql('fm')}) k ON k.doc_id = p.doc_id JOIN ({card('fm')}) c ON c.doc_id = p.doc_id
+ LEFT JOIN ({notes_sql(NO_IMAGES)}) n ON n.doc_id = p.doc_id"""
+
+
+@query("src_markdown", sql(f"SELECT doc_id, markdown FROM ({MARKDOWN})"))
 def src_markdown(spark, d):
-    """Reports rendered whole, then measured: blocks, open items and the total in the header."""
-    m = reports.markdown(scored(spark, d))
-    return m.select(
-        "doc_id",
-        F.regexp_count("markdown", F.lit("(?m)^- 清单条目：")).cast("bigint").alias("n_blocks"),
-        F.regexp_count("markdown", F.lit(r"(?m)^- \[R-")).cast("bigint").alias("n_open"),
-        F.regexp_extract("markdown", "（共 ([0-9]+)）", 1).cast("bigint").alias("total"),
-    )
+    """Whole reports of the review with model verdicts: header of the run, card, findings, open items and notes."""
+    f = with_model(spark, d)
+    runs = docs(spark, d).select("doc_id", F.concat(F.lit("rep-"), F.col("doc_id").cast("string")).alias("report_id"), (100 + F.pmod("doc_id", F.lit(900))).alias("duration_ms"))
+    told = notes.review_notes(f, facts(spark, d), parsed(spark, d), usage(spark, d, images=False), use_model=True, directed=True, demote=True)
+    return reports.markdown(f, runs, told)
 
 
 # --- compare and revise ------------------------------------------------------------------------
@@ -452,14 +485,14 @@ def eva_detection(spark, d):
 
 
 RATIO = "round(coalesce({a} / nullif({b}, 0), 0), 6)"
-EVAL = f"""SELECT grp, expected, hit, fp, anchor_checked, anchor_ok, {RATIO.format(a='hit', b='expected')} AS recall, {RATIO.format(a='hit', b='(hit + fp)')} AS precision, {RATIO.format(a='anchor_ok', b='anchor_checked')} AS anchor_rate FROM (
-  SELECT grp, count(*) FILTER (WHERE expected) AS expected, count(*) FILTER (WHERE expected AND detected) AS hit, count(*) FILTER (WHERE detected AND NOT expected) AS fp, count(*) FILTER (WHERE expected AND detected AND want_para IS NOT NULL AND got_para IS NOT NULL) AS anchor_checked,
-   count(*) FILTER (WHERE expected AND detected AND abs(got_para - want_para) <= 1) AS anchor_ok FROM ({DETG}) GROUP BY ROLLUP (grp))"""
+EVAL = f"""SELECT grp, samples, expected, hit, fp, anchor_checked, anchor_ok, {RATIO.format(a='hit', b='expected')} AS recall, {RATIO.format(a='hit', b='(hit + fp)')} AS precision, {RATIO.format(a='anchor_ok', b='anchor_checked')} AS anchor_rate FROM (
+  SELECT grp, count(*) FILTER (WHERE sample) AS samples, count(*) FILTER (WHERE expected) AS expected, count(*) FILTER (WHERE expected AND detected) AS hit, count(*) FILTER (WHERE detected AND NOT expected) AS fp, count(*) FILTER (WHERE expected AND detected AND want_para IS NOT NULL AND got_para IS NOT NULL) AS anchor_checked,
+   count(*) FILTER (WHERE expected AND detected AND abs(got_para - want_para) <= 1) AS anchor_ok FROM (SELECT *, false AS sample FROM ({DETG}) UNION ALL BY NAME SELECT doc_id, {GROUPS} AS grp, true AS sample FROM docs) GROUP BY ROLLUP (grp))"""
 
 
 @query("eva_groups", sql(EVAL))
 def eva_groups(spark, d):
-    return evaluate.group_report(evaluate.detection(scored(spark, d), truth(spark, d), samples=samples(spark, d)))
+    return evaluate.group_report(evaluate.detection(scored(spark, d), truth(spark, d), samples=samples(spark, d)), samples=samples(spark, d))
 
 
 @query("eva_anchor_accuracy", sql(f"SELECT anchor_checked, anchor_ok, anchor_rate FROM ({EVAL}) WHERE grp IS NULL"))
@@ -483,17 +516,18 @@ def eva_ablation(spark, d):
         "C": scored(spark, d),
         "D": with_model(spark, d),
     }
-    return evaluate.ablation(runs, staged(truth(spark, d)), samples=samples(spark, d))
+    sums = notes.token_sums(usage(spark, d, images=False)).withColumn("duration_ms", 100 + F.pmod("doc_id", F.lit(900)))
+    return evaluate.ablation(runs, staged(truth(spark, d)), samples=samples(spark, d), costs={"D": staged(sums)})
 
 
 GOLD = f"SELECT doc_id, type FROM (SELECT d.doc_id, t.type, t.tno, e.type IS NOT NULL AS found FROM docs d CROSS JOIN (SELECT type, tno FROM types UNION ALL VALUES ('citation', {len(P.ELEMENT_TYPES)}), ('reference_list', {len(P.ELEMENT_TYPES) + 1})) t LEFT JOIN (SELECT DISTINCT doc_id, type FROM elements) e ON e.doc_id = d.doc_id AND e.type = t.type) WHERE found <> ((doc_id * 7 + tno) % 13 = 0)"
 
 
-@query(
-    "eva_elements",
-    sql(f"""SELECT tp, predicted, annotated, precision, recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM (SELECT tp, predicted, annotated, {RATIO.format(a='tp', b='predicted')} AS precision, {RATIO.format(a='tp', b='annotated')} AS recall FROM (
-      SELECT count(*) FILTER (WHERE p.type IS NOT NULL AND g.type IS NOT NULL) AS tp, count(p.type) AS predicted, count(g.type) AS annotated FROM (SELECT DISTINCT doc_id, type FROM elements) p FULL JOIN ({GOLD}) g ON g.doc_id = p.doc_id AND g.type = p.type))"""),
-)
+ELEMENT_SCORES = f"""SELECT tp, predicted, annotated, precision, recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM (SELECT tp, predicted, annotated, {RATIO.format(a='tp', b='predicted')} AS precision, {RATIO.format(a='tp', b='annotated')} AS recall FROM (
+      SELECT count(*) FILTER (WHERE p.type IS NOT NULL AND g.type IS NOT NULL) AS tp, count(p.type) AS predicted, count(g.type) AS annotated FROM (SELECT DISTINCT doc_id, type FROM elements) p FULL JOIN ({GOLD}) g ON g.doc_id = p.doc_id AND g.type = p.type))"""
+
+
+@query("eva_elements", sql(ELEMENT_SCORES))
 def eva_elements(spark, d):
     rows = once(spark, d, "element_types", lambda: elements.element_rows(tagged(spark, d)).select("doc_id", "type").distinct())
     kinds = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(i).alias("tno")) for i, t in enumerate([*P.ELEMENT_TYPES, "citation", "reference_list"])])
@@ -502,11 +536,16 @@ def eva_elements(spark, d):
     return evaluate.element_metrics(rows, gold)
 
 
-@query("eva_thresholds", sql(f"SELECT name, value, floor FROM (SELECT 'detection' AS name, (SELECT recall FROM ({EVAL}) WHERE grp IS NULL) AS value, 0.95::DOUBLE AS floor UNION ALL SELECT 'precision', (SELECT precision FROM ({EVAL}) WHERE grp IS NULL), 0.95 UNION ALL SELECT 'element_f1', 0.0, 0.85) WHERE value < floor"))
+@query(
+    "eva_thresholds",
+    sql(f"""SELECT name, value, floor FROM (SELECT 'detection' AS name, (SELECT recall FROM ({EVAL}) WHERE grp IS NULL) AS value, 0.95::DOUBLE AS floor UNION ALL SELECT 'precision', (SELECT precision FROM ({EVAL}) WHERE grp IS NULL), 0.95
+     UNION ALL SELECT 'element_f1', (SELECT f1 FROM ({ELEMENT_SCORES})), 0.85) WHERE value < floor"""),
+)
 def eva_thresholds(spark, d):
+    """All three measured: detection and precision on the findings, F1 on the element labels."""
     g = evaluate.group_report(evaluate.detection(scored(spark, d), truth(spark, d), samples=samples(spark, d))).filter("grp IS NULL")
-    m = g.select(F.explode(F.array(F.struct(F.lit("detection").alias("name"), F.col("recall").alias("value")), F.struct(F.lit("precision").alias("name"), F.col("precision").alias("value")))).alias("m")).select("m.*")
-    return evaluate.below_floor(m)
+    measured = lambda df, **names: unnest(df, F.array(*[F.struct(F.lit(k).alias("name"), F.col(v).alias("value")) for k, v in names.items()]))
+    return evaluate.below_floor(measured(g, detection="recall", precision="precision").unionByName(measured(eva_elements(spark, d), element_f1="f1")))
 
 
 RUNS = "SELECT doc_id, 0 AS run, item_id, arg_max(verdict, seq) AS verdict FROM fr GROUP BY doc_id, item_id UNION ALL SELECT doc_id, 1, item_id, arg_max(verdict, seq) FROM fm GROUP BY doc_id, item_id"

@@ -65,17 +65,21 @@ def jobs(spark, d):
 JOBS = f"(SELECT event_id AS job_id, user_id AS session_id, {JOB_STATE} AS state, ts AS created_at, ts + to_minutes(CAST(floor(value) AS BIGINT)) AS updated_at FROM events)"
 
 
+SESSION_TIME = "1996-01-01 00:00:00"
+
+
 @query(
     "lif_expired_sessions",
-    f"""SELECT s.session_id FROM (SELECT user_id AS session_id, min(ts) AS created_at FROM events GROUP BY 1) s
-     WHERE (created_at + INTERVAL 24 HOURS < {NOW} OR created_at < {NOW} - INTERVAL 700 HOURS) AND NOT EXISTS (SELECT 1 FROM (SELECT session_id, arg_max(state, (created_at, job_id)) AS state FROM {JOBS} GROUP BY 1) j WHERE j.session_id = s.session_id AND j.state = 'running')""",
+    f"""SELECT s.session_id FROM (SELECT o_custkey AS session_id, min(o_orderdate) AS created_at FROM orders GROUP BY 1) s
+     WHERE (created_at + INTERVAL 24 HOURS < TIMESTAMP '{SESSION_TIME}' OR created_at < TIMESTAMP '{SESSION_TIME}' - INTERVAL 700 HOURS) AND NOT EXISTS (SELECT 1 FROM orders j WHERE j.o_custkey = s.session_id AND j.o_orderstatus = 'P')""",
 )
 def lif_expired_sessions(spark, d):
-    """Users as sessions from their first event; each has one job, in the state of its last event."""
-    e = events(spark, d)
-    s = e.groupBy(F.col("user_id").alias("session_id")).agg(F.min("ts").alias("created_at"))
-    j = jobs(spark, d).groupBy("session_id").agg(F.max_by("state", F.struct("created_at", "job_id")).alias("state"))
-    return lifecycle.expired_sessions(s, j, now(), ttl_hours=24, retention_hours=700).select("session_id")
+    """Customers as sessions from their first order; every order is a job of its customer, a partial one is running."""
+    o = read(spark, d, "orders")
+    s = o.groupBy(F.col("o_custkey").alias("session_id")).agg(F.min("o_orderdate").alias("created_at"))
+    state = F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "F", "succeeded").otherwise("queued")
+    j = o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("session_id"), state.alias("state"))
+    return lifecycle.expired_sessions(s, j, F.to_timestamp_ntz(F.lit(SESSION_TIME)), ttl_hours=24, retention_hours=700).select("session_id")
 
 
 @query("lif_stale_jobs", f"SELECT job_id, CASE WHEN state IN ('succeeded', 'failed') THEN 'finished' ELSE 'zombie' END AS reason FROM {JOBS} WHERE (state IN ('succeeded', 'failed') AND updated_at < {NOW} - INTERVAL 30 MINUTES) OR (state IN ('queued', 'running') AND created_at < {NOW} - INTERVAL 30 MINUTES)")

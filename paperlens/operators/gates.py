@@ -104,31 +104,47 @@ def score(findings: DataFrame) -> DataFrame:
     return f.withColumn("grade", grade).drop("_flags")
 
 
-def counts(findings: DataFrame) -> DataFrame:
-    """Per-document counts: severities of problems, other verdicts, certainty, assessed."""
+def count_columns() -> list[Column]:
+    """Aggregates of `counts`."""
     problem = F.col("verdict") == "problem"
     agg = {f"n_{s}": F.count_if(problem & (F.col("severity") == s)) for s in packs.SEVERITIES}
     agg["n_total"] = F.count_if(problem)
     agg |= {f"n_{v}": F.count_if(F.col("verdict") == v) for v in ("pass", "not_applicable", "uncertain")}
     agg |= {f"n_{c}": F.count_if(F.col("certainty") == c) for c in ("deterministic", "suspected", "undetermined")}
     agg["n_assessed"] = F.count_if(F.col("certainty") != "undetermined")
-    return findings.groupBy("doc_id").agg(*[v.alias(k) for k, v in agg.items()])
+    return [v.alias(k) for k, v in agg.items()]
 
 
-def quality(findings: DataFrame, items=packs.CHECKLIST) -> DataFrame:
-    """Quality card per document: grades, mean confidence, assessed / applicable items, review rate."""
+def counts(findings: DataFrame) -> DataFrame:
+    """Per-document counts: severities of problems, other verdicts, certainty, assessed."""
+    return findings.groupBy("doc_id").agg(*count_columns())
+
+
+def quality_columns(items=packs.CHECKLIST) -> list[Column]:
+    """Aggregates of `quality`, before `with_review_rate`."""
     assessed = F.col("certainty") != "undetermined"
     known = F.col("item_id").isin([r[0] for r in items]) & ((F.col("paper_type") != "review") | F.col("item_id").isin(packs.REVIEW_ALLOWED))
     total = F.when(F.first("paper_type") == "review", len([r for r in items if r[0] in packs.REVIEW_ALLOWED])).otherwise(len(items))
-    out = findings.groupBy("doc_id").agg(
+    # confidences have four decimals: their mean is taken in whole ten-thousandths, half up, so that it depends on no order of adding
+    units, n = F.sum(F.when(assessed, F.round(F.col("confidence") * 10_000).cast("bigint"))), F.count_if(assessed)
+    mean = F.floor(F.try_divide(2 * units + n, 2 * n)) / 10_000
+    return [
         *[F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABCD"],
-        F.round(F.coalesce(F.avg(F.when(assessed, F.col("confidence"))), F.lit(0.0)), 4).alias("avg_confidence"),
+        F.coalesce(mean, F.lit(0.0)).alias("avg_confidence"),
         F.size(F.collect_set(F.when(assessed & known, F.col("item_id")))).cast("bigint").alias("assessed_items"),
         total.cast("bigint").alias("_items"),
-    )
+    ]
+
+
+def with_review_rate(out: DataFrame) -> DataFrame:
     out = out.withColumn("applicable_items", F.greatest("_items", "assessed_items")).drop("_items")
     return out.withColumn("review_rate", F.round(F.col("assessed_items") / F.col("applicable_items"), 4))
 
 
+def quality(findings: DataFrame, items=packs.CHECKLIST) -> DataFrame:
+    """Quality card per document: grades, mean confidence, assessed / applicable items, review rate."""
+    return with_review_rate(findings.groupBy("doc_id").agg(*quality_columns(items)))
+
+
 def gate_reasons(findings: DataFrame) -> DataFrame:
     return findings.groupBy("doc_id", "gate_reason").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from paperlens import packs
 from paperlens.functions.text import cs, literal_map, squeeze, strip
+from paperlens.operators import gates
 from paperlens.operators.reconcile import beside_texts
 
 
@@ -148,39 +149,65 @@ def revised_frame(fr: DataFrame, plan: DataFrame) -> DataFrame:
     ).drop("adds")
 
 
-def markdown(findings: DataFrame) -> DataFrame:
-    """One Markdown report per document, lines in report order."""
+def markdown(findings: DataFrame, runs: DataFrame | None = None, notes: DataFrame | None = None, items=packs.CHECKLIST) -> DataFrame:
+    """doc_id and its whole report as Markdown; findings in report order.
+
+    runs(doc_id, report_id, duration_ms) fills the header, an absent run leaves an empty id and 0 ms; notes(doc_id, notes)
+    are the texts of notes.review_notes, both one row per document.  Everything of a document comes from one aggregation.
+    """
+
     def label(table, col):
         return F.coalesce(F.try_element_at(literal_map(table), F.col(col)), F.col(col))
 
-    shown = F.col("certainty") != "undetermined"
+    def filled(template, *values):
+        return F.format_string(template, *[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+
+    c = F.col
+    shown = c("certainty") != "undetermined"
     at = F.get("anchors", F.lit(0))
+    place = F.when(at.isNotNull(), filled(packs.REPORT_PLACE, at)).otherwise(packs.REPORT_NO_PLACE)
+    grade = label(packs.GRADE_LABEL, "grade")
     block = F.concat_ws(
         "\n",
-        F.concat(F.lit("## ["), label(packs.SEVERITY_LABEL, "severity"), F.lit("·"), label(packs.CERTAINTY_LABEL, "certainty"), F.lit("·"), "grade", F.lit(" "), label(packs.GRADE_LABEL, "grade"), F.lit("] "), "headline"),
-        F.concat(F.lit("- 清单条目："), "item_id"),
-        F.concat(F.lit("- 原文定位："), F.when(at.isNotNull(), F.concat(F.lit("段落 "), at.cast("string"))).otherwise("位置未定")),
-        F.concat(F.lit("- 置信度："), F.col("confidence").cast("string"), F.lit("（"), label(packs.GRADE_LABEL, "grade"), F.lit("）")),
-        F.when(F.col("description") != "", F.concat(F.lit("- 说明："), "description")),
-        F.when(F.col("suggestion") != "", F.concat(F.lit("- 建议："), "suggestion")),
+        filled(
+            packs.REPORT_FINDING, label(packs.SEVERITY_LABEL, "severity"), label(packs.CERTAINTY_LABEL, "certainty"), c("grade"), grade,
+            c("headline"), c("item_id"), place, c("confidence"), grade,
+        ),
+        F.when(c("description") != "", filled(packs.REPORT_DESCRIPTION, c("description"))),
+        F.when(c("suggestion") != "", filled(packs.REPORT_SUGGESTION, c("suggestion"))),
         F.lit(""),
-    )
-    skipped = F.concat(F.lit("- ["), "item_id", F.lit("] "), "description")
-    rows = findings.select("doc_id", "source", "seq", "verdict", shown.alias("shown"), F.when(shown, block).otherwise(skipped).alias("line"), "severity", "certainty", "grade")
-    problem = F.col("verdict") == "problem"
-    per = rows.groupBy("doc_id").agg(
+    )
+    line = F.when(shown, block).otherwise(filled(packs.REPORT_OPEN_LINE, c("item_id"), c("description")))
+    per = findings.groupBy("doc_id").agg(
         F.first("source").alias("source"),
-        F.sort_array(F.collect_list(F.struct("seq", "shown", "line"))).alias("lines"),
-        *[F.count_if(problem & (F.col("severity") == s)).cast("string").alias(s) for s in packs.SEVERITIES],
-        F.count_if(problem).cast("string").alias("total"),
-        *[F.count_if(F.col("grade") == g).cast("string").alias(f"g{g}") for g in "ABCD"],
-        F.count_if(F.col("shown") & (F.col("verdict") == "uncertain")).alias("n_uncertain"),
+        F.sort_array(F.collect_list(F.struct("seq", shown.alias("shown"), "gate_reason", line.alias("line")))).alias("lines"),
+        F.count_if(shown & (c("verdict") == "uncertain")).alias("n_doubted"),
+        *gates.count_columns(),
+        *gates.quality_columns(items),
     )
-    part = lambda keep: F.array_join(F.transform(F.filter("lines", lambda x: x["shown"] == keep), lambda x: x["line"]), "\n")
-    head = F.concat(
-        F.lit("# 方法学审查报告 · "), "source", F.lit("\n\n- 清单版本：" + packs.CHECKLIST_VERSION + "\n- 问题统计：严重 "), "high", F.lit(" / 中等 "), "mid", F.lit(" / 轻微 "), "low",
-        F.lit("（共 "), "total", F.lit("）\n\n## 输出质量卡\n- 分级分布：A 高置信 "), "gA", F.lit(" / B 中置信 "), "gB", F.lit(" / C 低置信 "), "gC", F.lit(" / D 待确认 "), "gD", F.lit("\n"),
+    per = gates.with_review_rate(per)
+    per = per.withColumns({"report_id": F.lit(""), "duration_ms": F.lit(0)}) if runs is None else per.join(runs.select("doc_id", "report_id", "duration_ms"), "doc_id", "left")
+    none = F.array().cast("array<string>")
+    per = per.withColumn("notes", none) if notes is None else per.join(notes.select("doc_id", "notes"), "doc_id", "left").withColumn("notes", F.coalesce("notes", none))
+
+    listed = lambda keep: F.array_join(F.transform(F.filter("lines", lambda x: x["shown"] == keep), lambda x: x["line"]), "\n")
+    reasons = F.transform("lines", lambda x: x["gate_reason"])
+    gate_table = F.transform(
+        F.array_distinct(reasons), lambda r: F.concat_ws(" ", r, F.size(F.filter("lines", lambda x: x["gate_reason"] == r)).cast("string"))
     )
-    tail = F.when(F.exists("lines", lambda x: ~x["shown"]), F.concat(F.lit("## 本项未能判定（证据不足，不计入问题数）\n"), part(False)))
-    note = F.when(F.col("n_uncertain") > 0, F.concat(F.lit("> 其中存疑（需人工复核）"), F.col("n_uncertain").cast("string"), F.lit(" 项，见上文带「疑似 / 未判定」标签的条目。\n")))
-    return per.select("doc_id", F.concat_ws("\n", head, part(True), note, tail).alias("markdown"))
+    parts = [
+        filled(
+            packs.REPORT_HEAD, c("source"), c("report_id"), F.lit(packs.CHECKLIST_VERSION), *[c(f"n_{s}") for s in (*packs.SEVERITIES, "total")],
+            *[c(f"n_{s}") for s in packs.CERTAINTY_LABEL], F.coalesce("duration_ms", F.lit(0)),
+        ),
+        filled(
+            packs.REPORT_CARD, *[c(f"grade_{g}") for g in "abcd"], c("avg_confidence"), c("assessed_items"), c("applicable_items"),
+            F.bround(c("review_rate") * 100).cast("int"),
+        ),
+        filled(packs.REPORT_GATES, F.array_join(gate_table, packs.REPORT_GATE_SEPARATOR)),
+        F.when(F.exists("lines", lambda x: x["shown"]), listed(True)),
+        F.when(c("n_doubted") > 0, filled(packs.REPORT_UNCERTAIN, c("n_doubted"))),
+        F.when(F.exists("lines", lambda x: ~x["shown"]), F.concat(F.lit(packs.REPORT_OPEN + "\n"), listed(False), F.lit("\n"))),
+        F.when(F.size("notes") > 0, F.concat_ws("\n", F.lit(packs.REPORT_NOTES), F.array_join(F.transform("notes", lambda n: filled(packs.REPORT_NOTE, n)), "\n"))),
+    ]
+    return per.select("doc_id", F.concat_ws("\n", *parts).alias("markdown"))

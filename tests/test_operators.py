@@ -157,10 +157,36 @@ def test_markdown_report(frame_of):
     assert md.startswith("# 方法学审查报告 · doc-1") and "- 清单条目：R-09" in md and "## 本项未能判定" in md
 
 
+def test_markdown_whole(spark):
+    """Every line of a report, in order: run, card, gates by first appearance, findings, doubts, open items, notes."""
+    cols = "doc_id bigint, source string, paper_type string, seq bigint, item_id string, verdict string, severity string, certainty string, grade string, confidence double, gate_reason string, anchors array<int>, headline string, description string, suggestion string"
+    rows = [
+        (1, "s", "empirical", 2, "R-02", "uncertain", "low", "suspected", "C", 0.5, "advisory", [], "B %s", "", "fix {0}"),
+        (1, "s", "empirical", 1, "R-01", "problem", "high", "deterministic", "A", 1.0, "direct", [7, 9], "A", "why", ""),
+        (1, "s", "empirical", 3, "R-03", "not_applicable", "low", "undetermined", "D", 0.0, "not_evaluated", [], "C", "no cue", ""),
+        (2, "t", "review", 1, "R-01", "pass", "low", "deterministic", "A", 0.8, "direct", [1], "P", "", ""),
+    ]
+    f = spark.createDataFrame(rows, cols)
+    runs = spark.createDataFrame([(1, "r1", 12)], "doc_id bigint, report_id string, duration_ms int")
+    notes = spark.createDataFrame([(1, ["n1", "n2"])], "doc_id bigint, notes array<string>")
+    got = {r.doc_id: r.markdown.split("\n") for r in reports.markdown(f, runs, notes).collect()}
+    assert got[1] == [
+        "# 方法学审查报告 · s", "", "- 报告 ID：r1", "- 清单版本：1.0", "- 问题统计：严重 1 / 中等 0 / 轻微 0（共 1）", "- 确定性统计：确定性 1 / 疑似 1 / 未判定 1", "- 审查耗时：12 ms", "",
+        "## 输出质量卡", "- 分级分布：A 高置信 1 / B 中置信 0 / C 低置信 1 / D 待确认 1", "- 平均置信度：0.75（0–1，越高越可采信）", "- 审查率：2/17 = 12%（已评估条目 / 适用条目）", "",
+        "- 门控分布：direct 1、advisory 1、not_evaluated 1", "",
+        "## [严重·确定性·A 高置信] A", "- 清单条目：R-01", "- 原文定位：段落 7", "- 置信度：1.0（高置信）", "- 说明：why", "",
+        "## [轻微·疑似·C 低置信] B %s", "- 清单条目：R-02", "- 原文定位：位置未定", "- 置信度：0.5（低置信）", "- 建议：fix {0}", "",
+        "> 其中存疑（需人工复核）1 项，见上文带「疑似 / 未判定」标签的条目。", "", "## 本项未能判定（证据不足，不计入问题数）", "- [R-03] no cue", "", "## 备注", "- n1", "- n2",
+    ]
+    assert got[2][2] == "- 报告 ID：" and got[2][6] == "- 审查耗时：0 ms" and got[2][-2:] == ["- 置信度：0.8（高置信）", ""]
+    assert reports.markdown(f.limit(0), runs, notes).count() == 0
+
+
 def test_evaluation_arithmetic(spark):
     f = spark.createDataFrame([(1, "R-01", "problem", 0, "mid", "X", [5]), (1, "R-02", "problem", 1, "low", "X", [9]), (1, "R-FIG-01", "problem", 2, "low", "X", [1])], "doc_id bigint, item_id string, verdict string, seq bigint, severity string, code string, anchors array<int>")
     t = spark.createDataFrame([(1, "real", "R-01", 6), (1, "real", "R-03", 2)], "doc_id bigint, grp string, item_id string, para_idx int")
     r = evaluate.group_report(evaluate.detection(f, t)).filter("grp IS NULL").first()
+    assert r["samples"] == 1
     assert (r["expected"], r["hit"], r["fp"], r["recall"], r["precision"], r["anchor_rate"]) == (2, 1, 1, 0.5, 0.5, 1.0)
 
 
