@@ -86,6 +86,17 @@ class Transducer:
         self.steps: dict[int, tuple[int, int]] = {}  # state * SYMBOLS + symbol: next state * SYMBOLS, tokens added
         self.follows, self.words = {}, Words(self.unbroken)
 
+    def room(self, state: int) -> int:
+        """The state's number, in tables started anew where they are full: also amid a word, so that no word is too long."""
+        if len(self.states) <= MOST_STATES and len(self.words) <= MOST_WORDS and len(self.follows) <= 4 * MOST_STATES:
+            return state
+        live = self.states[state // SYMBOLS]
+        self.restart()
+        if live not in self.numbers:
+            self.numbers[live] = len(self.states)
+            self.states.append(live)
+        return self.numbers[live] * SYMBOLS
+
     def merged(self, s: str) -> list[str]:
         """The encoding of a short string of symbols, by its merges in order of rank."""
         parts = list(s)
@@ -130,6 +141,8 @@ class Transducer:
         for b in data[:-1]:
             step = steps.get(state + b)
             if step is None:
+                state = self.room(state)
+                steps = self.steps
                 step = steps[state + b] = self.compile(state // SYMBOLS, chr(PLAIN + b))
             state, added = step
             count += added
@@ -140,8 +153,7 @@ class Transducer:
 
     def unbroken(self, s: str) -> int:
         """Tokens of normalised text without blanks."""
-        if len(self.states) > MOST_STATES or len(self.words) > MOST_WORDS or len(self.follows) > 4 * MOST_STATES:
-            self.restart()
+        self.room(0)
         return sum(map(self.word, PIECE.findall(s)))
 
     def state_map(self, chunk: str) -> tuple[str, int | None, str]:

@@ -147,6 +147,18 @@ def test_tokens(corpus, nothing):
     assert got == want and tokens.token_counts(nothing, path).count() == 0
 
 
+def test_tokens_of_an_unbroken_text(monkeypatch):
+    """A word without end keeps the tables within their bound, and counts as the library does."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, machine = Tokenizer.from_file(path), tokens.Transducer(path)
+    rng = random.Random(3)
+    for bound, n in ((3, 400), (50, 3_000), (5_000, 60_000)):
+        monkeypatch.setattr(tokens, "MOST_STATES", bound)
+        t = "".join(rng.choices("etaoinshrdlu", k=n))
+        assert machine.count(t) == len(library.encode(t, add_special_tokens=False).ids)
+        assert len(machine.states) <= bound + 2 and len(machine.follows) <= 4 * bound + 100
+
+
 def test_tokens_of_chunks(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     library, machine = Tokenizer.from_file(path), tokens.Transducer(path)
