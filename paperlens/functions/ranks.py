@@ -11,7 +11,8 @@ def nearest_rank(df: DataFrame, group: str, value: str, percents, accuracy=ACCUR
 
     A sketch per group gives two values with the rank for certain between them, however the values are spread.  One pass
     counts what is below the lower one; only what lies between them, some 4/accuracy of a group, is shuffled, pre-counted
-    by value, and ordered.
+    by value, and ordered.  The rank of a sketch is rounded otherwise than the one asked for, by up to 1.5 rows, which is more
+    than the edges leave in a group of few rows; such a group, of less than 2 * accuracy rows, is ordered whole.
     """
     rows = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
     edges = [e for p in percents for e in (p / 100 - 2 / accuracy, p / 100 + 2 / accuracy)]
@@ -19,7 +20,8 @@ def nearest_rank(df: DataFrame, group: str, value: str, percents, accuracy=ACCUR
     stats = rows.groupBy("_g").agg(F.count("*").alias("total"), F.min("_v").alias("least"), F.max("_v").alias("most"), sketch.alias("edges"))
 
     def edge(k):
-        return F.col("least") if edges[k] <= 0 else F.col("most") if edges[k] >= 1 else F.get("edges", F.lit(k))
+        end = F.col("most" if k % 2 else "least")
+        return end if edges[k] <= 0 or edges[k] >= 1 else F.when(F.col("total") < 2 * accuracy, end).otherwise(F.get("edges", F.lit(k)))
 
     rank = lambda p: F.bround(F.lit(p / 100) * (F.col("total") - 1)).cast("bigint")
     asked = [F.struct(F.lit(float(p)).alias("pct"), rank(float(p)).alias("idx"), edge(2 * i).alias("lo"), edge(2 * i + 1).alias("hi")) for i, p in enumerate(percents)]

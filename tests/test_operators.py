@@ -264,3 +264,13 @@ def test_quota_stream_decides_files_that_arrive_in_falling_order(spark, tmp_path
     got = {r.id: r.allowed for r in decided(log, told, "who", "ts", "id", 2, 600).collect()}
     whole = [r for f in rows for r in f if r[1] is not None and r[2] is not None]
     assert got == brute_quota(whole, 2, 600) | {13: None, 14: None}
+
+
+def test_ranks_of_small_groups_are_found(spark):
+    """At 199 rows a sketch's rank for 95 % is one above the nearest rank."""
+    from paperlens.functions.ranks import nearest_rank
+
+    sizes = [1, 2, 13, 93, 199, 200]
+    df = spark.createDataFrame([(n, float(i)) for n in sizes for i in range(n)], "g int, v double").repartition(3)
+    got = {(r["g"], r["pct"]): r["v"] for r in nearest_rank(df, "g", "v", [50, 95]).collect()}
+    assert got == {(n, float(p)): float(round(p / 100 * (n - 1))) for n in sizes for p in (50, 95)}
